@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm import terms
+from skeinflow.llm import mix, pieces, terms, tokens
 from skeinflow.sources.tables import crawled_bodies, table
 
 MIN_TF, MAX_PAGES = 4, 5
@@ -40,4 +40,27 @@ def p3_bigrams(spark: SparkSession, folder: str) -> DataFrame:
     return terms.marked(counts).select("n", "term", "occurrences", "pages", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.decode(tokens.encode(table(spark, folder, "documents")))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, folder, "documents"), table(spark, folder, "piece_limits"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
+}

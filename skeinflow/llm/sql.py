@@ -38,4 +38,5 @@ SQL = {
         SELECT n, term, occurrences, pages,
             CASE WHEN pages = 1 THEN 'rare' WHEN pages * 100 > 40 * (SELECT count(*) FROM pages) THEN 'common' END AS mark
         FROM df""",
+    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
