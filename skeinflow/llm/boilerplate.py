@@ -37,6 +37,9 @@ artículos relacionados|lo más leído|más leídas|últimas entradas|comentario
 à lire aussi|articles liés|les plus lus|derniers articles|commentaires|derniers commentaires|vous aimerez aussi|publicité|annonce|recommandés
 """
 _AD_WORDS = "advertisement|advertisements|sponsored|anzeige|anzeigen|werbung|publicidad|anuncio|publicité|annonce"
+_SHARING = (
+    r"^(?:(?:like|share|save|print|tweet|mail|copy link|teilen|drucken|merken|speichern|compartir|imprimir|guardar|partager|imprimer|enregistrer)(?:\s*[|·,/]\s*|$)){2,}|^share this\b|^(?:teilen|compartir|partager)\s*:|\bwas this (?:page|article|answer) helpful\b|\bwar diese seite hilfreich\b|\b¿le ha (?:sido útil|servido)\b|\bcette page (?:vous )?a-t-elle\b"
+)
 _CUES = [
     # footers
     r"^(?:©|\(c\) |copyright\b)|\ball rights reserved\b|\balle rechte vorbehalten\b|\btodos los derechos reservados\b|\btous droits réservés\b",
@@ -46,13 +49,14 @@ _CUES = [
     # notices
     r"\bcookies?\b.*\b(?:site|website|deliver|services|device|agree|settings|seite|funktioniert|sitio|funcione|acepta|fonctionner|acceptez)\b|\byour privacy matters\b|\bstores small files\b|\baccept all\b|\balle annehmen\b|\baceptar todo\b|\btout accepter\b|\bwir verwenden cookies\b|\busamos cookies\b|\bnous utilisons des cookies\b",
     # sharing and feedback
-    r"^(?:(?:like|share|save|print|tweet|mail|copy link|teilen|drucken|merken|speichern|compartir|imprimir|guardar|partager|imprimer|enregistrer)(?:\s*[|·,/]\s*|$)){2,}|^share this\b|^(?:teilen|compartir|partager)\s*:|\bwas this (?:page|article|answer) helpful\b|\bwar diese seite hilfreich\b|\b¿le ha (?:sido útil|servido)\b|\bcette page (?:vous )?a-t-elle\b",
+    _SHARING,
     # bylines and dates
     r"^by (?:the )?[^.]{2,40}(?:\||·)|\b\d+ min(?:utes?)? read\b|^(?:updated|posted|published)\b.{0,12}\d+ (?:hours?|days?|minutes?|weeks?) ago|^von (?:der redaktion )?[^.]{2,40}, vor \d+|^redacción de [^.]{2,40}, hace \d+|^la rédaction de [^.]{2,40}, il y a \d+",
     # advertising, subscriptions, pointers to other pages
     rf"^(?:{_AD_WORDS})\s*:?$|^story continues below|^continue reading|^sign up for our\b|\bweekly (?:news)?letter\b|\bnever miss a story\b|^support our work\b|^become a member\b|\bbecome a member for\b|^subscribe\b|^jetzt .{{0,20}}\b(?:rundbrief|newsletter)\b|\bbestellen und nichts verpassen\b|^reciba nuestro\b|^suscríbase\b|^abonnez-vous\b",
     r"^(?:read also|also read|see also|read next|lesen sie auch|lea también|lee también|à lire aussi|lire aussi|voir aussi)\s*:",
 ]
+_SHARE = re.compile(_SHARING)
 #: Searched in lower-cased lines of at most two sentences.
 _CUE = re.compile("|".join(f"(?:{c})" for c in _CUES))
 _WORDS_OF_NAV = frozenset(w.strip() for w in re.split(r"[|\n]", _NAV_WORDS) if w.strip())
@@ -68,7 +72,9 @@ W_BLOCK, W_CODE, W_FRAME, W_BODY = 0.6, 1.5, -6.0, 3.0
 # capacities of smoothness edges
 E_NEXT, E_FAR, E_BLANK, E_INSIDE, E_AROUND, E_SECTION = 0.6, 0.1, 0.3, 3.5, 0.3, 3.0
 
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<!--|<[!?][^<>]*>")
+_INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^<>]*>")
+_BLOCKS = frozenset("h1 h2 li tr td blockquote dt dd p".split())
 _CONTAINERS = frozenset("div nav aside main article section header footer td form".split())
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
 _COMMENTER = re.compile(r"^[a-z][a-z_]{2,}\d{1,4}: ")
@@ -90,6 +96,13 @@ def _slug(url: str | None) -> str:
     return "-".join(re.findall("[a-z0-9]+", parts[-1].lower())) if parts else ""
 
 
+@lru_cache(maxsize=1 << 12)
+def _named(attributes: str) -> float:
+    if _FRAME_NAME.search(attributes):
+        return W_FRAME
+    return W_BODY if _BODY_NAME.search(attributes) else 0.0
+
+
 @lru_cache(maxsize=1 << 15)
 def is_cue(low: str) -> bool:
     """Whether a lower-cased line reads like a part of a page's frame; frames repeat, so answers are kept."""
@@ -99,7 +112,8 @@ def is_cue(low: str) -> bool:
 class Lines:
     """Nodes of one page: visible lines, and their containers."""
 
-    def __init__(self, page: str, url: str | None = None):
+    def __init__(self, page: str, url: str | None = None, frame_only: bool = False):
+        self.frame_only = frame_only  # only what is plainly of the frame counts against a line
         self.number: list[int] = []
         self.text: list[str] = []
         self.unary: list[float] = []
@@ -117,13 +131,13 @@ class Lines:
             self._sections()
 
     def _scan(self, page: str) -> None:
+        if "<" in page:
+            page = _INVISIBLE.sub(lambda m: "\n" * m.group().count("\n"), page)
         stack: list[tuple[str, int]] = []
-        skip = ""  # element whose text is not shown
-        in_comment = in_link = in_head = False
-        pre = False
+        in_link = pre = False
         blank = True
         for number, line in enumerate(page.split("\n"), 1):
-            if "<" not in line and not in_comment and not skip:
+            if "<" not in line:
                 text = line.strip()
                 if not text:
                     blank = True
@@ -131,63 +145,31 @@ class Lines:
                 if "&" in text:
                     text = " ".join(unescape(text).split())
                 if text:
-                    self._add(number, text, len(text) if in_link else 0, stack[-1][1] if stack else 0, 0.0, set(), pre, blank)
+                    self._add(number, text, len(text) if in_link else 0, stack[-1][1] if stack else 0, 0.0, (), pre, blank)
                     blank = False
                 continue
             parts: list[str] = []
             linked, at = 0, 0
             base: int | None = None  # depth of the stack from the first text on
             hint = 0.0
-            tags: set[str] = set()
-            n = len(line)
+            tags: list[str] = []
             was_pre = pre
-            while at <= n:
-                if in_comment:
-                    end = line.find("-->", at)
-                    if end < 0:
-                        break
-                    in_comment, at = False, end + 3
-                    continue
-                m = _TAG.search(line, at)
-                stop = m.start() if m else n
-                if stop > at and not skip and not in_head:
-                    chunk = line[at:stop]
-                    if chunk.strip():
+            for m in _TAG.finditer(line):
+                start = m.start()
+                if start > at:
+                    chunk = line[at:start]
+                    if parts or not chunk.isspace():
                         parts.append(chunk)
                         if in_link:
                             linked += len(chunk)
                         base = len(stack) if base is None else min(base, len(stack))
-                    elif parts:
-                        parts.append(" ")
-                if not m:
-                    break
                 at = m.end()
-                if m.group() == "<!--":
-                    in_comment = True
-                    continue
-                if not m.group(2):
-                    continue
-                shut, tag = m.group(1), m.group(2).lower()
-                if skip:
-                    if shut and tag == skip:
-                        skip = ""
-                    continue
-                if tag in ("script", "style", "title", "noscript", "template"):
-                    if not shut:
-                        skip = tag
-                    continue
-                if tag == "head":
-                    in_head = not shut
-                    continue
-                if tag == "body":
-                    in_head = False
+                shut, tag, attributes = m.groups()
+                if not tag:
                     continue
+                tag = tag.lower()
                 if tag == "a":
                     in_link = not shut
-                elif tag == "pre":
-                    pre = not shut
-                    was_pre = True
-                    tags.add("pre")
                 elif tag in _CONTAINERS:
                     in_link = False
                     if shut:
@@ -196,20 +178,20 @@ class Lines:
                                 pass
                         if base is not None:
                             base = min(base, len(stack))
+                        if parts and tag == "td":
+                            parts.append(" ")
                     else:
-                        if tag == "td" and stack and stack[-1][0] == "td":
-                            stack.pop()
+                        if tag == "td":
+                            if stack and stack[-1][0] == "td":
+                                stack.pop()
+                            tags.append(tag)
                         name = 0.0
-                        attributes = m.group(3)
                         if tag in ("nav", "aside", "footer", "header"):
                             name = W_FRAME
                         elif tag in ("main", "article"):
                             name = W_BODY
                         elif attributes:
-                            if _FRAME_NAME.search(attributes):
-                                name = W_FRAME
-                            elif _BODY_NAME.search(attributes):
-                                name = W_BODY
+                            name = _named(attributes)
                         self.parents.append(stack[-1][1] if stack else 0)
                         self.hints.append(name)
                         stack.append((tag, len(self.parents) - 1))
@@ -221,22 +203,33 @@ class Lines:
                         self.parents.append(stack[-2][1] if len(stack) > 1 else 0)
                         self.hints.append(self.hints[stack[-1][1]])
                         stack[-1] = (stack[-1][0], len(self.parents) - 1)
+                elif tag == "pre":
+                    pre = not shut
+                    was_pre = True
                 else:
-                    tags.add(tag)
-                    if parts and tag in ("td", "br", "p", "li", "dd", "dt"):
+                    tags.append(tag)
+                    if parts and tag in ("br", "p", "li", "dd", "dt"):
                         parts.append(" ")
+            if at < len(line):
+                chunk = line[at:]
+                if parts or not chunk.isspace():
+                    parts.append(chunk)
+                    if in_link:
+                        linked += len(chunk)
+                    base = len(stack) if base is None else min(base, len(stack))
             text = " ".join(unescape("".join(parts)).split()) if parts else ""
             if not text:
-                blank = blank or not line.strip()
                 continue
             depth = min(base if base is not None else len(stack), len(stack))
             self._add(number, text, linked, stack[depth - 1][1] if depth else 0, hint, tags, was_pre or pre, blank)
             blank = False
 
-    def _add(self, number: int, text: str, linked: int, container: int, hint: float, tags: set[str], pre: bool, blank: bool) -> None:
+    def _add(self, number: int, text: str, linked: int, container: int, hint: float, tags: list[str] | tuple[str, ...], pre: bool, blank: bool) -> None:
         score = hint if hint < 0 else 0.0
         low = text.lower().strip(" :")
         words = len(text.split())
+        if self.frame_only:  # text of some length is hardly of a frame
+            score += W_BLOCK + min(5.0, words / 12)
         hard = False
         if pre:
             score += W_CODE
@@ -251,10 +244,10 @@ class Lines:
             else:
                 score += W_WORDS if words > 1 else 0.0
             share = linked / max(1, len(text))
-            if share > 0.6:
+            if share > 0.6 and not self.frame_only:
                 score += W_LINKED * share
             elif text.endswith("…") and linked:
-                score += W_TEASER
+                score += 2 * W_TEASER if self.frame_only else W_TEASER
             if low in _WORDS_OF_SECTIONS:
                 score += W_SECTION
                 hard = True
@@ -266,15 +259,15 @@ class Lines:
                 pieces = [p for p in _SEPARATORS.split(text) if p]
                 if len(pieces) > 2 and sum(p.lower() in _WORDS_OF_NAV for p in pieces) * 2 >= len(pieces):
                     score += W_NAV
-                elif len(pieces) > 3 and "|" in text:
+                elif len(pieces) > 3 and "|" in text and not self.frame_only:
                     score += W_SEPARATED
                 elif len(pieces) > 1 and pieces[0].lower() in _WORDS_OF_NAV and linked:
                     score += W_NAV  # breadcrumbs
             if _COMMENTER.match(text) and ends < 3:
                 score += W_COMMENT
-            if tags & {"h1", "h2", "li", "tr", "td", "blockquote", "dt", "dd", "p"} and share <= 0.6:
+            if share <= 0.6 and not _BLOCKS.isdisjoint(tags):
                 score += W_BLOCK
-            if words > 1 and not hard and self._is_title(text):
+            if 1 < words < 30 and ends < 3 and not hard and not self.frame_only and self._is_title(text):
                 score += W_TITLE
         self.number.append(number)
         self.text.append(text)
@@ -308,7 +301,7 @@ class Lines:
                 continue
             if self.blank_before[i] or self.unary[i] <= W_CUE + W_SENTENCE + 4:
                 left = True
-            if self.unary[i] < -5 and seen_body and not self.hard[i] and is_cue(low) and ("|" in text or "?" in text or ":" in text):
+            if self.unary[i] < -5 and seen_body and _SHARE.search(low):
                 shared = True
             if current and not left:
                 self.inside[i] = current

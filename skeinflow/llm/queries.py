@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm import boilerplate, markup, mix, pieces, terms, tokens
+from skeinflow.llm import boilerplate, markup, mix, pieces, stuffing, terms, tokens
 from skeinflow.sources.tables import crawled_bodies, table
 
 MIN_TF, MAX_PAGES = 4, 5
@@ -40,10 +40,24 @@ def p3_bigrams(spark: SparkSession, folder: str) -> DataFrame:
     return terms.marked(counts).select("n", "term", "occurrences", "pages", "mark")
 
 
+def _addressed_bodies(pages: DataFrame) -> DataFrame:
+    """(page_id, page, url) of every crawled page: as crawled_bodies, with the page's least url."""
+    return pages.where("page is not null").groupBy("page_id").agg(F.min("page").alias("page"), F.min("url").alias("url"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    shares = stuffing.stuffed_shares(_addressed_bodies(table(spark, folder, "crawl")))
+    return shares.where(F.col("share") > stuffing.MOST).select("page_id")
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_shares(_addressed_bodies(table(spark, folder, "crawl")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     wanted = table(spark, folder, "body_queue").select("page_id")
-    pages = table(spark, folder, "crawl").where("page is not null").select("page_id", "page", "url").join(wanted, "page_id", "left_semi")
-    return boilerplate.main_bodies(pages.groupBy("page_id").agg(F.min("page").alias("page"), F.min("url").alias("url")))
+    pages = table(spark, folder, "crawl").select("page_id", "page", "url").join(wanted, "page_id", "left_semi")
+    return boilerplate.main_bodies(_addressed_bodies(pages))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,5 +90,5 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams, p6_found, p7_found, p7_texts, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
+    for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams, p4_found, p4_shares, p6_found, p7_found, p7_texts, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
 }
