@@ -43,9 +43,6 @@ REDUNDANT_SHAPE, PROSE_NONE, FEW_ENDS = 0.75, 0.2, 0.035
 #: stuffed (below a half, as some lines of the frame are left among its own); least words of own content.
 BLOCK_CHARS, EDGE_CHARS, MOST, LEAST_WORDS = 500, 250, 0.4, 12
 
-_WORD = 0.62, 0.62, 0.035
-BLOCK_CHARS, MOST = 500, 0.5
-
 _WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 _END_SIGNS = frozenset(".!?…。！？")
 
