@@ -57,7 +57,16 @@ _CUES = [
     r"^(?:read also|also read|see also|read next|lesen sie auch|lea también|lee también|à lire aussi|lire aussi|voir aussi)\s*:",
 ]
 _SHARE = re.compile(_SHARING)
-#: Searched in lower-cased lines of at most two sentences.
+#: Words of which a line has one if it matches any cue.
+_CUE_WORDS = frozenset(
+    """copyright rights vorbehalten derechos droits terms privacy imprint impressum aviso mentions agb datenschutz privacidad
+    confidentialité hosted made powered follow folgen síganos suivez prices preise precios prix reproduction run gewähr
+    responde décline opinions cookie cookies stores accept annehmen aceptar accepter like share save print tweet mail copy
+    teilen drucken merken speichern compartir imprimir guardar partager imprimer enregistrer helpful hilfreich ha cette by
+    read updated posted published von redacción rédaction story continue sign weekly never support become subscribe jetzt
+    bestellen reciba suscríbase abonnez see lesen lea lee lire voir also""".split()
+) | frozenset(w for x in _AD_WORDS.split("|") for w in x.split())
+#: Searched in lower-cased lines of less than 30 words and at most two sentences.
 _CUE = re.compile("|".join(f"(?:{c})" for c in _CUES))
 _WORDS_OF_NAV = frozenset(w.strip() for w in re.split(r"[|\n]", _NAV_WORDS) if w.strip())
 _WORDS_OF_SECTIONS = frozenset(w.strip() for w in re.split(r"[|\n]", _SECTION_WORDS) if w.strip())
@@ -77,6 +86,7 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^<>]*>")
 _BLOCKS = frozenset("h1 h2 li tr td blockquote dt dd p".split())
 _CONTAINERS = frozenset("div nav aside main article section header footer td form".split())
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
+_STOPS = frozenset(".!?…。！？")
 _COMMENTER = re.compile(r"^[a-z][a-z_]{2,}\d{1,4}: ")
 _SEPARATORS = re.compile(r"\s*[|»›·>]\s*|\s{2,}")
 _TITLE = re.compile(r"<title[^<>]*>(.*?)(?:</title|$)", re.I)
@@ -106,7 +116,7 @@ def _named(attributes: str) -> float:
 @lru_cache(maxsize=1 << 15)
 def is_cue(low: str) -> bool:
     """Whether a lower-cased line reads like a part of a page's frame; frames repeat, so answers are kept."""
-    return _CUE.search(low) is not None
+    return not _CUE_WORDS.isdisjoint(_PLAIN.findall(low)) and _CUE.search(low) is not None or low[:1] == "©" or low[:4] == "(c) "
 
 
 class Lines:
@@ -226,15 +236,15 @@ class Lines:
 
     def _add(self, number: int, text: str, linked: int, container: int, hint: float, tags: list[str] | tuple[str, ...], pre: bool, blank: bool) -> None:
         score = hint if hint < 0 else 0.0
-        low = text.lower().strip(" :")
-        words = len(text.split())
-        if self.frame_only:  # text of some length is hardly of a frame
+        words = text.count(" ") + 1  # white space is squeezed, but in bare lines; near enough
+        frame_only = self.frame_only
+        if frame_only:  # text of some length is hardly of a frame
             score += W_BLOCK + min(5.0, words / 12)
         hard = False
         if pre:
             score += W_CODE
         else:
-            ends = len(_SENTENCE.findall(text))
+            ends = len(_SENTENCE.findall(text)) if not _STOPS.isdisjoint(text) else 0
             if ends and words >= 4:
                 score += W_SENTENCE + min(3.0, W_MORE * (ends - 1))
                 if words >= 15:
@@ -243,32 +253,37 @@ class Lines:
                 score += W_SENTENCE
             else:
                 score += W_WORDS if words > 1 else 0.0
-            share = linked / max(1, len(text))
-            if share > 0.6 and not self.frame_only:
-                score += W_LINKED * share
-            elif text.endswith("…") and linked:
-                score += 2 * W_TEASER if self.frame_only else W_TEASER
-            if low in _WORDS_OF_SECTIONS:
-                score += W_SECTION
-                hard = True
-            elif low in _WORDS_OF_NAV:
-                score += W_NAV
-            elif ends < 3 and words < 40 and is_cue(low):
-                score += W_CUE
-            elif words < 30 and not ends:
-                pieces = [p for p in _SEPARATORS.split(text) if p]
-                if len(pieces) > 2 and sum(p.lower() in _WORDS_OF_NAV for p in pieces) * 2 >= len(pieces):
+            share = linked / len(text) if linked else 0.0
+            if share > 0.6:
+                if not frame_only:
+                    score += W_LINKED * share
+            elif linked and text.endswith("…"):
+                score += 2 * W_TEASER if frame_only else W_TEASER
+            if words < 30 and ends < 3:
+                low = text.lower().strip(" :")
+                short = words < 8
+                if short and low in _WORDS_OF_SECTIONS:
+                    score += W_SECTION
+                    hard = True
+                elif short and low in _WORDS_OF_NAV:
                     score += W_NAV
-                elif len(pieces) > 3 and "|" in text and not self.frame_only:
-                    score += W_SEPARATED
-                elif len(pieces) > 1 and pieces[0].lower() in _WORDS_OF_NAV and linked:
-                    score += W_NAV  # breadcrumbs
-            if _COMMENTER.match(text) and ends < 3:
-                score += W_COMMENT
+                elif is_cue(low):
+                    score += W_CUE
+                elif not ends:
+                    if "|" in text or "  " in text or ">" in text or "»" in text or "›" in text or "·" in text:
+                        pieces = [p for p in _SEPARATORS.split(text) if p]
+                        if len(pieces) > 2 and sum(p.lower() in _WORDS_OF_NAV for p in pieces) * 2 >= len(pieces):
+                            score += W_NAV
+                        elif len(pieces) > 3 and "|" in text and not frame_only:
+                            score += W_SEPARATED
+                        elif len(pieces) > 1 and pieces[0].lower() in _WORDS_OF_NAV and linked:
+                            score += W_NAV  # breadcrumbs
+                if words > 1 and not hard and not frame_only and self._is_title(text):
+                    score += W_TITLE
+                if text[0].islower() and _COMMENTER.match(text):
+                    score += W_COMMENT
             if share <= 0.6 and not _BLOCKS.isdisjoint(tags):
                 score += W_BLOCK
-            if 1 < words < 30 and ends < 3 and not hard and not self.frame_only and self._is_title(text):
-                score += W_TITLE
         self.number.append(number)
         self.text.append(text)
         self.unary.append(score)

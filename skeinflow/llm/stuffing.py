@@ -44,11 +44,12 @@ REDUNDANT_SHAPE, PROSE_NONE, FEW_ENDS = 0.75, 0.2, 0.035
 BLOCK_CHARS, EDGE_CHARS, MOST, LEAST_WORDS = 500, 250, 0.4, 12
 
 _WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
-_END_SIGNS = frozenset(".!?…。！？")
+_ENDS = re.compile("[.!?…。！？]+")
 
 
 class _Shapes(dict):
-    """Sign of each token in a language, kept for the tokens seen last."""
+    """Sign of each token in a language, kept for the tokens seen last: function words and punctuation stand for
+    themselves, other words are W, numbers 0, addresses U."""
 
     def __init__(self, function: frozenset[str]):
         super().__init__()
@@ -58,7 +59,7 @@ class _Shapes(dict):
         if len(self) > 100_000:
             self.clear()
         first = token[0]
-        sign = "U" if token.startswith("http") else "0" if first.isdigit() else token if not first.isalpha() or token in self.function else "w"
+        sign = "U" if token.startswith("http") else "0" if first.isdigit() else token if not first.isalpha() or token in self.function else "W"
         self[token] = sign
         return sign
 
@@ -72,33 +73,37 @@ def _relative(data: bytes, curve: tuple[float, float]) -> float:
     return (len(zlib.compress(data, 6)) - 11) / len(data) / max(0.15, expected)
 
 
-def block_figures(text: str) -> tuple[int, float, float, float, float]:
-    """(words, redundancy of words, redundancy of shape, sentence ends per word, share of function words) of a block.
+Figures = tuple[int, float, float, float, float]
 
-    Redundancies are ratios relative to plain text of the length and language: 1 is plain, 0 is all repetition.
+
+def block_figures(blocks: list[str]) -> list[Figures]:
+    """(words, redundancy of words, redundancy of shape, sentence ends per word, share of function words) of each block
+    of a page.
+
+    Redundancies are ratios relative to plain text of the length and of the page's language, which is the one with most
+    function words: 1 is plain, 0 is all repetition.
     """
-    tokens = _WORD.findall(text.lower())
-    words = [t for t in tokens if t[0].isalpha() and t[:4] != "http"]
-    n = len(words)
-    if not n:
-        return len(tokens), 1.0, 1.0, 0.0, 0.0
-    hits = {k: sum(map(s.__contains__, words)) for k, s in _WORDS_OF.items()}
+    each = [_WORD.findall(b.lower()) for b in blocks]
+    hits = {k: sum(sum(map(s.__contains__, t)) for t in each) for k, s in _WORDS_OF.items()}
     lang = max(hits, key=hits.__getitem__)
-    shape = " ".join(map(_SHAPES[lang].__getitem__, tokens)).encode()
-    # ends of sentences that have function words and more than three words
-    good = count = known = 0
-    has = _WORDS_OF[lang].__contains__
-    for t in tokens:
-        if t[0].isalpha():
-            count += 1
-            known += has(t)
-        elif t in _END_SIGNS:
-            good += count > 3 and known > 0
-            count = known = 0
-    return n, _relative(" ".join(words).encode(), _PLAIN_WORDS[lang]), _relative(shape, _PLAIN_SHAPE[lang]), good / n, hits[lang] / n
-
-
-def is_stuffed(figures: tuple[int, float, float, float, float]) -> bool:
+    sign, has = _SHAPES[lang].__getitem__, _WORDS_OF[lang].__contains__
+    out = []
+    for tokens in each:
+        signs = list(map(sign, tokens))
+        words = [t for t, s in zip(tokens, signs, strict=True) if s == "W" or s[0].isalpha() and s != "U"]
+        n = len(words)
+        if not n:
+            out.append((len(tokens), 1.0, 1.0, 0.0, 0.0))
+            continue
+        shape = " ".join(signs)
+        # ends of sentences that have function words (the only lower-case signs) and more than three words
+        ends = sum(s.count(" ") > 3 and s != s.upper() for s in _ENDS.split(shape)[:-1])
+        plain = " ".join(words).encode()
+        out.append((n, _relative(plain, _PLAIN_WORDS[lang]), _relative(shape.encode(), _PLAIN_SHAPE[lang]), ends / n, sum(map(has, words)) / n))
+    return out
+
+
+def is_stuffed(figures: Figures) -> bool:
     """Whether a block is: its words are extremely redundant (the more function words, the more so), or its shape is and
     few sentences end in it."""
     _, words, shape, ends, function = figures
@@ -138,7 +143,7 @@ def stuffed_share(page: str | None, url: str | None = None) -> float | None:
     """Share of the words of a page's own content that stand in stuffed blocks; null where it has too few words."""
     if not page or page.isspace():
         return None
-    figures = [block_figures(b) for b in own_blocks(page, url)]
+    figures = block_figures(own_blocks(page, url))
     words = sum(f[0] for f in figures)
     if words < LEAST_WORDS:
         return None
