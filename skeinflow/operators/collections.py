@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from skeinflow.operators.keyed import Store
 
-VALUE = F.col("value")
 
 
 def _expr(f: Column | Callable, *args: Column) -> Column:
@@ -45,25 +44,25 @@ class Bag:
         """f gives an array of texts; null and empty ones give nothing."""
         if python:
             return Bag(_flat_python(self.df, f, "value string", ["value"]))
-        return Bag(self.df.select(F.explode(_expr(f, VALUE)).alias("value")).where("value is not null"))
+        return Bag(self.df.select(F.explode(_expr(f, F.col("value"))).alias("value")).where("value is not null"))
 
     def map_to_pair(self, f, python: bool = False) -> Pairs:
         """f gives one pair; null pairs are dropped."""
         if python:
             return Pairs(_flat_python(self.df, lambda v: [f(v)], "key string, value string", ["key", "value"]))
-        key, value = f(VALUE) if callable(f) else f
+        key, value = f(F.col("value")) if callable(f) else f
         return Pairs(self.df.select(key.alias("key"), value.alias("value")).where("key is not null"))
 
     def flat_map_to_pair(self, f, python: bool = False) -> Pairs:
         """f gives an array of struct(key, value)."""
         if python:
             return Pairs(_flat_python(self.df, f, "key string, value string", ["key", "value"]))
-        return Pairs(self.df.select(F.inline(_expr(f, VALUE)).alias("key", "value")))
+        return Pairs(self.df.select(F.inline(_expr(f, F.col("value"))).alias("key", "value")))
 
     def filter(self, f, python: bool = False) -> Bag:
         if python:
             return Bag(_flat_python(self.df, lambda v: [v] if f(v) else [], "value string", ["value"]))
-        return Bag(self.df.where(_expr(f, VALUE)))
+        return Bag(self.df.where(_expr(f, F.col("value"))))
 
     def map_partitions(self, f: Callable[[Iterator[str]], Iterable[str]]) -> Bag:
         """f maps the texts of a partition, given as an iterator, to any number of texts."""
@@ -100,7 +99,7 @@ class Bag:
 
     def group_by(self, f) -> Pairs:
         """(f(value), the values with this result in ascending order, joined by commas)."""
-        groups = self.df.groupBy(_expr(f, VALUE).alias("key")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
+        groups = self.df.groupBy(_expr(f, F.col("value")).alias("key")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
         return Pairs(groups)
 
     def fold(self, zero: str, f: Callable | None = None, aggregate: Column | None = None) -> DataFrame:
@@ -160,12 +159,12 @@ class Pairs:
     def flat_map(self, f, python: bool = False) -> Bag:
         if python:
             return Bag(_flat_python(self.df, f, "value string", ["value"]))
-        return Bag(self.df.select(F.explode(_expr(f, F.col("key"), VALUE)).alias("value")).where("value is not null"))
+        return Bag(self.df.select(F.explode(_expr(f, F.col("key"), F.col("value"))).alias("value")).where("value is not null"))
 
     def flat_map_to_pair(self, f, python: bool = False) -> Pairs:
         if python:
             return Pairs(_flat_python(self.df, f, "key string, value string", ["key", "value"]))
-        return Pairs(self.df.select(F.inline(_expr(f, F.col("key"), VALUE)).alias("key", "value")))
+        return Pairs(self.df.select(F.inline(_expr(f, F.col("key"), F.col("value"))).alias("key", "value")))
 
     def fold_by_key(self, aggregate: Column) -> Pairs:
         """One pair for each key; the aggregate is algebraic, so partial results are made before the shuffle."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinflow.plans import problems
+from skeinflow.plans import catalogue, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **catalogue.QUERIES}
+SQL = {**problems.SQL, **catalogue.SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p2_found(spark, folder)
+    return catalogue.QUERIES["q4_search"](spark, folder)

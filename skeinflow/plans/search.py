@@ -14,8 +14,13 @@ RESULTS = 200
 
 
 def indexed_pages(spark: SparkSession, folder: str, done: DataFrame | None = None, english_only: bool = False) -> DataFrame:
+    """(url, text) of the crawl's pages to index; see ``pages_of``."""
+    return pages_of(table(spark, folder, "crawl"), done, english_only)
+
+
+def pages_of(crawl: DataFrame, done: DataFrame | None = None, english_only: bool = False) -> DataFrame:
     """(url, text) of pages to index: of several fetches of an address the last, and none that ``done`` has."""
-    crawl = table(spark, folder, "crawl").where("page is not null and url is not null").where(F.length("url") <= MAX_URL)
+    crawl = crawl.where("page is not null and url is not null").where(F.length("url") <= MAX_URL)
     if english_only:
         crawl = crawl.where(passes_language(F.col("url")))
     if done is not None:
