@@ -306,6 +306,8 @@ def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0)
         if m and (depth < 4 or indents) and not (m.group(2)[0] == "`" and "`" in m.group(3)):
             end_para()
             end_item()
+            if depth < 2:
+                indents = []
             mark, pad = m.group(2), len(m.group(1))
             j = i + 1
             body = []

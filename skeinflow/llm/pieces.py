@@ -84,6 +84,11 @@ class _Document:
 
 def split_document(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: int) -> list[str]:
     """Pieces of at most ``limit`` tokens, each beginning with the last ``overlap`` tokens of what was before it."""
+    return [text[a:b] for a, _, b in split_spans(codec, text, ids, limit, overlap)]
+
+
+def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first character with the overlap, without it, end) of each piece."""
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit - 1))
     doc = _Document(codec, text, ids)
@@ -111,6 +116,9 @@ def split_document(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap
                 return x
         return min(tried, key=lambda x: (abs(x - wanted), x), default=a)
 
+    def result() -> list[tuple[int, int, int]]:
+        return [(int(doc.char[s]), int(doc.char[a]), int(doc.char[b])) for s, (a, b) in zip(begins, spans, strict=True)]
+
     spans = bisect([(0, doc.n)], max(1, limit - overlap))
     begins = [begin(a) for a, _ in spans]
     while True:
@@ -118,7 +126,7 @@ def split_document(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap
         sizes = np.diff(codec.encode_many(pieces)[1])
         long = {i for i, n in enumerate(sizes) if n > limit}
         if not long:
-            return pieces
+            return result()
         again, starts = [], []
         for i, (a, b) in enumerate(spans):
             halves = bisect([(a, b)], max(1, (b - a) - 1 - max(0, int(sizes[i]) - limit - 1))) if i in long else [(a, b)]
@@ -128,7 +136,7 @@ def split_document(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap
                 while s < a and doc.char[s] < 0:
                     s += 1
                 if begins[i] >= a:
-                    return pieces  # a single character of more tokens than the limit
+                    return result()  # a single character of more tokens than the limit
                 again.append((a, b))
                 starts.append(s)
                 continue
