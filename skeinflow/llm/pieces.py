@@ -23,27 +23,29 @@ from skeinflow.llm.mix import canonical
 from skeinflow.llm.tokens import VOCABULARY, Codec, broadcast_model, text_blocks, worker_codec
 
 PARAGRAPH, LINE, SENTENCE, WORD, TOKEN = 5, 4, 3, 2, 1
-_SPACES = regex.compile(r"\s+")
+_BREAK = regex.compile(r"\s*[\n\r]\s*")
+_SPACE_CODES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _SENTENCE_END = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？｡।؟]+[”’」』）]*")
 
 
 def boundary_strengths(text: str) -> np.ndarray:
     """Strength of a cut before each character (and at the end) of text; 0 where nothing natural is."""
-    out = np.zeros(len(text) + 1, np.int8)
-    for m in _SENTENCE_END.finditer(text):
-        out[m.end()] = SENTENCE
-    for m in _SPACES.finditer(text):
+    n = len(text)
+    out = np.zeros(n + 1, np.int8)
+    space = np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), _SPACE_CODES)
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    out[:n][begins] = WORD
+    ends = np.fromiter((m.end() for m in _SENTENCE_END.finditer(text)), np.int64)
+    if len(ends):  # before the white space after a sentence, and after it
+        solid = np.append(np.flatnonzero(~space), n)
+        out[ends] = SENTENCE
+        out[solid[np.searchsorted(solid, ends)]] = SENTENCE
+    for m in _BREAK.finditer(text):
         run = m.group()
-        breaks = run.count("\n") or run.count("\r")
-        if breaks:
-            out[m.end()] = PARAGRAPH if breaks > 1 else LINE
-            # the end of a line itself, before the indentation of the next
-            last = max(run.rfind("\n"), run.rfind("\r")) + 1
-            out[m.start() + last] = max(out[m.start() + last], PARAGRAPH if breaks > 1 else LINE)
-        else:
-            out[m.start()] = max(out[m.start()], WORD)
-            if out[m.start()] == SENTENCE:
-                out[m.end()] = max(out[m.end()], SENTENCE)
+        strength = PARAGRAPH if (run.count("\n") or run.count("\r")) > 1 else LINE
+        # after the line's end, before or after the indentation of the next line
+        out[m.end()] = out[m.start() + max(run.rfind("\n"), run.rfind("\r")) + 1] = strength
     return out
 
 
@@ -104,23 +106,33 @@ def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: i
                 stack += [(at, b), (a, at)]
         return out
 
-    def begin(a: int) -> int:
-        """Token boundary at which the overlap before a begins: its text by itself has ``overlap`` tokens, if any choice has."""
-        wanted = max(0, a - overlap)
-        if overlap == 0 or a == 0:
-            return a
-        tried = [wanted] + [x for d in range(1, 9) for x in (wanted - d, wanted + d)]
-        tried = [x for x in tried if 0 <= x < a and doc.char[x] >= 0]
-        for x, n in zip(tried, np.diff(codec.encode_many([doc.part(x, a) for x in tried])[1]), strict=True):
-            if n == overlap:
-                return x
-        return min(tried, key=lambda x: (abs(x - wanted), x), default=a)
+    def begin(places: list[int]) -> list[int]:
+        """Token boundaries at which the overlaps before these places begin: an overlap's text by itself has ``overlap``
+        tokens, if any choice near by has."""
+        if overlap == 0:
+            return places
+        first = [max(0, a - overlap) for a in places]
+        sizes = np.diff(codec.encode_many([doc.part(x, a) if doc.char[x] >= 0 else None for x, a in zip(first, places, strict=True)])[1])
+        out = []
+        for a, wanted, n in zip(places, first, sizes, strict=True):
+            if n == overlap or a == 0:
+                out.append(wanted)
+                continue
+            near = [x for d in range(0, 9) for x in (wanted - d, wanted + d)]
+            near = [x for x in near if 0 <= x < a and doc.char[x] >= 0]
+            for x, k in zip(near, np.diff(codec.encode_many([doc.part(x, a) for x in near])[1]), strict=True):
+                if k == overlap:
+                    out.append(x)
+                    break
+            else:
+                out.append(min(near, key=lambda x: (abs(x - wanted), x), default=a))
+        return out
 
     def result() -> list[tuple[int, int, int]]:
         return [(int(doc.char[s]), int(doc.char[a]), int(doc.char[b])) for s, (a, b) in zip(begins, spans, strict=True)]
 
     spans = bisect([(0, doc.n)], max(1, limit - overlap))
-    begins = [begin(a) for a, _ in spans]
+    begins = begin([a for a, _ in spans])
     while True:
         pieces = [doc.part(s, b) for s, (_, b) in zip(begins, spans, strict=True)]
         sizes = np.diff(codec.encode_many(pieces)[1])
@@ -142,7 +154,7 @@ def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: i
                 continue
             for k, (x, y) in enumerate(halves):
                 again.append((x, y))
-                starts.append(begins[i] if k == 0 else begin(x))
+                starts.append(begins[i] if k == 0 else begin([x])[0])
         spans, begins = again, starts
 
 

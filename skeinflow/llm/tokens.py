@@ -30,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text whose pre-tokens are gathered at once.
 BLOCK_CHARS = 2_000_000
+#: Pre-tokens whose ids a worker keeps, and characters of the longest of them.
+MOST_KEPT, LONGEST_KEPT = 150_000, 24
 
 
 def byte_characters() -> str:
@@ -92,6 +94,7 @@ class Codec:
         back = {c: b for b, c in self.names.items()}
         n = self.pieces.get_piece_size() - 1
         self.tokens = tokens or [bytes(back[c] for c in self.pieces.id_to_piece(i)) for i in range(n)]
+        self.known: dict[str, list[int]] = {}
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +110,7 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         coded = pa.array(flat, pa.large_string()).dictionary_encode()
         which = np.asarray(coded.indices)
-        words = [w.encode().decode("latin-1").translate(self.names) for w in coded.dictionary.to_pylist()]
-        lists = self.pieces.encode(words, num_threads=1)
+        lists = self._encode_words(coded.dictionary.to_pylist())
         size = np.array([len(x) for x in lists], np.int64)
         start = np.concatenate([[0], np.cumsum(size)])
         ids = np.fromiter((i for x in lists for i in x), np.int32, count=int(start[-1]))
@@ -119,6 +121,21 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(counts)])
         return out, text_end[ends]
 
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct pre-tokens; those of short ones are kept for later blocks."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            lists = self.pieces.encode([w.encode().decode("latin-1").translate(self.names) for w in new], num_threads=1)
+            if len(known) + len(new) > MOST_KEPT:
+                known.clear()
+                return self._encode_words(words) if len(new) < len(words) else lists
+            long = {w: x for w, x in zip(new, lists, strict=True) if len(w) > LONGEST_KEPT}
+            known.update((w, x) for w, x in zip(new, lists, strict=True) if len(w) <= LONGEST_KEPT)
+            if long:
+                return [long[w] if w in long else known[w] for w in words]
+        return [known[w] for w in words]
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
 
