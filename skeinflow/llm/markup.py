@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEADING, ITEM, CODE, FORMULA = "heading", "list_item", "code", "formula"
+#: A paragraph, its markup left in; for the clean text only.
+TEXT = "text"
 Element = tuple[int, str, str]  # start, kind, content
 
 _SPACES = re.compile(r"\s+")
@@ -178,7 +180,8 @@ _MD_FORMULA = re.compile(r"\$\$(.+?)\$\$|(?<![\\$\w])\$(?![\s$])((?:\\.|[^$\\\n]
 _BLOCK_START = re.compile(r"^ {0,3}(?:#{1,6}(?:[ \t]|$)|>|```|~~~)|^\|")
 
 
-def md_inline(s: str) -> str:
+def md_inline(s: str, formulas: bool = False) -> str:
+    """Without markup; ``formulas`` keeps formulas as they stand."""
     kept: list[str] = []
 
     def keep(text: str) -> str:
@@ -187,6 +190,8 @@ def md_inline(s: str) -> str:
 
     if "`" in s:
         s = _MD_CODE.sub(lambda m: keep(m.group(2).strip()), s)
+    if formulas and ("$" in s or "\\(" in s or "\\[" in s):
+        s = _MD_FORMULA.sub(lambda m: keep(m.group()), s)
     if "\\" in s:
         s = _MD_ESCAPE.sub(lambda m: keep(m.group(1)), s)
     if "](" in s or "][" in s:
@@ -265,6 +270,8 @@ def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0)
                 content = md_inline("\n".join(para))
                 if content:
                     out.append(((first + para_at) * _LINE, HEADING, content))
+            else:
+                out.append(((first + para_at) * _LINE, TEXT, "\n".join(para)))
             _md_formulas("\n".join(para), (first + para_at) * _LINE + 1, out)
             para = []
 
@@ -399,6 +406,7 @@ def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0)
                 content = squeeze(" ".join(text[i + 1 : j]))
                 if content:
                     out.append(((first + i) * _LINE, FORMULA, content))
+                    out.append(((first + i) * _LINE, TEXT, f"$${content}$$"))
                 i = j + 1
                 after_blank = True
                 continue
@@ -452,6 +460,11 @@ def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m.group())
 
 
+def _dollars(m: re.Match) -> str:
+    """A formula in dollars, as long as what it stands for."""
+    return f"${m.group(1)}$".ljust(len(m.group()))
+
+
 def wiki_elements(page: str) -> list[Element]:
     out: list[Element] = []
 
@@ -492,6 +505,11 @@ def wiki_elements(page: str) -> list[Element]:
             content = wiki_inline(m.group(4))
             if content:
                 out.append((m.start(), ITEM, content))
+    place = 0
+    for line in _WIKI_MATH.sub(_dollars, s).split("\n"):
+        if line.strip() and line[0] not in " *#:;=":
+            out.append((place, TEXT, line))
+        place += len(line) + 1
     # lines that begin with a space are preformatted
     run: list[str] = []
     run_at, place = 0, 0
@@ -552,7 +570,8 @@ def _braced(s: str, at: int) -> int:
     return len(s)
 
 
-def tex_inline(s: str) -> str:
+def tex_inline(s: str, formula: str = "{}") -> str:
+    """Without markup; a formula as ``formula`` has it."""
     kept: list[str] = []
 
     def keep(text: str) -> str:
@@ -560,7 +579,7 @@ def tex_inline(s: str) -> str:
         return f"\ue000{len(kept) - 1}\ue001"
 
     s = _TEX_VERB.sub(lambda m: keep(m.group(2)), s)
-    s = _TEX_FORMULA.sub(lambda m: keep(next((g for g in m.groups()[2:] if g), "")), s)
+    s = _TEX_FORMULA.sub(lambda m: keep(formula.format(squeeze(next((g for g in m.groups()[2:] if g), "")))), s)
     s = s.replace("\\\\", " ")
     s = _TEX_SYMBOL.sub(lambda m: keep(m.group(1)), s)
     s = _TEX_DROP.sub("", s)
@@ -618,6 +637,28 @@ def tex_elements(page: str) -> list[Element]:
         content = tex_inline(s[m.end() : end])
         if content:
             out.append((m.start(), HEADING, content))
+    hidden = list(s)  # what is left of it are paragraphs
+
+    def hide(a: int, b: int) -> None:
+        for i in range(a, min(b, len(hidden))):
+            if hidden[i] != "\n":
+                hidden[i] = " "
+
+    depth = opened = 0
+    for m in _TEX_LIST.finditer(s):
+        if m.group(1) == "begin":
+            opened = m.start() if depth == 0 else opened
+            depth += 1
+        elif m.group(1) == "end" and depth:
+            depth -= 1
+            if depth == 0:
+                hide(opened, m.end())
+    if depth:
+        hide(opened, len(s))
+    for m in _TEX_SECTION.finditer(s):
+        hide(m.start(), _braced(s, m.end()) + 1)
+    for m in re.finditer(r"\S(?:.|\n(?![ \t]*\n))*", "".join(hidden)):
+        out.append((m.start(), TEXT, m.group()))
     stack: list[list] = []  # of open lists: [is a description list, start of the item or None, texts]
     last = 0
 
@@ -664,7 +705,7 @@ def elements(page: str | None) -> list[tuple[str, str]]:
         return []
     page = page.replace("\r\n", "\n").replace("\r", "\n")
     parser = _PARSERS.get(page_format(page))
-    return [(kind, content) for _, kind, content in parser(page)] if parser else []
+    return [(kind, content) for _, kind, content in parser(page) if kind != TEXT] if parser else []
 
 
 # ---------------------------------------------------------------- tag-path ratios
@@ -739,8 +780,8 @@ def content_nodes(nodes: list[tuple[str, str, int]], width: int = 2) -> list[boo
 
 
 def main_text(page: str | None) -> str | None:
-    """Clean text: of HTML the content nodes, one a line; of other markup headings as '# ', items as '- ', code in
-    fences and formulas in dollars, and the other lines without their markup.  Null for a null page."""
+    """Clean text, in the page's order: of HTML the content nodes, one a line; of other markup headings as '# ', items as
+    '- ', code in fences, paragraphs without their markup and formulas in dollars.  Null for a null page."""
     if page is None:
         return None
     page = page.replace("\r\n", "\n").replace("\r", "\n")
@@ -750,11 +791,11 @@ def main_text(page: str | None) -> str | None:
         return "\n".join(_rendered(path, text) for (path, text, _), keep in zip(nodes, content_nodes(nodes), strict=True) if keep)
     if kind == "text":
         return "\n".join(squeeze(x) for x in page.split("\n")).strip()
-    marks = {HEADING: "# {}", ITEM: "- {}", CODE: "```\n{}\n```", FORMULA: "${}$"}
-    found = "\n".join(marks[k].format(c) for k, c in elements(page))
-    inline = {"markdown": md_inline, "wiki": wiki_inline, "latex": tex_inline}[kind]
-    paragraphs = [inline(x) for x in _prose(page, kind)]
-    return "\n".join([*filter(None, paragraphs), found]).strip()
+    inline = {"markdown": lambda x: md_inline(x, formulas=True), "wiki": wiki_inline, "latex": lambda x: tex_inline(x, "${}$")}[kind]
+    marks = {HEADING: "# {}", ITEM: "- {}", CODE: "```\n{}\n```"}
+    # formulas stand in their paragraphs
+    lines = [inline(c) if k == TEXT else marks[k].format(c) for _, k, c in _PARSERS[kind](page) if k != FORMULA]
+    return "\n".join(x for x in lines if x)
 
 
 def _rendered(path: str, text: str) -> str:
@@ -764,24 +805,6 @@ def _rendered(path: str, text: str) -> str:
     return "- " + text if last == "li" else text
 
 
-def _prose(page: str, kind: str) -> list[str]:
-    """Lines that are no element, of a page that is not HTML."""
-    s = page
-    if kind == "latex":
-        begin = s.find("\\begin{document}")
-        s = s[begin + 16 :] if begin >= 0 else s
-        s = _TEX_COMMENT.sub(r"\1", _TEX_FORMULA.sub(" ", _TEX_CODE.sub("", s)))
-        return [x for x in s.split("\n") if x.strip() and not _TEX.match(x) and not re.match(r"\s*\\(?:label|end|usepackage)", x)]
-    if kind == "wiki":
-        s = _WIKI_TABLE.sub("", _REF.sub("", _WIKI_MATH.sub(" ", _WIKI_CODE.sub("", _COMMENT.sub("", s)))))
-        while (t := _TEMPLATE.sub("", s)) != s:
-            s = t
-        return [x for x in s.split("\n") if x.strip() and not _WIKI_LINE.match(x)]
-    s = re.sub(r"^( *)(`{3,}|~{3,}).*?^ *\2`*~*[ \t]*$", "", _COMMENT.sub("", s), flags=re.M | re.S)
-    s = _MD_FORMULA.sub(" ", s)
-    return [x.lstrip("> ") for x in s.split("\n") if x.strip() and not (_ATX.match(x) or _ITEM.match(x) or _SETEXT.match(x) or _RULE.match(x) or x.startswith(("    ", "|")))]
-
-
 # ---------------------------------------------------------------- operators
 
 
