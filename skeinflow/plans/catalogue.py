@@ -543,6 +543,14 @@ def f8_language_filter(s, d):
     return table(s, d, "crawl").where(U.passes_language(F.col("url"))).select("page_id")
 
 
+@query(f"""SELECT page_id, list_filter(u, lambda x: NOT list_has_any(regexp_extract_all(x, '[A-Za-z0-9]+'), [{_quoted(sorted({*U.COUNTRY_CODES, *U.LANGUAGE_CODES}))}])) AS urls
+    FROM (SELECT page_id, list_distinct([url, lower(url)]) AS u FROM crawl WHERE url IS NOT NULL AND url = lower(url))""")
+def f9_language_filter_list(s, d):
+    """The filter over a list of addresses."""
+    rows = table(s, d, "crawl").where("url is not null and url = lower(url)").select("page_id", F.array_distinct(F.array("url", F.lower("url"))).alias("u"))
+    return rows.select("page_id", F.filter("u", lambda x: U.passes_language(x)).alias("urls"))
+
+
 @query("SELECT page_id, regexp_replace(page, '<[^<>]*(>|\\z)', ' ', 'g') AS text FROM crawl WHERE page IS NOT NULL")
 def f10_strip_tags(s, d):
     return table(s, d, "crawl").where("page is not null").select("page_id", W.stripped(F.col("page")).alias("text"))
@@ -566,6 +574,16 @@ def f13_positions(s, d):
     return W.word_positions(S.indexed_pages(s, d), "url", F.col("text"))
 
 
+@query("""SELECT doc_id, w AS term, count(*) AS n, list(CAST(p AS INTEGER) ORDER BY p) AS positions FROM
+    (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS p FROM documents WHERE text IS NOT NULL)
+    WHERE w <> '' GROUP BY doc_id, w""")
+def f13_positions_by_space(s, d):
+    """Positions of the older index: texts split at single spaces only."""
+    docs = table(s, d, "documents").where("text is not null")
+    each = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), " ")).alias("p", "term")).where("term <> ''")
+    return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list((F.col("p") + 1).cast("int"))).alias("positions"))
+
+
 @query()
 def f14_stems(s, d):
     return W.with_stems(S.word_postings(S.indexed_pages(s, d)).select("term").distinct())
@@ -588,7 +606,7 @@ def f16_stop_words(s, d):
     return queries.select("doc_id", W.all_stop_words(W.tokens(F.col("text"))).alias("only_stop_words"))
 
 
-@query(f"""SELECT doc_id, round(len(list_filter(w, lambda x: x NOT IN ({_STOPS}))) + 0.05 * len(list_filter(w, lambda x: x IN ({_STOPS}))), 6) AS weight FROM ({_QUERIES})""")
+@query(f"""SELECT doc_id, round(CAST(len(list_filter(w, lambda x: x NOT IN ({_STOPS}))) + 0.05 * len(list_filter(w, lambda x: x IN ({_STOPS}))) AS DOUBLE), 6) AS weight FROM ({_QUERIES})""")
 def f17_query_weight(s, d):
     queries = table(s, d, "documents").where("text is not null and lower(trim(source)) = 'queries'")
     return queries.select("doc_id", F.round(W.word_weight(W.tokens(F.col("text")), True), 6).alias("weight"))
@@ -728,6 +746,24 @@ def q2_pagerank(s, d):
     return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
 
 
+@query()
+def q2_pagerank_strict(s, d):
+    """Until every rank has settled."""
+    pages = G.fetched_pages(s, d)
+    ranks = G.pagerank(pages.select(F.col("url").alias("id")), G.links(pages), share=1.0, most=100)
+    return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
+
+
+@query()
+def q2_pagerank_linked(s, d):
+    """Of pages that have links only, until 95 % of the ranks have settled, at most 100 rounds."""
+    pages = G.fetched_pages(s, d)
+    edges = G.links(pages)
+    linked = edges.select(F.col("src").alias("id")).distinct()
+    ranks = G.pagerank(linked, edges, share=0.95, most=100)
+    return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
+
+
 def _score_sql(score: str, weight: str = "tf * ln(np / df) / 4") -> str:
     return f"""WITH {_PAGES}, np AS (SELECT CAST(count(*) AS DOUBLE) AS np FROM pages),
         hits AS (SELECT term, url, n AS tf FROM idx WHERE {_ASKED}), dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
