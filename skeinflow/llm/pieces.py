@@ -86,11 +86,11 @@ class _Document:
 
 def split_document(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: int) -> list[str]:
     """Pieces of at most ``limit`` tokens, each beginning with the last ``overlap`` tokens of what was before it."""
-    return [text[a:b] for a, _, b in split_spans(codec, text, ids, limit, overlap)]
+    return [text[a:b] for a, _, b, _ in split_spans(codec, text, ids, limit, overlap)]
 
 
-def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(first character with the overlap, without it, end) of each piece."""
+def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(first character with the overlap, without it, end, tokens) of each piece."""
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit - 1))
     doc = _Document(codec, text, ids)
@@ -128,8 +128,8 @@ def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: i
                 out.append(min(near, key=lambda x: (abs(x - wanted), x), default=a))
         return out
 
-    def result() -> list[tuple[int, int, int]]:
-        return [(int(doc.char[s]), int(doc.char[a]), int(doc.char[b])) for s, (a, b) in zip(begins, spans, strict=True)]
+    def result() -> list[tuple[int, int, int, int]]:
+        return [(int(doc.char[s]), int(doc.char[a]), int(doc.char[b]), int(n)) for s, (a, b), n in zip(begins, spans, sizes, strict=True)]
 
     spans = bisect([(0, doc.n)], max(1, limit - overlap))
     begins = begin([a for a, _ in spans])
@@ -186,17 +186,17 @@ def split_oversized(documents: DataFrame, limits: DataFrame, vocabulary: str = V
                 texts = block.column(1).to_pylist()
                 ids, offsets = codec.encode_many(texts)
                 limit, overlap = block.column(2).to_pylist(), block.column(3).to_pylist()
-                at, number, out = [], [], []
+                at, number, out, size = [], [], [], []
                 for i, t in enumerate(texts):
                     own = ids[offsets[i] : offsets[i + 1]]
                     if len(own) > limit[i]:
-                        pieces = split_document(codec, t, own, limit[i], overlap[i])
-                        at += [i] * len(pieces)
-                        number += range(1, len(pieces) + 1)
-                        out += pieces
+                        spans = split_spans(codec, t, own, limit[i], overlap[i])
+                        at += [i] * len(spans)
+                        number += range(1, len(spans) + 1)
+                        out += [t[a:b] for a, _, b, _ in spans]
+                        size += [n for *_, n in spans]
                 if at:
-                    size = np.diff(codec.encode_many(out)[1]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(at)), pa.array(number, pa.int32()), pa.array(out, pa.string()), pa.array(size)], names=["doc_id", "number", "text", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(at)), pa.array(number, pa.int32()), pa.array(out, pa.string()), pa.array(size, pa.int32())], names=["doc_id", "number", "text", "n_tokens"])
 
     schema = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("number", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.IntegerType())])
     return src.mapInArrow(run, schema)
