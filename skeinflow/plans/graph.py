@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.urls import normalized, page_links, passes_language, without_fragment
-from skeinflow.session import written
+from skeinflow.session import discard, written
 from skeinflow.sources.tables import table
 
 DAMPING, FLOOR = 0.85, 0.15
@@ -69,7 +69,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, e
     shares = written(inner_edges(edges, vertices), "edges")
     ranks = start_ranks(vertices)
     for k in range(rounds if rounds is not None else most):
-        ranks = written(rank_round(ranks, shares), "ranks")
+        before, ranks = ranks, written(rank_round(ranks, shares), "ranks")
+        if k:
+            discard(before)  # a round reads the last one only
         if rounds is None:
             done, n = converged(ranks, eps)
             if done >= share * n:

@@ -71,3 +71,16 @@ def test_postings(spark):
     got = sorted((r["term"], r["n"], r["positions"]) for r in S.postings(pages).collect())
     assert got == [("cat", 1, [1]), ("cat", 1, [2]), ("cats", 1, [1]), ("the", 1, [3])]
     assert {r["key"]: r["url"] for r in S.rendered(S.word_postings(pages)).collect()}["cat"] == "u^1 2"
+
+
+def test_rounds_leave_one_table(spark):
+    from pathlib import Path
+
+    from skeinflow.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("ranks-*"))
+    v = spark.createDataFrame([("a",), ("b",)], "id string")
+    e = spark.createDataFrame([("a", "b")], "src string, dst string")
+    ranks = G.pagerank(v, e, rounds=5)
+    assert len(set(folder.glob("ranks-*")) - before) == 1 and ranks.count() == 2
