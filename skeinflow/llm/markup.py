@@ -74,7 +74,8 @@ _STRUCTURE = re.compile(r"<(/?)(h[1-6]|li|[uo]l|pre)(?=[\s>/])[^<>]*>", re.I)
 _BREAKING = re.compile(r"</?(?:br|p|div|li|[uo]l|h[1-6]|t[rdh]|table|hr|blockquote|dt|dd|dl|section|article|main|aside|nav|header|footer|pre)\b[^<>]*>", re.I)
 _ANY_TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
 _PRE_END = re.compile(r"</pre\s*>", re.I)
-_DISPLAYED = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$", re.S)
+#: An opening sign is looked for once: what it opens holds no other of its kind.
+_DISPLAYED = re.compile(r"\\\(((?:(?!\\\().)+?)\\\)|\\\[((?:(?!\\\[).)+?)\\\]|\$\$(.+?)\$\$", re.S)
 _CODE_SPAN = re.compile(r"<(pre|code)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 
 
@@ -176,7 +177,7 @@ _STARS = re.compile(r"(\*{1,3})(?=\S)((?:(?!\1).)+?)(?<=\S)\1", re.S)
 _UNDERS = re.compile(r"(?<![A-Za-z0-9_])(_{1,3})(?=\S)((?:(?!\1).)+?)(?<=\S)\1(?![A-Za-z0-9_])", re.S)
 _STRIKE = re.compile(r"~~(?=\S)(.+?)(?<=\S)~~", re.S)
 #: Inline dollars: no space inside at either end, no digit after the closing one, so amounts of money are none.
-_MD_FORMULA = re.compile(r"\$\$(.+?)\$\$|(?<![\\$\w])\$(?![\s$])((?:\\.|[^$\\\n]|\n(?!\s*\n))*?)(?<![\s\\])\$(?![\d$])|\\\((.+?)\\\)|\\\[(.+?)\\\]", re.S)
+_MD_FORMULA = re.compile(r"\$\$(.+?)\$\$|(?<![\\$\w])\$(?![\s$])((?:\\.|[^$\\\n]|\n(?!\s*\n))*?)(?<![\s\\])\$(?![\d$])|\\\(((?:(?!\\\().)+?)\\\)|\\\[((?:(?!\\\[).)+?)\\\]", re.S)
 _BLOCK_START = re.compile(r"^ {0,3}(?:#{1,6}(?:[ \t]|$)|>|```|~~~)|^\|")
 
 
@@ -242,7 +243,7 @@ def _md_formulas(text: str, start: int, out: list[Element]) -> None:
 
 def md_elements(page: str) -> list[Element]:
     out: list[Element] = []
-    _md_blocks([(line, 0) for line in page.split("\n")], out)
+    _md_blocks(page.split("\n"), out)
     # starts are numbers of lines and places within; see _md_blocks
     out.sort(key=lambda e: e[0])
     return out
@@ -251,10 +252,13 @@ def md_elements(page: str) -> list[Element]:
 _LINE = 1 << 24  # places: number of the line times _LINE, plus the place within its block
 
 
-def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0) -> None:
+#: Quotes within quotes that are read; deeper ones are text.
+_MOST_NESTED = 40
+
+
+def _md_blocks(text: list[str], out: list[Element], first: int = 0, nested: int = 0) -> None:
     """Elements of a block of lines; ``first`` is the number of its first line."""
-    n = len(lines)
-    text = [x for x, _ in lines]
+    n = len(text)
     i = 0
     para: list[str] = []
     para_at = 0
@@ -366,7 +370,7 @@ def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0)
             i = j
             continue
         end_item()
-        if stripped.startswith(">") and depth < 4:
+        if stripped.startswith(">") and depth < 4 and nested < _MOST_NESTED:
             end_para()
             j = i
             inner = []
@@ -374,7 +378,7 @@ def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0)
                 q = text[j].lstrip()
                 inner.append(q[2:] if q.startswith("> ") else q[1:] if q.startswith(">") else q)
                 j += 1
-            _md_blocks([(x, 0) for x in inner], out, first + i)
+            _md_blocks(inner, out, first + i, nested + 1)
             i = j
             after_blank = True
             continue
@@ -428,7 +432,7 @@ def _md_blocks(lines: list[tuple[str, int]], out: list[Element], first: int = 0)
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _WIKI_CODE = re.compile(r"<(pre|syntaxhighlight|source)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.I | re.S)
-_WIKI_MATH = re.compile(r"<math\b[^<>]*(?<!/)>(.*?)(?:</math\s*>)", re.I | re.S)
+_WIKI_MATH = re.compile(r"<math\b[^<>]*(?<!/)>((?:(?!<math\b).)*?)</math\s*>", re.I | re.S)
 _NOWIKI = re.compile(r"<nowiki>(.*?)</nowiki>", re.I | re.S)
 _REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?(?:</ref\s*>|\Z)", re.I | re.S)
 _TEMPLATE = re.compile(r"\{\{(?:[^{}]|\{[^{}]*\})*\}\}")
@@ -537,7 +541,7 @@ _TEX_COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%[^\n]*")
 _TEX_VERB = re.compile(r"\\(?:verb\*?|lstinline)([^\w\s*{])(.*?)\1")
 _MATH_ENV = "equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat"
 _TEX_FORMULA = re.compile(
-    rf"\\begin\{{({_MATH_ENV})(\*?)\}}(.*?)\\end\{{\1\2\}}|(?<!\\)\\\[(.+?)(?<!\\)\\\]|(?<!\\)\\\((.+?)(?<!\\)\\\)|(?<!\\)\$\$(.+?)(?<!\\)\$\$|(?<![\\$])\$(?!\$)((?:\\.|[^$\\])+?)\$",
+    rf"\\begin\{{({_MATH_ENV})(\*?)\}}((?:(?!\\begin\{{\1\2\}}).)*?)\\end\{{\1\2\}}|(?<!\\)\\\[((?:(?!(?<!\\)\\\[).)+?)(?<!\\)\\\]|(?<!\\)\\\(((?:(?!(?<!\\)\\\().)+?)(?<!\\)\\\)|(?<!\\)\$\$(.+?)(?<!\\)\$\$|(?<![\\$])\$(?!\$)((?:\\.|[^$\\])+?)\$",
     re.S,
 )
 _TEX_SECTION = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]\n]*\])?\{")
@@ -552,22 +556,34 @@ _TEX_CHARS = {"textbackslash": "\\", "textasciitilde": "~", "textasciicircum": "
 _TEX_NAMED = re.compile(r"\\(textbackslash|textasciitilde|textasciicircum|ldots|dots|LaTeX|TeX|ss|S)\b(?:\{\})?[ \t]?")
 
 
-def _braced(s: str, at: int) -> int:
-    """The place of the brace that closes the one before ``at``; the end of the text where none does."""
-    depth = 1
-    while at < len(s):
-        c = s[at]
-        if c == "\\":
-            at += 2
+_BRACE = re.compile(r"\\.|[{}]", re.S)
+
+
+def _headings(s: str) -> list[tuple[int, int, int]]:
+    """(start, place after the opening brace, place of the closing one) of each heading that is in no other.
+
+    All braces are matched in one pass; a heading whose brace is never closed ends with its line.
+    """
+    found = list(_TEX_SECTION.finditer(s))
+    if not found:
+        return []
+    closing: dict[int, int] = {}
+    stack: list[int] = []
+    for m in _BRACE.finditer(s):
+        if m.group() == "{":
+            stack.append(m.start())
+        elif m.group() == "}" and stack:
+            closing[stack.pop()] = m.start()
+    out = []
+    last = 0
+    for m in found:
+        if m.start() < last:
             continue
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return at
-        at += 1
-    return len(s)
+        line = s.find("\n", m.end())
+        end = closing.get(m.end() - 1, len(s) if line < 0 else line)
+        out.append((m.start(), m.end(), end))
+        last = end
+    return out
 
 
 def tex_inline(s: str, formula: str = "{}") -> str:
@@ -632,11 +648,11 @@ def tex_elements(page: str) -> list[Element]:
         content = squeeze(next((g for g in m.groups()[2:] if g), ""))
         if content:
             out.append((m.start(), FORMULA, content))
-    for m in _TEX_SECTION.finditer(s):
-        end = _braced(s, m.end())
-        content = tex_inline(s[m.end() : end])
+    headings = _headings(s)
+    for start, inner, end in headings:
+        content = tex_inline(s[inner:end])
         if content:
-            out.append((m.start(), HEADING, content))
+            out.append((start, HEADING, content))
     hidden = list(s)  # what is left of it are paragraphs
 
     def hide(a: int, b: int) -> None:
@@ -655,8 +671,8 @@ def tex_elements(page: str) -> list[Element]:
                 hide(opened, m.end())
     if depth:
         hide(opened, len(s))
-    for m in _TEX_SECTION.finditer(s):
-        hide(m.start(), _braced(s, m.end()) + 1)
+    for start, _, end in headings:
+        hide(start, end + 1)
     for m in re.finditer(r"\S(?:.|\n(?![ \t]*\n))*", "".join(hidden)):
         out.append((m.start(), TEXT, m.group()))
     stack: list[list] = []  # of open lists: [is a description list, start of the item or None, texts]

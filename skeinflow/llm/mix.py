@@ -150,13 +150,13 @@ class Plan:
         return rows.withColumn("o", order).orderBy("o", "doc_id", "copy").select("doc_id", F.col("mix_source").alias("source"), "copy", "text")
 
     def report(self, spark) -> DataFrame:
-        """One row for each source with a target: what there is, what the mix has, and the shares."""
+        """One row for each source with a target: what there is of it, what the mix has, and the shares."""
         total = sum(self.out_tokens.values())
         rows = [
             (s, self.share[s], self.cap[s], self.rows[s], self.tokens[s], self.out_rows[s], self.out_tokens[s], self.out_tokens[s] / self.tokens[s] if self.tokens[s] else 0.0, self.out_tokens[s] / total if total else 0.0)
             for s in self.share
         ]
-        schema = "source string, target_share double, max_repeats int, documents long, tokens long, mixed_documents long, mixed_tokens long, repeats double, actual_share double"
+        schema = "source string, target_share double, max_repeats int, available_documents long, available_tokens long, documents long, tokens long, repeats double, actual_share double"
         return spark.createDataFrame(rows, schema)
 
 

@@ -109,7 +109,7 @@ def test_report_holds_for_the_mix(mixed):
         size[r["source"]] = size.get(r["source"], 0) + len(codec.encode(r["text"]))
         most[r["source"]] = max(most.get(r["source"], 0), r["copy"])
     for s, line in lines.items():
-        assert line["mixed_tokens"] == size.get(s, 0)
+        assert line["tokens"] == size.get(s, 0)
         assert line["repeats"] <= cap[s] and most.get(s, 0) <= cap[s]
         assert line["actual_share"] == pytest.approx(size.get(s, 0) / sum(size.values()))
 
@@ -127,7 +127,7 @@ def test_mix_edges(spark):
     got, report = mix.mix(docs, targets)
     assert {(r["doc_id"], r["copy"]) for r in got.collect()} == {(i, c) for i in (1, 2, 5) for c in (1, 2)}
     by = {r["source"]: r for r in report.collect()}
-    assert by["x_y"]["repeats"] == 2.0 and by["x_y"]["actual_share"] == 1.0 and by["none"]["mixed_tokens"] == 0
+    assert by["x_y"]["repeats"] == 2.0 and by["x_y"]["actual_share"] == 1.0 and by["none"]["tokens"] == 0
     for a, b in ((docs.limit(0), targets), (docs, targets.limit(0))):
         got, report = mix.mix(a, b)
         assert got.count() == 0 and report.count() == b.count()
