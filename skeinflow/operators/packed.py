@@ -10,6 +10,7 @@ its parent.  Rows whose quoting is not regular (an open quote, a quote inside a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,16 @@ _CUT[list(SPACE + DELIMITERS)] = True
 _JSON_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
+_MARKS = {c: re.compile(c) for c in "\"'"}
+_MARKS_IN_LIST = {c: re.compile(f"[{c}\\\\]") for c in "\"'"}
+_RUNS = {c: re.compile(f"{c}+") for c in "\"'"}
+
+
+def _same(body: str, at: int) -> int:
+    """Where the run of the quote at this place ends."""
+    return _RUNS[body[at]].match(body, at).end()
+
+
 def _is_link(s: str) -> bool:
     return s.startswith(("/", "http://", "https://"))
 
@@ -61,6 +72,7 @@ def split_one(text: str | None) -> list[str]:
     if bracketed:
         body = body[1:-1]
     out, i, n = [], 0, len(body)
+    runs: dict[int, int] = {}  # ends of runs of one quote, by where they were entered
     while i < n:
         c = body[i]
         if c in cut:
@@ -68,17 +80,19 @@ def split_one(text: str | None) -> list[str]:
             continue
         if c in "\"'":
             j, close = i + 1, -1
-            while j < n:
-                if bracketed and body[j] == "\\":
+            mark = (_MARKS_IN_LIST if bracketed else _MARKS)[c]
+            while m := mark.search(body, j):
+                j = m.start()
+                if body[j] == "\\":
                     j += 2
                     continue
-                if body[j] == c:
-                    if j + 1 < n and body[j + 1] == c:
-                        j += 2
-                        continue
-                    close = j
+                run = runs.get(j)
+                if run is None:
+                    run = runs[j] = _same(body, j)
+                if (run - j) % 2:  # the last of an odd run closes
+                    close = run - 1
                     break
-                j += 1
+                j = run
             if close >= 0 and (close + 1 == n or body[close + 1] in cut):
                 inner = body[i + 1 : close].replace(c * 2, c)
                 inner = (_unescape(inner) if bracketed else inner).strip(space)
