@@ -71,7 +71,10 @@ _CUE = re.compile("|".join(f"(?:{c})" for c in _CUES))
 _WORDS_OF_NAV = frozenset(w.strip() for w in re.split(r"[|\n]", _NAV_WORDS) if w.strip())
 _WORDS_OF_SECTIONS = frozenset(w.strip() for w in re.split(r"[|\n]", _SECTION_WORDS) if w.strip())
 _WORDS_OF_ADS = frozenset(_AD_WORDS.split("|"))
-_FRAME_NAME = re.compile(r"nav|menu|side|rail|aside|related|recommend|promo|foot|bottom|colophon|cookie|consent|notice|banner|\blinks?\b|share|social|comment|teaser|advert|\bads?\b|\bby(?:line)?\b|meta|breadcrumb|masthead|topbar|toolbar|widget|extra|legal|subscribe|newsletter|popup|modal", re.I)
+_FRAME_NAME = re.compile(
+    r"(?<![a-z])(?:nav|menu|side|rail|aside|related|recommend|promo|foot|bottom|colophon|cookie|consent|notice|banner|links?\b|share|social|comment|teaser|advert|ads?\b|by(?:line)?\b|meta|breadcrumb|masthead|topbar|toolbar|widget|extra|legal|subscribe|newsletter|popup|modal)|(?:nav|menu|footer|sidebar)\b",
+    re.I,
+)
 _BODY_NAME = re.compile(r"\b(?:main|article|content|entry|post|story|text)\b|post-body|entry-content|article-body|main-content", re.I)
 
 # ---------------------------------------------------------------- classifier weights (cost units; above 0: content)

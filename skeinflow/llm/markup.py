@@ -22,8 +22,6 @@ HEADING, ITEM, CODE, FORMULA = "heading", "list_item", "code", "formula"
 TEXT = "text"
 Element = tuple[int, str, str]  # start, kind, content
 
-_SPACES = re.compile(r"\s+")
-
 
 def squeeze(s: str) -> str:
     """Runs of white space, no-break spaces included, as one space; none at the ends."""
@@ -433,11 +431,9 @@ def _md_blocks(text: list[str], out: list[Element], first: int = 0, nested: int
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _WIKI_CODE = re.compile(r"<(pre|syntaxhighlight|source)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.I | re.S)
 _WIKI_MATH = re.compile(r"<math\b[^<>]*(?<!/)>((?:(?!<math\b).)*?)</math\s*>", re.I | re.S)
-_NOWIKI = re.compile(r"<nowiki>(.*?)</nowiki>", re.I | re.S)
 _REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?(?:</ref\s*>|\Z)", re.I | re.S)
 _TEMPLATE = re.compile(r"\{\{(?:[^{}]|\{[^{}]*\})*\}\}")
 _WIKI_TABLE = re.compile(r"^[ \t:]*\{\|.*?(?:^[ \t]*\|\}|\Z)", re.M | re.S)
-_WIKI_HEADING = re.compile(r"^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", re.M)
 _WIKI_LINE = re.compile(r"^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$|^([*#:;]*[*#])[ \t]*(.*)$|^([*#:;]+)(.*)$", re.M)
 _WIKI_FILE = re.compile(r"\[\[(?:Category|File|Image|Kategorie|Datei|Categoría|Archivo|Catégorie|Fichier)\s*:[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", re.I)
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
