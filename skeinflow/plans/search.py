@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.urls import passes_language, url_parts
-from skeinflow.functions.words import MAX_URL, MAX_WORD, SKIPPED, STOP_WORDS, indexed_text, is_stop_word, stem, stripped, tokens, with_stems, word_positions
+from skeinflow.functions.words import MAX_URL, MAX_WORD, SKIPPED, STOP_WORDS, indexed_text, stem, stripped, tokens, with_stems, word_positions
 from skeinflow.operators.ranking import ranked
 from skeinflow.sources.tables import table
 
