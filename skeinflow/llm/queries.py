@@ -46,12 +46,12 @@ def _addressed_bodies(pages: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    shares = stuffing.stuffed_shares(_addressed_bodies(table(spark, folder, "crawl")))
+    shares = stuffing.stuffed_shares(table(spark, folder, "crawl").where("page is not null"))
     return shares.where(F.col("share") > stuffing.MOST).select("page_id")
 
 
 def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffing.stuffed_shares(_addressed_bodies(table(spark, folder, "crawl")))
+    return stuffing.stuffed_shares(table(spark, folder, "crawl").where("page is not null"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

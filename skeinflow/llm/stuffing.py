@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 
 import pyarrow as pa
@@ -43,6 +44,9 @@ REDUNDANT_SHAPE, PROSE_NONE, FEW_ENDS = 0.75, 0.2, 0.035
 #: stuffed (below a half, as some lines of the frame are left among its own); least words of own content.
 BLOCK_CHARS, EDGE_CHARS, MOST, LEAST_WORDS = 500, 250, 0.4, 12
 
+#: Pages shorter than this are kept with their share, the last 512 of a worker.
+KEPT_CHARS = 16_000
+
 _WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 _ENDS = re.compile("[.!?…。！？]+")
 
@@ -112,9 +116,9 @@ def is_stuffed(figures: Figures) -> bool:
     return shape < REDUNDANT_SHAPE and function < PROSE_NONE and ends < FEW_ENDS
 
 
-def own_blocks(page: str, url: str | None = None, size: int = BLOCK_CHARS) -> list[str]:
+def own_blocks(page: str, size: int = BLOCK_CHARS) -> list[str]:
     """Blocks of the visible lines that are not plainly of the site's frame; no block goes over a container's edge."""
-    lines = Lines(page, url, frame_only=True)
+    lines = Lines(page, frame_only=True)
     out: list[str] = []
     part: list[str] = []
     chars, container = 0, -1
@@ -139,27 +143,35 @@ def own_blocks(page: str, url: str | None = None, size: int = BLOCK_CHARS) -> li
     return out
 
 
-def stuffed_share(page: str | None, url: str | None = None) -> float | None:
+def stuffed_share(page: str | None) -> float | None:
     """Share of the words of a page's own content that stand in stuffed blocks; null where it has too few words."""
     if not page or page.isspace():
         return None
-    figures = block_figures(own_blocks(page, url))
+    figures = block_figures(own_blocks(page))
     words = sum(f[0] for f in figures)
     if words < LEAST_WORDS:
         return None
     return sum(f[0] for f in figures if is_stuffed(f)) / words
 
 
-def stuffed_shares(bodies: DataFrame, key: str = "page_id", text: str = "page", url: str = "url") -> DataFrame:
-    """(key, share double): ``stuffed_share`` of each page; null for null, blank and nearly empty pages.
+@lru_cache(maxsize=512)
+def _kept_share(page: str) -> float | None:
+    return stuffed_share(page)
+
+
+def stuffed_shares(pages: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:
+    """(key, share double): ``stuffed_share`` of each key; null for null, blank and nearly empty pages.
 
-    Each row of ``bodies`` is one page; other columns, whatever their names, are not read.  No shuffle.
+    Repeated rows of a key count once; should its pages differ, the least share is taken.  Pages are measured where they
+    are read, and only keys and shares are shuffled.  Other columns, whatever their names, are not read.
     """
-    src = bodies.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(url).cast("string").alias("u"))
+    src = pages.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares = [stuffed_share(p, u) for p, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            # a short page may be one of many copies
+            shares = [_kept_share(p) if p and len(p) < KEPT_CHARS else stuffed_share(p) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["k", "share"])
 
-    return src.mapInArrow(run, T.StructType([src.schema["k"], T.StructField("share", T.DoubleType())])).withColumnRenamed("k", key)
+    each = src.mapInArrow(run, T.StructType([src.schema["k"], T.StructField("share", T.DoubleType())]))
+    return each.groupBy("k").agg(F.min("share").alias("share")).withColumnRenamed("k", key)
