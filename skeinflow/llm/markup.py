@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -820,18 +821,29 @@ def _rendered(path: str, text: str) -> str:
 # ---------------------------------------------------------------- operators
 
 
-def page_elements(bodies: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:
+#: Pages shorter than this are kept with their elements, the last 512 of a worker.
+KEPT_CHARS = 16_000
+
+
+@lru_cache(maxsize=512)
+def _kept_elements(page: str) -> list[tuple[str, str]]:
+    return elements(page)
+
+
+def page_elements(pages: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:
     """(key, elem_no int from 1, kind, content) of the elements of each page; null, blank and plain pages give no row.
 
-    Each row of ``bodies`` is one page; only ``key`` and ``text`` are read.  No shuffle.
+    Repeated rows of a key count once; should its pages differ, the elements of each come out.  Pages are parsed where
+    they are read, and only elements are shuffled.  Other columns, whatever their names, are not read.
     """
-    src = bodies.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    src = pages.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, number, kinds, contents = [], [], [], []
             for i, page in enumerate(batch.column(1).to_pylist()):
-                found = elements(page)
+                # a short page may be one of many copies
+                found = _kept_elements(page) if page and len(page) < KEPT_CHARS else elements(page)
                 if found:
                     at += [i] * len(found)
                     number += range(1, len(found) + 1)
@@ -842,7 +854,7 @@ def page_elements(bodies: DataFrame, key: str = "page_id", text: str = "page") -
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "elem_no", "kind", "content"])
 
     fields = [src.schema["k"], T.StructField("elem_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("content", T.StringType())]
-    return src.mapInArrow(run, T.StructType(fields)).withColumnRenamed("k", key)
+    return src.mapInArrow(run, T.StructType(fields)).distinct().withColumnRenamed("k", key)
 
 
 def clean_texts(bodies: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:

@@ -61,7 +61,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.page_elements(crawled_bodies(table(spark, folder, "crawl")))
+    return markup.page_elements(table(spark, folder, "crawl"))
 
 
 def p7_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -205,7 +205,7 @@ def test_no_elements(page):
 
 def test_element_operator(spark):
     df = spark.createDataFrame([(1, MD, "x"), (2, None, "x"), (3, " ", "x"), (4, "<h1>a</h1><p>b</p>" + "<p>w</p>" * 20_000, "x")], "page_id long, page string, kind string")
-    got = rows(M.page_elements(df))
+    got = rows(M.page_elements(df.unionAll(df)))
     assert [g[1] for g in got if g[0] == 1] == list(range(1, 14)) and (4, 1, "heading", "a") in got and {g[0] for g in got} == {1, 4}
     assert M.page_elements(df.limit(0)).count() == 0
     texts = {r["page_id"]: (r["format"], r["text"]) for r in M.clean_texts(df).collect()}
