@@ -40,6 +40,9 @@ _AD_WORDS = "advertisement|advertisements|sponsored|anzeige|anzeigen|werbung|pub
 _SHARING = (
     r"^(?:(?:like|share|save|print|tweet|mail|copy link|teilen|drucken|merken|speichern|compartir|imprimir|guardar|partager|imprimer|enregistrer)(?:\s*[|·,/]\s*|$)){2,}|^share this\b|^(?:teilen|compartir|partager)\s*:|\bwas this (?:page|article|answer) helpful\b|\bwar diese seite hilfreich\b|\b¿le ha (?:sido útil|servido)\b|\bcette page (?:vous )?a-t-elle\b"
 )
+_BYLINES = (
+    r"^by (?:the )?[^.]{2,40}(?:\||·)|\b\d+ min(?:utes?)? read\b|^(?:updated|posted|published)\b.{0,12}\d+ (?:hours?|days?|minutes?|weeks?) ago|^von (?:der redaktion )?[^.]{2,40}, vor \d+|^redacción de [^.]{2,40}, hace \d+|^la rédaction de [^.]{2,40}, il y a \d+"
+)
 _CUES = [
     # footers
     r"^(?:©|\(c\) |copyright\b)|\ball rights reserved\b|\balle rechte vorbehalten\b|\btodos los derechos reservados\b|\btous droits réservés\b",
@@ -51,12 +54,12 @@ _CUES = [
     # sharing and feedback
     _SHARING,
     # bylines and dates
-    r"^by (?:the )?[^.]{2,40}(?:\||·)|\b\d+ min(?:utes?)? read\b|^(?:updated|posted|published)\b.{0,12}\d+ (?:hours?|days?|minutes?|weeks?) ago|^von (?:der redaktion )?[^.]{2,40}, vor \d+|^redacción de [^.]{2,40}, hace \d+|^la rédaction de [^.]{2,40}, il y a \d+",
+    _BYLINES,
     # advertising, subscriptions, pointers to other pages
     rf"^(?:{_AD_WORDS})\s*:?$|^story continues below|^continue reading|^sign up for our\b|\bweekly (?:news)?letter\b|\bnever miss a story\b|^support our work\b|^become a member\b|\bbecome a member for\b|^subscribe\b|^jetzt .{{0,20}}\b(?:rundbrief|newsletter)\b|\bbestellen und nichts verpassen\b|^reciba nuestro\b|^suscríbase\b|^abonnez-vous\b",
     r"^(?:read also|also read|see also|read next|lesen sie auch|lea también|lee también|à lire aussi|lire aussi|voir aussi)\s*:",
 ]
-_SHARE = re.compile(_SHARING)
+_SHARE, _BYLINE = re.compile(_SHARING), re.compile(_BYLINES)
 #: Words of which a line has one if it matches any cue.
 _CUE_WORDS = frozenset(
     """copyright rights vorbehalten derechos droits terms privacy imprint impressum aviso mentions agb datenschutz privacidad
@@ -140,6 +143,8 @@ class Lines:
         self.slug = _slug(url)
         self.markup = bool(re.search(r"</?(?:div|p|td|li|body|h[1-6]|br)\b", page, re.I))
         self._scan(page)
+        if not frame_only:
+            self._leads()
         if not self.markup:
             self._sections()
 
@@ -210,6 +215,15 @@ class Lines:
                         stack.append((tag, len(self.parents) - 1))
                         if base is None:
                             hint = min(hint, name)
+                elif tag == "table":
+                    # a mark only, so that its cells don't end the cell that it stands in
+                    if not shut:
+                        stack.append((tag, stack[-1][1] if stack else 0))
+                    elif any(t == tag for t, _ in stack):
+                        while stack.pop()[0] != tag:
+                            pass
+                        if base is not None:
+                            base = min(base, len(stack))
                 elif tag == "hr":
                     # a thematic break: what follows is another part of the container
                     if stack:
@@ -303,6 +317,12 @@ class Lines:
         slug = "-".join(re.findall("[a-z0-9]+", text.lower()))
         return len(slug) >= 12 and self.slug.startswith(slug)
 
+    def _leads(self) -> None:
+        """A short line before a byline is a headline."""
+        for i in range(len(self.text) - 1):
+            if self.unary[i + 1] < W_CUE / 2 and not self.hard[i] and 0 <= self.unary[i] < W_TITLE and 1 < self.text[i].count(" ") + 1 < 30 and _BYLINE.search(self.text[i + 1].lower()):
+                self.unary[i] += W_TITLE
+
     def _sections(self) -> None:
         """Sections of a page without markup: from a section heading to the next blank line, heading or cue."""
         seen_body = False
