@@ -339,3 +339,24 @@ def test_stuffed_operator(spark):
     got = {r["page_id"]: r["share"] for r in S.stuffed_shares(df.unionAll(df)).collect()}
     assert got[2] is None and got[3] is None and got[4] == 1.0 and got[1] < 0.2
     assert S.stuffed_shares(df.limit(0)).count() == 0
+
+
+def test_headline_before_a_byline():
+    page = "Home | Help | About us | Shop\nWe use cookies to make this site work. By staying here you agree to that.\n\nAnother headline here\nPosted 3 days ago in News\nThe first sentence stands here. The second does too, as it should.\n\nLike | Share | Save\n© 2020 Site"
+    assert B.body_lines(page) == [4, 6]
+
+
+def test_inner_tables_stay_in_their_cell():
+    page = """<BODY><TABLE><TR><TD>
+<a href="#c">Toggle menu</a>
+<h1>Headline of it</h1>
+<P>The first sentence stands here. The second does too, as it should.
+<table>
+<tr><td>stone</td><td>2</td></tr>
+</table>
+<P>The third sentence stands here. The fourth does too, as it should.
+</TD><TD>
+<h3>Related</h3>
+<p>The tower fell down. It was old, and nobody was hurt.</p>
+</TD></TR></TABLE></BODY>"""
+    assert B.body_lines(page) == [3, 4, 6, 8]
