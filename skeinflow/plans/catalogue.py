@@ -19,6 +19,7 @@ from skeinflow.operators import ranking as R
 from skeinflow.operators.collections import Bag, Context, Pairs
 from skeinflow.plans import graph as G
 from skeinflow.plans import search as S
+from skeinflow.plans.problems import LINKS_SQL
 from skeinflow.session import written
 from skeinflow.sources.tables import table
 
@@ -678,7 +679,11 @@ def f24_titles(s, d):
     return table(s, d, "crawl").where("page is not null").select("page_id", "page").distinct().select("page_id", S.page_title(F.col("page")).alias("title"))
 
 
-@query()
+@query(f"""WITH {_PAGES}, v AS (SELECT term, sum(n) AS n FROM idx GROUP BY term),
+    w AS (SELECT DISTINCT unnest(w) AS word FROM ({_QUERIES})), u AS (SELECT word FROM w WHERE word NOT IN (SELECT term FROM v)),
+    c AS (SELECT word, term, n, levenshtein(word, term) AS d FROM u JOIN v ON left(word, 1) = left(term, 1) AND abs(len(word) - len(term)) <= 2),
+    b AS (SELECT word, arg_min(term, (d, -n, term)) AS best FROM c WHERE d <= 2 GROUP BY word)
+    SELECT word, CASE WHEN word IN (SELECT term FROM v) THEN word ELSE best END AS suggestion FROM w LEFT JOIN b USING (word)""")
 def f25_spelling(s, d):
     vocabulary = S.word_postings(S.indexed_pages(s, d)).groupBy("term").agg(F.sum("n").alias("n"))
     queries = table(s, d, "documents").where("text is not null and lower(trim(source)) = 'queries'")
@@ -832,7 +837,11 @@ def q5_url_index(s, d):
     return S.url_index(s, d)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINKS_SQL},
+    edges AS (SELECT DISTINCT s.src, l.link AS dst FROM links l JOIN (SELECT DISTINCT seq, src FROM pageranks_temp) s USING (seq) WHERE s.src IS NOT NULL),
+    seed AS (SELECT src FROM pageranks_temp WHERE src IS NOT NULL GROUP BY src ORDER BY count(DISTINCT seq) DESC, src LIMIT 1),
+    reached AS (SELECT src AS url, 0 AS depth FROM seed UNION SELECT e.dst, r.depth + 1 FROM reached r JOIN edges e ON e.src = r.url WHERE r.depth < 50)
+    SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM reached GROUP BY url""")
 def q6_crawl_replay(s, d):
     """Addresses and depths of a crawl over the stored link lists, from the most frequent source."""
     from skeinflow.operators.packed import unpack_links
