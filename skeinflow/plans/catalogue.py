@@ -715,7 +715,9 @@ def q1_incremental_index(s, d):
 
 
 #: Ranks after few rounds are short decimals; what is added keeps them off the ties of rounding.
-def _pagerank_sql(rounds: int) -> str:
+def _pagerank_sql(rounds: int, share: float | None = None, linked: bool = False) -> str:
+    """After so many rounds; with a share, after the first round in which that share of the ranks settled; of all pages,
+    or of those with links only."""
     norm = f"""lower(regexp_extract(u, {_URL}, 1)) || '://' || regexp_extract(u, {_URL}, 2) || ':' || coalesce(nullif(regexp_extract(u, {_URL}, 3), ''),
         CASE WHEN regexp_extract(u, {_URL}, 1) = 'https' THEN '443' ELSE '80' END) || coalesce(nullif(regexp_extract(u, {_URL}, 4), ''), '/')"""
     ctes = [
@@ -728,13 +730,19 @@ def _pagerank_sql(rounds: int) -> str:
         f"e0 AS (SELECT src, {norm} AS dst FROM u)",
         """rel AS (SELECT src, regexp_extract(src, '^(https?://[^/]*)', 1) || split_part(link, '#', 1) AS dst FROM h
             WHERE starts_with(link, '/') AND NOT regexp_matches(link, '[.](jpg|jpeg|png|gif|txt)$'))""",
-        "e AS (SELECT src, dst, count(*) AS n FROM (SELECT * FROM e0 UNION ALL SELECT * FROM rel) WHERE dst IN (SELECT url FROM p) GROUP BY ALL)",
+        "links AS (SELECT * FROM e0 UNION ALL SELECT * FROM rel)",
+        f"r0 AS (SELECT DISTINCT {'src AS id, 1.0 AS r FROM links' if linked else 'url AS id, 1.0 AS r FROM p'})",
+        "e AS (SELECT src, dst, count(*) AS n FROM links WHERE dst IN (SELECT id FROM r0) GROUP BY ALL)",
         "s AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM e)",
-        "r0 AS (SELECT url AS id, 1.0 AS r FROM p)",
     ]
     for k in range(rounds):
-        ctes.append(f"r{k + 1} AS (SELECT id, 0.15 + coalesce(val, 0) AS r FROM r{k} LEFT JOIN (SELECT dst AS id, sum(r * share * 0.85) AS val FROM s JOIN r{k} ON r{k}.id = src GROUP BY dst) USING (id))")
-    return "WITH " + ",\n".join(ctes) + f" SELECT id AS url, round(r + 3e-11, 9) AS rank FROM r{rounds}"
+        ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT id, 0.15 + coalesce(val, 0) AS r FROM r{k} LEFT JOIN (SELECT dst AS id, sum(r * share * 0.85) AS val FROM s JOIN r{k} ON r{k}.id = src GROUP BY dst) USING (id))")
+    head = "WITH " + ",\n".join(ctes)
+    if share is None:
+        return head + f" SELECT id AS url, round(r + 3e-11, 9) AS rank FROM r{rounds}"
+    steps = " UNION ALL ".join(f"SELECT {k} AS k, b.id, b.r, abs(b.r - a.r) < 0.01 AS done FROM r{k - 1} a JOIN r{k} b USING (id)" for k in range(1, rounds + 1))
+    return head + f""", steps AS ({steps}), shares AS (SELECT k, count(*) FILTER (done) AS done, count(*) AS n FROM steps GROUP BY k)
+        SELECT id AS url, round(r + 3e-11, 9) AS rank FROM steps WHERE k = (SELECT min(k) FROM shares WHERE done >= {share} * n)"""
 
 
 @query(_pagerank_sql(3))
@@ -744,14 +752,14 @@ def q2_pagerank_rounds(s, d):
     return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
 
 
-@query()
+@query(_pagerank_sql(24, 0.8))
 def q2_pagerank(s, d):
     pages = G.fetched_pages(s, d)
     ranks = G.pagerank(pages.select(F.col("url").alias("id")), G.links(pages))
     return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
 
 
-@query()
+@query(_pagerank_sql(60, 1.0))
 def q2_pagerank_strict(s, d):
     """Until every rank has settled."""
     pages = G.fetched_pages(s, d)
@@ -759,7 +767,7 @@ def q2_pagerank_strict(s, d):
     return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
 
 
-@query()
+@query(_pagerank_sql(24, 0.95, linked=True))
 def q2_pagerank_linked(s, d):
     """Of pages that have links only, until 95 % of the ranks have settled, at most 100 rounds."""
     pages = G.fetched_pages(s, d)
