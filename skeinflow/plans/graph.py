@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.urls import normalized, page_links, passes_language, without_fragment
-from skeinflow.session import discard, written
+from skeinflow.session import bucketed, discard, written
 from skeinflow.sources.tables import table
 
 DAMPING, FLOOR = 0.85, 0.15
@@ -40,9 +40,41 @@ def inner_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
 
 
-def rank_round(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+class SpreadEdges:
+    """(src, part, dst, share) in buckets of src and part: written once, and read by every round without a shuffle.
+
+    The edges of a source that has more than a bucket's share of them are spread over PARTS parts by their target, and its
+    rank is sent to each part.  Each such source has more than 1/buckets of the edges, so there are fewer of them than
+    buckets; their list is all that reaches the driver.
+    """
+
+    PARTS = 64
+
+    def __init__(self, edges: DataFrame, at_least: int = 10_000):
+        spark = edges.sparkSession
+        edges = written(edges, "edges")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most = max(at_least, edges.count() // buckets)
+        self.hot = [r["src"] for r in edges.groupBy("src").count().where(F.col("count") > most).select("src").collect()]
+        part = F.when(F.col("src").isin(self.hot), F.pmod(F.xxhash64("dst"), F.lit(self.PARTS)).cast("int")).otherwise(0) if self.hot else F.lit(0)
+        self.edges, self.table = bucketed(edges.withColumn("part", part), "src", "part", name="edges")
+        discard(edges)
+
+    def drop(self) -> None:
+        """Forgets the table and deletes its files, once no round reads it any more."""
+        files = self.edges.select("*")
+        discard(files)
+        files.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def sent(self, ranks: DataFrame) -> DataFrame:
+        """(src, part, r): each rank for each part of its edges."""
+        parts = F.sequence(F.lit(0), F.when(F.col("id").isin(self.hot), self.PARTS - 1).otherwise(0)) if self.hot else F.array(F.lit(0))
+        return ranks.select(F.col("id").alias("src"), F.explode(parts).alias("part"), F.col("rank1").alias("r"))
+
+
+def rank_round(ranks: DataFrame, spread: SpreadEdges) -> DataFrame:
     """(id, rank0, rank1): the ranks before and after one round.  Vertices without links give nothing to others."""
-    moved = edges.join(ranks.select(F.col("id").alias("src"), F.col("rank1").alias("r")), "src")
+    moved = spread.edges.join(spread.sent(ranks), ["src", "part"])
     received = moved.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("share") * DAMPING).alias("val"))
     new = F.coalesce(F.col("val"), F.lit(0.0)) + FLOOR
     return ranks.join(received, "id", "left").select("id", F.col("rank1").alias("rank0"), new.alias("rank1"))
@@ -58,24 +90,25 @@ def converged(ranks: DataFrame, eps: float) -> tuple[int, int]:
     return row["done"], row["n"]
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, eps: float = 0.01, share: float = 0.8, most: int = 1000) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, eps: float = 0.01, share: float = 0.8, most: int = 1000, hot_source: int = 10_000) -> DataFrame:
     """(id, rank0, rank1) after ``rounds`` rounds; without a number, when ``share`` of the vertices moved by less than
     eps in a round, or after ``most``.
 
-    ``edges`` are (src, dst) with repeats.  Each round is written to the shared folder, so a lost executor costs one
-    round and lineage stays short.
+    ``edges`` are (src, dst) with repeats; a source with more than ``hot_source`` of them may be spread.  Edges are put
+    into buckets once, so a round shuffles ranks and what they send, added up on the map side, but no edges.  Each round
+    is written to the shared folder, so a lost executor costs one round and lineage stays short.
     """
     vertices = written(vertices.select("id").distinct(), "vertices")
-    shares = written(inner_edges(edges, vertices), "edges")
-    ranks = start_ranks(vertices)
+    spread = SpreadEdges(inner_edges(edges, vertices), hot_source)
+    ranks = written(start_ranks(vertices), "ranks")
     for k in range(rounds if rounds is not None else most):
-        before, ranks = ranks, written(rank_round(ranks, shares), "ranks")
-        if k:
-            discard(before)  # a round reads the last one only
+        before, ranks = ranks, written(rank_round(ranks, spread), "ranks")
+        discard(before)  # a round reads the last one only
         if rounds is None:
             done, n = converged(ranks, eps)
             if done >= share * n:
                 break
+    spread.drop()
     return ranks
 
 

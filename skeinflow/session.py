@@ -50,6 +50,17 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str, name: str = "t") -> tuple[DataFrame, str]:
+    """As ``written``, in buckets of the keys, with the name of the table: joins by the keys on as many partitions don't
+    shuffle these rows again."""
+    spark = df.sparkSession
+    label = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet")
+    writer.option("path", f"{shared_folder(spark)}/{label}").saveAsTable(label)
+    return spark.table(label), label
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a ``written`` table that nothing reads any more."""
     spark = df.sparkSession

@@ -30,6 +30,23 @@ def test_ranks(spark, rounds):
     assert got == pytest.approx(by_hand(nodes, edges, rounds))
 
 
+def test_spread_sources(spark):
+    """A source with most edges is in many parts, and the ranks stay the same; rounds don't shuffle edges."""
+    nodes = [f"n{i}" for i in range(60)]
+    edges = [("n0", n) for n in nodes[1:]] + [("n1", "n0"), ("n2", "n0"), ("n3", "n4")]
+    v = spark.createDataFrame([(n,) for n in nodes], "id string")
+    e = spark.createDataFrame(edges, "src string, dst string")
+    got = {r["id"]: r["rank1"] for r in G.pagerank(v, e, rounds=3, hot_source=5).collect()}
+    assert got == pytest.approx(by_hand(nodes, edges, 3))
+    spread = G.SpreadEdges(G.inner_edges(e, v), 5)
+    assert spread.hot == ["n0"] and spread.edges.select("part").distinct().count() > 10
+    ranks = G.written(G.start_ranks(v))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = G.rank_round(ranks, spread)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SelectedBucketsCount" in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_convergence_stops(spark):
     v = spark.createDataFrame([("a",), ("b",)], "id string")
     e = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
