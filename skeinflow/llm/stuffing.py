@@ -130,7 +130,8 @@ def own_blocks(page: str, size: int = BLOCK_CHARS) -> list[str]:
             part, chars = [], 0
         container = inside
         while len(text) > 2 * size:  # a long line is cut at a space
-            at = text.rfind(" ", 0, size) if " " in text[:size] else size
+            at = text.rfind(" ", 1, size)  # not the space that a rest begins with
+            at = size if at < 0 else at
             out.append("\n".join([*part, text[:at]]))
             part, chars, text = [], 0, text[at:]
         part.append(text)

@@ -341,6 +341,13 @@ def test_stuffed_operator(spark):
     assert S.stuffed_shares(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [499, 500, 501, 1200, 5000])
+def test_long_runs_after_a_space_are_cut(run):
+    line = "data: " + "x" * run + " " + "y" * run + " end" * 300
+    blocks = S.own_blocks(line)
+    assert "".join(blocks) == line and max(map(len, blocks)) <= 2 * S.BLOCK_CHARS
+
+
 def test_headline_before_a_byline():
     page = "Home | Help | About us | Shop\nWe use cookies to make this site work. By staying here you agree to that.\n\nAnother headline here\nPosted 3 days ago in News\nThe first sentence stands here. The second does too, as it should.\n\nLike | Share | Save\n© 2020 Site"
     assert B.body_lines(page) == [4, 6]
