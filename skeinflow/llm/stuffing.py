@@ -49,6 +49,8 @@ KEPT_CHARS = 16_000
 
 _WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 _ENDS = re.compile("[.!?…。！？]+")
+#: An address in angle brackets is text, not a tag.
+_AUTOLINK = re.compile(r"<(https?://[^<>\s]+)>", re.I)
 
 
 class _Shapes(dict):
@@ -82,7 +84,7 @@ Figures = tuple[int, float, float, float, float]
 
 def block_figures(blocks: list[str]) -> list[Figures]:
     """(words, redundancy of words, redundancy of shape, sentence ends per word, share of function words) of each block
-    of a page.
+    of a page.  A block without words counts by its tokens.
 
     Redundancies are ratios relative to plain text of the length and of the page's language, which is the one with most
     function words: 1 is plain, 0 is all repetition.
@@ -96,10 +98,12 @@ def block_figures(blocks: list[str]) -> list[Figures]:
         signs = list(map(sign, tokens))
         words = [t for t, s in zip(tokens, signs, strict=True) if s == "W" or s[0].isalpha() and s != "U"]
         n = len(words)
+        shape = " ".join(signs)
         if not n:
-            out.append((len(tokens), 1.0, 1.0, 0.0, 0.0))
+            # bare addresses, numbered or not, have their shape only; figures and rules are no list of links
+            links = signs.count("U")
+            out.append((len(tokens), 1.0, _relative(shape.encode(), _PLAIN_SHAPE[lang]) if links and links >= signs.count("0") else 1.0, 0.0, 0.0))
             continue
-        shape = " ".join(signs)
         # ends of sentences that have function words (the only lower-case signs) and more than three words
         ends = sum(s.count(" ") > 3 and s != s.upper() for s in _ENDS.split(shape)[:-1])
         plain = " ".join(words).encode()
@@ -118,7 +122,7 @@ def is_stuffed(figures: Figures) -> bool:
 
 def own_blocks(page: str, size: int = BLOCK_CHARS) -> list[str]:
     """Blocks of the visible lines that are not plainly of the site's frame; no block goes over a container's edge."""
-    lines = Lines(page, frame_only=True)
+    lines = Lines(_AUTOLINK.sub(r" \1 ", page), frame_only=True)
     out: list[str] = []
     part: list[str] = []
     chars, container = 0, -1

@@ -341,6 +341,27 @@ def test_stuffed_operator(spark):
     assert S.stuffed_shares(df.limit(0)).count() == 0
 
 
+URLS = [f"https://h{i}.example/p{i * 7}/index" for i in range(40)]
+
+
+@pytest.mark.parametrize(
+    "page,stuffed",
+    [
+        ("\n".join(URLS), True),
+        ("\n".join(f"{i}. {u}" for i, u in enumerate(URLS, 1)), True),
+        ("\n".join(f"* <{u}>" for u in URLS), True),
+        ("".join(f"<li>{u}</li>\n" for u in URLS), True),
+        ("\n".join(f"<{u.upper()}>" for u in URLS), True),
+        (PROSE + "\n" + PROSE.replace("bridge", "tower") + "\n" + "\n".join(f"<{u}>" for u in URLS[:4]), False),
+        ("\n".join(f"{i} {i * 37 % 101} {i * 11 % 89}" for i in range(200)), False),
+        ("\n".join(["* * *", "-----"] * 40), False),
+    ],
+)
+def test_bare_addresses(page, stuffed):
+    share = S.stuffed_share(page)
+    assert ((share or 0) > S.MOST) is stuffed
+
+
 @pytest.mark.parametrize("run", [499, 500, 501, 1200, 5000])
 def test_long_runs_after_a_space_are_cut(run):
     line = "data: " + "x" * run + " " + "y" * run + " end" * 300
