@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 STOP_WORDS = """
 a an the and but or nor for so yet at by in of on to up as it is be am are was were been do does did has have had can could may might must shall should will would ought about above across after against along among around before behind below beneath beside between beyond concerning considering despite during except following inside into like near next off onto outside over past regarding round since through throughout toward under underneath unlike until upon with within without according alongside also any anybody anyone anything both each either everybody everyone everything few he her hers herself him himself his i it's its itself many me mine more most my myself neither no nobody none nothing one other others our ours ourselves several she some somebody someone something theirs them themselves these they this those us we what whatever which whichever who whoever whom whomever whose you your yours yourself yourselves
 """.split()
-#: Parts of addresses that are not indexed, and the longest word, page and address that are.
+#: Parts of addresses that are not indexed, and the longest word that is; the longest page and address where
+#: they are limited.
 SKIPPED = "http https com net edu org gov www xml ttl xmlj rdf".split()
 MAX_WORD, MAX_PAGE, MAX_URL = 20, 10000, 100
 
@@ -40,9 +41,9 @@ def trimmed_word(word: Column) -> Column:
     return F.when((inner == "") & (word != ""), F.substring(word, 1, 1)).otherwise(inner)
 
 
-def indexed_text(host: Column, path: Column, page: Column) -> Column:
-    """What the indexer reads of a page: host, path and the first MAX_PAGE characters of the body."""
-    return F.concat_ws(" ", host, path, F.substring(page, 1, MAX_PAGE))
+def indexed_text(host: Column, path: Column, page: Column, most: int | None = None) -> Column:
+    """What the indexer reads of a page: host, path and the body, or its first ``most`` characters."""
+    return F.concat_ws(" ", host, path, page if most is None else F.substring(page, 1, most))
 
 
 def word_positions(df: DataFrame, key: str, text: Column) -> DataFrame:

@@ -388,9 +388,14 @@ _PAGES = """last AS (SELECT url, arg_max(page, (fetched_at, page_id)) AS page FR
         WHERE length(term) <= 20 AND term NOT IN (SELECT w FROM skipped) GROUP BY term, url)"""
 
 
+def _limited_pages(s: SparkSession, d: str, done: DataFrame | None = None) -> DataFrame:
+    """The pages of ``_PAGES``, with its limits; queries without that SQL index whole pages."""
+    return S.indexed_pages(s, d, done, max_page=W.MAX_PAGE, max_url=W.MAX_URL)
+
+
 @query(f"WITH {_PAGES} SELECT term, count(DISTINCT url) AS df FROM idx GROUP BY term")
 def a9_document_frequency(s, d):
-    return S.word_postings(S.indexed_pages(s, d)).groupBy("term").agg(F.count_distinct("url").alias("df"))
+    return S.word_postings(_limited_pages(s, d)).groupBy("term").agg(F.count_distinct("url").alias("df"))
 
 
 QUERY = "the harbour market and the river were counted"
@@ -400,7 +405,7 @@ _ASKED = "term IN ('harbour', 'market', 'river', 'counted')"
 @query(f"WITH {_PAGES} SELECT count(DISTINCT url) AS n FROM idx WHERE {_ASKED}")
 def a10_union_size(s, d):
     words = S.query_words(QUERY, stemmed=False)
-    return S.word_postings(S.indexed_pages(s, d)).where(F.col("term").isin(*words)).agg(F.count_distinct("url").alias("n"))
+    return S.word_postings(_limited_pages(s, d)).where(F.col("term").isin(*words)).agg(F.count_distinct("url").alias("n"))
 
 
 @query(f"""WITH {_PAGES}, freq AS (SELECT url, sum(n) AS n FROM idx WHERE {_ASKED} GROUP BY url),
@@ -408,7 +413,7 @@ def a10_union_size(s, d):
     SELECT url, CAST(n AS BIGINT) AS n FROM freq WHERE n >= coalesce((SELECT max(n) FROM c WHERE kept >= 200), 0)""")
 def a11_threshold_set(s, d):
     words = S.query_words(QUERY, stemmed=False)
-    freq = S.word_postings(S.indexed_pages(s, d)).where(F.col("term").isin(*words)).groupBy("url").agg(F.sum("n").alias("n"))
+    freq = S.word_postings(_limited_pages(s, d)).where(F.col("term").isin(*words)).groupBy("url").agg(F.sum("n").alias("n"))
     return R.threshold_set(freq, 200)
 
 
@@ -572,7 +577,7 @@ def f12_word_set(s, d):
 
 @query(f"WITH {_PAGES} SELECT url, term, count(*) AS n, list(CAST(p AS INTEGER) ORDER BY p) AS positions FROM words GROUP BY url, term")
 def f13_positions(s, d):
-    return W.word_positions(S.indexed_pages(s, d), "url", F.col("text"))
+    return W.word_positions(_limited_pages(s, d), "url", F.col("text"))
 
 
 @query("""SELECT doc_id, w AS term, count(*) AS n, list(CAST(p AS INTEGER) ORDER BY p) AS positions FROM
@@ -620,7 +625,7 @@ def f18_url_contains(s, d):
 
 @query(f"WITH {_PAGES} SELECT term, url, n FROM idx")
 def f19_limits(s, d):
-    return S.word_postings(S.indexed_pages(s, d)).select("term", "url", "n")
+    return S.word_postings(_limited_pages(s, d)).select("term", "url", "n")
 
 
 @query("""SELECT page_id FROM crawl WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT trim(pattern) AS p FROM blacklist WHERE pattern IS NOT NULL)
@@ -685,7 +690,7 @@ def f24_titles(s, d):
     b AS (SELECT word, arg_min(term, (d, -n, term)) AS best FROM c WHERE d <= 2 GROUP BY word)
     SELECT word, CASE WHEN word IN (SELECT term FROM v) THEN word ELSE best END AS suggestion FROM w LEFT JOIN b USING (word)""")
 def f25_spelling(s, d):
-    vocabulary = S.word_postings(S.indexed_pages(s, d)).groupBy("term").agg(F.sum("n").alias("n"))
+    vocabulary = S.word_postings(_limited_pages(s, d)).groupBy("term").agg(F.sum("n").alias("n"))
     queries = table(s, d, "documents").where("text is not null and lower(trim(source)) = 'queries'")
     return S.spelling(queries.select(F.explode(W.tokens(F.col("text"))).alias("word")), vocabulary)
 
@@ -693,7 +698,7 @@ def f25_spelling(s, d):
 @query(f"""WITH {_PAGES} SELECT term AS key, string_agg(p, '~' ORDER BY p) AS url FROM
     (SELECT term, url || '^' || n || ' ' || array_to_string(positions, ' ') AS p FROM idx) GROUP BY term""")
 def f26_rendered_index(s, d):
-    return S.rendered(S.word_postings(S.indexed_pages(s, d)))
+    return S.rendered(S.word_postings(_limited_pages(s, d)))
 
 
 # ---------------------------------------------------------------- jobs
@@ -701,7 +706,7 @@ def f26_rendered_index(s, d):
 
 @query(f"WITH {_PAGES} SELECT term, url, n, positions FROM idx")
 def q1_word_index(s, d):
-    return S.word_postings(S.indexed_pages(s, d))
+    return S.word_postings(_limited_pages(s, d))
 
 
 @query()
@@ -711,7 +716,7 @@ def q1_index(s, d):
 
 @query(f"WITH {_PAGES.replace('length(url) <= 100', 'length(url) <= 100 AND url NOT IN (SELECT url FROM pageranks WHERE url IS NOT NULL)')} SELECT term, url, n, positions FROM idx")
 def q1_incremental_index(s, d):
-    return S.word_postings(S.indexed_pages(s, d, done=table(s, d, "pageranks").where("url is not null")))
+    return S.word_postings(_limited_pages(s, d, done=table(s, d, "pageranks").where("url is not null")))
 
 
 #: Ranks after few rounds are short decimals; what is added keeps them off the ties of rounding.
@@ -788,7 +793,7 @@ def _score_sql(score: str, weight: str = "tf * ln(np / df) / 4") -> str:
 
 
 def _ranking(s, d, way: str, floor: bool = False) -> DataFrame:
-    pages = S.indexed_pages(s, d)
+    pages = _limited_pages(s, d)
     words = S.query_words(QUERY, stemmed=False)
     n = pages.agg(F.count(F.lit(1)).cast("double")).scalar()
     scores = S.scored(S.word_postings(pages), words, n, float(len(words)), floor)
@@ -880,4 +885,4 @@ def st_incremental_index(s, d):
     """The index built by a stream of the pages, one increment after the other."""
     from skeinflow.streaming.jobs import index_stream
 
-    return index_stream(s, f"{d}/crawl.parquet").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index_stream(s, f"{d}/crawl.parquet", max_page=W.MAX_PAGE, max_url=W.MAX_URL).groupBy("term").agg(F.count(F.lit(1)).alias("df"))

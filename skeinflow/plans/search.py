@@ -6,28 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.urls import passes_language, url_parts
-from skeinflow.functions.words import MAX_URL, MAX_WORD, SKIPPED, STOP_WORDS, indexed_text, stem, stripped, tokens, with_stems, word_positions
+from skeinflow.functions.words import MAX_WORD, SKIPPED, STOP_WORDS, indexed_text, stem, stripped, tokens, with_stems, word_positions
 from skeinflow.operators.ranking import ranked
 from skeinflow.sources.tables import table
 
 RESULTS = 200
 
 
-def indexed_pages(spark: SparkSession, folder: str, done: DataFrame | None = None, english_only: bool = False) -> DataFrame:
+def indexed_pages(spark: SparkSession, folder: str, done: DataFrame | None = None, english_only: bool = False, max_page: int | None = None, max_url: int | None = None) -> DataFrame:
     """(url, text) of the crawl's pages to index; see ``pages_of``."""
-    return pages_of(table(spark, folder, "crawl"), done, english_only)
+    return pages_of(table(spark, folder, "crawl"), done, english_only, max_page, max_url)
 
 
-def pages_of(crawl: DataFrame, done: DataFrame | None = None, english_only: bool = False) -> DataFrame:
-    """(url, text) of pages to index: of several fetches of an address the last, and none that ``done`` has."""
-    crawl = crawl.where("page is not null and url is not null").where(F.length("url") <= MAX_URL)
+def pages_of(crawl: DataFrame, done: DataFrame | None = None, english_only: bool = False, max_page: int | None = None, max_url: int | None = None) -> DataFrame:
+    """(url, text) of pages to index: of several fetches of an address the last, and none that ``done`` has.
+
+    Pages are whole, and addresses of any length, but where limits are given.
+    """
+    crawl = crawl.where("page is not null and url is not null")
+    if max_url is not None:
+        crawl = crawl.where(F.length("url") <= max_url)
     if english_only:
         crawl = crawl.where(passes_language(F.col("url")))
     if done is not None:
         crawl = crawl.join(done.select("url").distinct(), "url", "left_anti")
     last = crawl.groupBy("url").agg(F.max(F.struct("fetched_at", "page_id", "page")).alias("f"))
     parts = url_parts(F.col("url"))
-    return last.select("url", stripped(indexed_text(parts["host"], parts["path"], F.col("f.page"))).alias("text"))
+    return last.select("url", stripped(indexed_text(parts["host"], parts["path"], F.col("f.page"), max_page)).alias("text"))
 
 
 def word_postings(pages: DataFrame) -> DataFrame:

@@ -47,8 +47,9 @@ def hourly_counts(spark: SparkSession, path: str, late: str = "30 days", into: s
     return spark.read.parquet(into)
 
 
-def index_stream(spark: SparkSession, path: str, into: str | None = None, files: int = 4, every: str | None = None) -> DataFrame:
-    """(term, url, n, positions): postings of the pages of a crawl stream, ``files`` files an increment.
+def index_stream(spark: SparkSession, path: str, into: str | None = None, files: int = 4, every: str | None = None, max_page: int | None = None, max_url: int | None = None) -> DataFrame:
+    """(term, url, n, positions): postings of the pages of a crawl stream, ``files`` files an increment; the limits are
+    those of ``pages_of``.
 
     An address that is fetched again replaces its postings: each increment writes its own folder with the time of its
     fetches, and readers take an address's postings of its last increment.
@@ -60,7 +61,7 @@ def index_stream(spark: SparkSession, path: str, into: str | None = None, files:
 
     def save(batch: DataFrame, number: int) -> None:
         seen = batch.where("page is not null and url is not null").groupBy("url").agg(F.max(F.struct("fetched_at", "page_id")).alias("at"))
-        postings = word_postings(pages_of(batch)).join(seen, "url")
+        postings = word_postings(pages_of(batch, max_page=max_page, max_url=max_url)).join(seen, "url")
         postings.write.mode("overwrite").parquet(f"{into}/increment={number}")
 
     _finish(stream.writeStream.option("checkpointLocation", _folder(spark, "progress")).foreachBatch(save), every)

@@ -101,3 +101,20 @@ def test_rounds_leave_one_table(spark):
     e = spark.createDataFrame([("a", "b")], "src string, dst string")
     ranks = G.pagerank(v, e, rounds=5)
     assert len(set(folder.glob("ranks-*")) - before) == 1 and ranks.count() == 2
+
+
+def test_whole_pages_are_indexed(spark, tmp_path):
+    """Words past 10,000 characters and pages of addresses over 100 characters, where no limits are given."""
+    from skeinflow.plans import registry
+
+    long = "http://a.example/" + "p" * 120
+    crawl = [(1, "http://a.example/x", "early " + "pad " * 3000 + "late", 1), (2, long, "early boat", 1)]
+    spark.createDataFrame(crawl, "page_id long, url string, page string, fetched_at long").write.parquet(str(tmp_path / "crawl.parquet"))
+    got = {(r["term"], r["url"]): r["positions"] for r in registry.QUERIES["q1_index"](spark, str(tmp_path)).collect()}
+    assert got["late", crawl[0][1]] == [3005] and ("boat", long) in got
+    assert "late" in {r["term"] for r in registry.QUERIES["f14_stems"](spark, str(tmp_path)).collect()}
+    ranks = spark.createDataFrame([], "url string, pr double, computed_at long")
+    ranks.write.parquet(str(tmp_path / "pageranks.parquet"))
+    assert {r["url"] for r in S.search(spark, str(tmp_path), "late boats").collect()} == {crawl[0][1], long}
+    limited = S.word_postings(S.indexed_pages(spark, str(tmp_path), max_page=10000, max_url=100))
+    assert {r["url"] for r in limited.collect()} == {crawl[0][1]} and limited.where("term = 'late'").isEmpty()
