@@ -768,7 +768,7 @@ def q2_pagerank(s, d):
 def q2_pagerank_strict(s, d):
     """Until every rank has settled."""
     pages = G.fetched_pages(s, d)
-    ranks = G.pagerank(pages.select(F.col("url").alias("id")), G.links(pages), share=1.0, most=100)
+    ranks = G.pagerank(pages.select(F.col("url").alias("id")), G.links(pages), share=1.0, settle=True)
     return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
 
 

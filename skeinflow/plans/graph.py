@@ -90,9 +90,9 @@ def converged(ranks: DataFrame, eps: float) -> tuple[int, int]:
     return row["done"], row["n"]
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, eps: float = 0.01, share: float = 0.8, most: int = 1000, hot_source: int = 10_000) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, eps: float = 0.01, share: float = 0.8, most: int = 1000, hot_source: int = 10_000, settle: bool = False) -> DataFrame:
     """(id, rank0, rank1) after ``rounds`` rounds; without a number, when ``share`` of the vertices moved by less than
-    eps in a round, or after ``most``.
+    eps in a round, or after ``most``; with ``settle``, reaching ``most`` before that is an error.
 
     ``edges`` are (src, dst) with repeats; a source with more than ``hot_source`` of them may be spread.  Edges are put
     into buckets once, so a round shuffles ranks and what they send, added up on the map side, but no edges.  Each round
@@ -108,14 +108,18 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, e
             done, n = converged(ranks, eps)
             if done >= share * n:
                 break
+    else:
+        if rounds is None and settle:
+            raise RuntimeError(f"ranks haven't settled after {most} rounds")
     spread.drop()
     return ranks
 
 
-def crawl_order(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def crawl_order(edges: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
     """(url, depth) of a crawl's replay from the seeds over (src, dst): each address at its first depth.
 
-    The frontier of a step is what the last one links to, without what was visited before.
+    The frontier of a step is what the last one links to, without what was visited before.  It ends when the frontier is
+    empty; if there is one after ``most`` steps, that is an error.
     """
     edges = written(edges.distinct(), "links")
     visited = written(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "visited")
@@ -124,6 +128,8 @@ def crawl_order(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame
         reached = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = written(reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            break
+            return visited
         visited = visited.unionByName(frontier)
-    return visited
+        if depth % 50 == 0:  # a long union is read anew by every step
+            visited = written(visited, "visited")
+    raise RuntimeError(f"the crawl hasn't ended after {most} steps")

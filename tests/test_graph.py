@@ -118,3 +118,14 @@ def test_whole_pages_are_indexed(spark, tmp_path):
     assert {r["url"] for r in S.search(spark, str(tmp_path), "late boats").collect()} == {crawl[0][1], long}
     limited = S.word_postings(S.indexed_pages(spark, str(tmp_path), max_page=10000, max_url=100))
     assert {r["url"] for r in limited.collect()} == {crawl[0][1]} and limited.where("term = 'late'").isEmpty()
+
+
+def test_limits_of_rounds_are_errors(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",)], "url string")
+    with pytest.raises(RuntimeError):
+        G.crawl_order(e, seeds, most=3)
+    assert {r["url"]: r["depth"] for r in G.crawl_order(e, seeds, most=4).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    v = spark.createDataFrame([(n,) for n in "abcd"], "id string")
+    with pytest.raises(RuntimeError):
+        G.pagerank(v, e, share=1.0, most=1, settle=True)
