@@ -14,9 +14,10 @@ MIN_TF, MAX_PAGES = 4, 5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms of a page that score at least as a repeated rare term can; then the exact limits."""
+    """Of all terms of a page, scored without limits, those that score at least as a repeated rare term can; then the
+    exact limits."""
     bodies = crawled_bodies(table(spark, folder, "crawl"))
-    scored = terms.distinctive_terms(bodies, min_tf=MIN_TF, max_pages=MAX_PAGES)
+    scored = terms.distinctive_terms(bodies)
     # a term that occurs twice in a page has a neighbour; with pages <= 5 its score is at least ln(1 + all / 5) >= ln 2
     return scored.where((F.col("score") >= math.log(2) - 1e-9) & (F.col("tf") >= MIN_TF) & (F.col("pages") <= MAX_PAGES)).select("page_id", "term")
 

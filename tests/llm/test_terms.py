@@ -141,3 +141,17 @@ def test_p1_found_keeps_all_cases(spark, sf):
     df = Counter(w for p in pages.values() for w in set(words(p)))
     want = sorted((i, w) for i, p in pages.items() for w, n in Counter(words(p)).items() if n >= 4 and df[w] <= 5)
     assert rows(registry.QUERIES["p1_found"](spark, sf)) == want
+
+
+def test_p1_found_scores_all_terms(spark, sf, monkeypatch):
+    from skeinflow.llm import queries
+
+    asked, scores = [], terms.distinctive_terms
+
+    def spy(*args, **limits):
+        asked.append(limits)
+        return scores(*args, **limits)
+
+    monkeypatch.setattr(terms, "distinctive_terms", spy)
+    queries.p1_found(spark, sf)
+    assert asked == [{}]
