@@ -14,78 +14,51 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
+from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------- fixed values: words of page frames, by language
-_NAV_WORDS = """
-home|start|about|about us|contact|contact us|help|faq|forum|forums|news|newsletter|archive|archives|gallery|shop|store|jobs|careers|press|press room|log in|login|sign in|sign up|register|events|topics|tags|search|site map|sitemap|blog|team|services|products|support|account|my account|cart|imprint|privacy|terms|terms of use|categories|menu|toggle menu|skip to content|skip to main content|back to top|top|next|previous|rss|subscribe|calendar|map|directory|members|donate|downloads|documentation|settings
-startseite|über uns|kontakt|hilfe|rundbrief|archiv|galerie|bilder|laden|themen|termine|presse|anmelden|abmelden|suche|stellen|veranstaltungen|zum inhalt springen|zum inhalt|nach oben|zurück nach oben|menü|impressum|datenschutz|agb|beiträge|neuigkeiten|mitglieder
-inicio|quiénes somos|sobre nosotros|contacto|ayuda|boletín|archivo|galería|tienda|temas|eventos|prensa|entrar|acceder|buscar|empleo|saltar al contenido|ir al contenido|volver arriba|aviso legal|privacidad|noticias|foro
-accueil|à propos|contact|aide|lettre|archives|galerie|boutique|dossiers|sujets|événements|presse|connexion|se connecter|recherche|emplois|aller au contenu|haut de page|retour en haut|mentions légales|confidentialité|actualités|plan du site
-"""
-_SECTION_WORDS = """
-related|related posts|related articles|related stories|recent comments|comments|latest posts|recent posts|latest|most read|most popular|popular|trending|you may also like|you might also like|more from|more stories|in this section|recommended|read more|see also elsewhere|tags|categories|archives|follow us|advertisement|advertisements|sponsored|sponsored content|partner content
-ähnliche beiträge|verwandte artikel|meistgelesen|neueste beiträge|letzte kommentare|kommentare|das könnte sie auch interessieren|mehr zum thema|anzeige|anzeigen|werbung|empfohlen
-artículos relacionados|lo más leído|más leídas|últimas entradas|comentarios|comentarios recientes|también le puede interesar|publicidad|anuncio|recomendados
-à lire aussi|articles liés|les plus lus|derniers articles|commentaires|derniers commentaires|vous aimerez aussi|publicité|annonce|recommandés
-"""
-_AD_WORDS = "advertisement|advertisements|sponsored|anzeige|anzeigen|werbung|publicidad|anuncio|publicité|annonce"
-_SHARING = (
-    r"^(?:(?:like|share|save|print|tweet|mail|copy link|teilen|drucken|merken|speichern|compartir|imprimir|guardar|partager|imprimer|enregistrer)(?:\s*[|·,/]\s*|$)){2,}|^share this\b|^(?:teilen|compartir|partager)\s*:|\bwas this (?:page|article|answer) helpful\b|\bwar diese seite hilfreich\b|\b¿le ha (?:sido útil|servido)\b|\bcette page (?:vous )?a-t-elle\b"
-)
-_BYLINES = (
-    r"^by (?:the )?[^.]{2,40}(?:\||·)|\b\d+ min(?:utes?)? read\b|^(?:updated|posted|published)\b.{0,12}\d+ (?:hours?|days?|minutes?|weeks?) ago|^von (?:der redaktion )?[^.]{2,40}, vor \d+|^redacción de [^.]{2,40}, hace \d+|^la rédaction de [^.]{2,40}, il y a \d+"
-)
-_CUES = [
-    # footers
-    r"^(?:©|\(c\) |copyright\b)|\ball rights reserved\b|\balle rechte vorbehalten\b|\btodos los derechos reservados\b|\btous droits réservés\b",
-    r"\b(?:terms of use|terms of service|privacy policy|imprint|impressum|aviso legal|mentions légales)\b.*[|·].*|\bagb\b\s*$|^privacy\s*[|·]|[|·]\s*(?:privacy|imprint|datenschutz|privacidad|confidentialité)\b",
-    r"\bhosted in\b|\bmade with (?:care|love)\b|\bpowered by\b|\bfollow us\b|\bfolgen sie uns\b|\bsíganos\b|\bsuivez-nous\b",
-    r"\b(?:prices|preise|precios|prix)\b.*\b(?:tax|shipping|steuer|impuestos|taxes)\b|\breproduction of any kind\b|\bis run by volunteers\b|\bohne gewähr\b|\bno responde de\b|\bdécline toute responsabilité\b|\bopinions are those of\b",
-    # notices
-    r"\bcookies?\b.*\b(?:site|website|deliver|services|device|agree|settings|seite|funktioniert|sitio|funcione|acepta|fonctionner|acceptez)\b|\byour privacy matters\b|\bstores small files\b|\baccept all\b|\balle annehmen\b|\baceptar todo\b|\btout accepter\b|\bwir verwenden cookies\b|\busamos cookies\b|\bnous utilisons des cookies\b",
-    # sharing and feedback
-    _SHARING,
-    # bylines and dates
-    _BYLINES,
-    # advertising, subscriptions, pointers to other pages
-    rf"^(?:{_AD_WORDS})\s*:?$|^story continues below|^continue reading|^sign up for our\b|\bweekly (?:news)?letter\b|\bnever miss a story\b|^support our work\b|^become a member\b|\bbecome a member for\b|^subscribe\b|^jetzt .{{0,20}}\b(?:rundbrief|newsletter)\b|\bbestellen und nichts verpassen\b|^reciba nuestro\b|^suscríbase\b|^abonnez-vous\b",
-    r"^(?:read also|also read|see also|read next|lesen sie auch|lea también|lee también|à lire aussi|lire aussi|voir aussi)\s*:",
-]
-_SHARE, _BYLINE = re.compile(_SHARING), re.compile(_BYLINES)
-#: Words of which a line has one if it matches any cue.
-_CUE_WORDS = frozenset(
-    """copyright rights vorbehalten derechos droits terms privacy imprint impressum aviso mentions agb datenschutz privacidad
-    confidentialité hosted made powered follow folgen síganos suivez prices preise precios prix reproduction run gewähr
-    responde décline opinions cookie cookies stores accept annehmen aceptar accepter like share save print tweet mail copy
-    teilen drucken merken speichern compartir imprimir guardar partager imprimer enregistrer helpful hilfreich ha cette by
-    read updated posted published von redacción rédaction story continue sign weekly never support become subscribe jetzt
-    bestellen reciba suscríbase abonnez see lesen lea lee lire voir also""".split()
-) | frozenset(w for x in _AD_WORDS.split("|") for w in x.split())
-#: Searched in lower-cased lines of less than 30 words and at most two sentences.
-_CUE = re.compile("|".join(f"(?:{c})" for c in _CUES))
-_WORDS_OF_NAV = frozenset(w.strip() for w in re.split(r"[|\n]", _NAV_WORDS) if w.strip())
-_WORDS_OF_SECTIONS = frozenset(w.strip() for w in re.split(r"[|\n]", _SECTION_WORDS) if w.strip())
-_WORDS_OF_ADS = frozenset(_AD_WORDS.split("|"))
+from skeinflow.llm.frames import MOST_SENT, SentCounts, counted, distinct_bodies
+
+# ---------------------------------------------------------------- fixed values: names of containers, as markup has them
 _FRAME_NAME = re.compile(
     r"(?<![a-z])(?:nav|menu|side|rail|aside|related|recommend|promo|foot|bottom|colophon|cookie|consent|notice|banner|links?\b|share|social|comment|teaser|advert|ads?\b|by(?:line)?\b|meta|breadcrumb|masthead|topbar|toolbar|widget|extra|legal|subscribe|newsletter|popup|modal)|(?:nav|menu|footer|sidebar)\b",
     re.I,
 )
 _BODY_NAME = re.compile(r"\b(?:main|article|content|entry|post|story|text)\b|post-body|entry-content|article-body|main-content", re.I)
 
-# ---------------------------------------------------------------- classifier weights (cost units; above 0: content)
-W_SENTENCE, W_MORE, W_WORDS, W_TITLE = 1.5, 1.0, 0.3, 5.0
-W_LINKED, W_CUE, W_NAV, W_SECTION, W_TEASER, W_COMMENT, W_SEPARATED = -4.0, -9.0, -6.0, -7.0, -3.0, -5.0, -3.0
-W_BLOCK, W_CODE, W_FRAME, W_BODY = 0.6, 1.5, -6.0, 3.0
+#: What the classifier reads of a line, in this order; the same of the lines before and after it, or on average of the
+#: others of its container, where the name says so.
+FEATURES = """
+one sentence more_sentences length code block cell linked teaser title many_pieces handle
+repeated first_repeated last_repeated
+before_repeated after_repeated around_frame
+""".split()
+#: Weights of the features in pages with block markup and in those without, fitted by ``fit`` (see the README for the rows
+#: and the figures); above 0: content.
+WEIGHTS = {
+    True: [
+        18.93, 3.5, 3.25, -2.86, 14.39, 5.33, 15.91, -3.68, -15.06, 12.04, 1.81, -1.01,
+        -19.43, -12.57, 0.22, -3.38, -2.83, -14.22,
+    ],
+    False: [
+        1.38, 0.43, 1.1, -0.03, 13.62, 0.0, 0.0, 0.0, 0.0, 12.84, -0.84, -8.61,
+        -8.63, -6.0, -1.43, 0.0, 0.0, 0.0,
+    ],
+}
+#: Costs of containers by their name, and of sections that a repeated line opens.
+W_FRAME, W_BODY, W_SECTION = -6.0, 3.0, -7.0
 # capacities of smoothness edges
 E_NEXT, E_FAR, E_BLANK, E_INSIDE, E_AROUND, E_SECTION = 0.6, 0.1, 0.3, 3.5, 0.3, 3.0
+#: Repetition from which a short line without a sentence opens a section, or ends one.
+OPENS = 0.6
 
 _INVISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^<>]*>")
@@ -93,10 +66,11 @@ _BLOCKS = frozenset("h1 h2 li tr td blockquote dt dd p".split())
 _CONTAINERS = frozenset("div nav aside main article section header footer td form".split())
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
 _STOPS = frozenset(".!?…。！？")
-_COMMENTER = re.compile(r"^[a-z][a-z_]{2,}\d{1,4}: ")
-_SEPARATORS = re.compile(r"\s*[|»›·>]\s*|\s{2,}")
+_SEPARATORS = re.compile(r"[:|·›»>•]|\s{2,}")
+_HANDLE = re.compile(r"^(?=\w*[^\W\d])(?=\w*\d)\w+: ")
 _TITLE = re.compile(r"<title[^<>]*>(.*?)(?:</title|$)", re.I)
 _PLAIN = re.compile(r"[^\W_]+")
+_OWN, _LINKED = FEATURES.index("repeated"), FEATURES.index("linked")
 
 
 def _norm(s: str) -> str:
@@ -119,34 +93,26 @@ def _named(attributes: str) -> float:
     return W_BODY if _BODY_NAME.search(attributes) else 0.0
 
 
-@lru_cache(maxsize=1 << 15)
-def is_cue(low: str) -> bool:
-    """Whether a lower-cased line reads like a part of a page's frame; frames repeat, so answers are kept."""
-    return not _CUE_WORDS.isdisjoint(_PLAIN.findall(low)) and _CUE.search(low) is not None or low[:1] == "©" or low[:4] == "(c) "
-
-
 class Lines:
     """Nodes of one page: visible lines, and their containers."""
 
-    def __init__(self, page: str, url: str | None = None, frame_only: bool = False):
-        self.frame_only = frame_only  # only what is plainly of the frame counts against a line
+    def __init__(self, page: str, url: str | None = None, bare: bool = False):
+        self.bare = bare  # no features
         self.number: list[int] = []
         self.text: list[str] = []
+        self.features: list[list[float]] = []
+        self.hint: list[float] = []
+        self.linked: list[int] = []
         self.unary: list[float] = []
         self.inside: list[int] = []
         self.blank_before: list[bool] = []
         self.parents = [-1]
         self.hints = [0.0]
-        self.hard: list[bool] = []
         title = _TITLE.search(page)
         self.titles = {_norm(unescape(title.group(1)))} if title else set()
         self.slug = _slug(url)
         self.markup = bool(re.search(r"</?(?:div|p|td|li|body|h[1-6]|br)\b", page, re.I))
         self._scan(page)
-        if not frame_only:
-            self._leads()
-        if not self.markup:
-            self._sections()
 
     def _scan(self, page: str) -> None:
         if "<" in page:
@@ -252,61 +218,60 @@ class Lines:
             blank = False
 
     def _add(self, number: int, text: str, linked: int, container: int, hint: float, tags: list[str] | tuple[str, ...], pre: bool, blank: bool) -> None:
-        score = hint if hint < 0 else 0.0
-        words = text.count(" ") + 1  # white space is squeezed, but in bare lines; near enough
-        frame_only = self.frame_only
-        if frame_only:  # text of some length is hardly of a frame
-            score += W_BLOCK + min(5.0, words / 12)
-        hard = False
-        if pre:
-            score += W_CODE
-        else:
-            ends = len(_SENTENCE.findall(text)) if not _STOPS.isdisjoint(text) else 0
-            if ends and words >= 4:
-                score += W_SENTENCE + min(3.0, W_MORE * (ends - 1))
-                if words >= 15:
-                    score += W_WORDS
-            elif words > 12:
-                score += W_SENTENCE
-            else:
-                score += W_WORDS if words > 1 else 0.0
-            share = linked / len(text) if linked else 0.0
-            if share > 0.6:
-                if not frame_only:
-                    score += W_LINKED * share
-            elif linked and text.endswith("…"):
-                score += 2 * W_TEASER if frame_only else W_TEASER
-            if words < 30 and ends < 3:
-                low = text.lower().strip(" :")
-                short = words < 8
-                if short and low in _WORDS_OF_SECTIONS:
-                    score += W_SECTION
-                    hard = True
-                elif short and low in _WORDS_OF_NAV:
-                    score += W_NAV
-                elif is_cue(low):
-                    score += W_CUE
-                elif not ends:
-                    if "|" in text or "  " in text or ">" in text or "»" in text or "›" in text or "·" in text:
-                        pieces = [p for p in _SEPARATORS.split(text) if p]
-                        if len(pieces) > 2 and sum(p.lower() in _WORDS_OF_NAV for p in pieces) * 2 >= len(pieces):
-                            score += W_NAV
-                        elif len(pieces) > 3 and "|" in text and not frame_only:
-                            score += W_SEPARATED
-                        elif len(pieces) > 1 and pieces[0].lower() in _WORDS_OF_NAV and linked:
-                            score += W_NAV  # breadcrumbs
-                if words > 1 and not hard and not frame_only and self._is_title(text):
-                    score += W_TITLE
-                if text[0].islower() and _COMMENTER.match(text):
-                    score += W_COMMENT
-            if share <= 0.6 and not _BLOCKS.isdisjoint(tags):
-                score += W_BLOCK
         self.number.append(number)
         self.text.append(text)
-        self.unary.append(score)
         self.inside.append(container)
         self.blank_before.append(blank)
-        self.hard.append(hard)
+        self.hint.append(min(hint, 0.0))
+        self.linked.append(linked)
+        if self.bare:
+            return
+        words = text.count(" ") + 1  # white space is squeezed, but in bare lines; near enough
+        ends = len(_SENTENCE.findall(text)) if not pre and not _STOPS.isdisjoint(text) else 0
+        # writing without spaces has few words, but as many bytes
+        sentence = ends > 0 and (words >= 4 or len(text.encode()) >= 24)
+        share = linked / len(text) if linked else 0.0
+        self.features.append([
+            1.0,
+            float(sentence),
+            min(3.0, ends - 1.0) if sentence else 0.0,
+            min(5.0, log2(1 + words)),
+            float(pre),
+            float(share <= 0.6 and not _BLOCKS.isdisjoint(tags)),
+            float("td" in tags),
+            share,
+            float(linked > 0 and text.endswith("…")),
+            float(1 < words < 30 and self._is_title(text)),
+            float(not sentence and not pre and len(_SEPARATORS.findall(text)) > 1),
+            float(_HANDLE.match(text) is not None),
+        ])
+
+    def weigh(self, repeated: np.ndarray | None, weights: dict[bool, list[float]] = WEIGHTS) -> None:
+        """Own costs of the lines, and of a page without markup its sections.  ``repeated`` has the repetition of each line
+        of the page (see ``frames.repetition``)."""
+        x = self.matrix(repeated)
+        if len(x):
+            self.unary = (x @ np.array(weights[self.markup]) + np.array(self.hint)).tolist()
+        if not self.markup:
+            self._sections(x)
+
+    def matrix(self, repeated: np.ndarray | None) -> np.ndarray:
+        """A row of FEATURES for each line."""
+        n = len(self.text)
+        out = np.zeros((n, len(FEATURES)))
+        if n == 0:
+            return out
+        out[:, :_OWN] = self.features
+        if repeated is not None:
+            out[:, _OWN : _OWN + 3] = repeated[np.array(self.number) - 1]
+        own = out[:, _OWN]
+        rest = out[:, _OWN + 3 :]
+        rest[1:, 0], rest[:-1, 1] = own[:-1], own[1:]
+        if self.markup:
+            inside = np.array(self.inside)
+            frame = np.maximum(own, out[:, _LINKED : _LINKED + 2].max(axis=1))  # repeated, linked or a teaser
+            rest[:, 2] = (np.bincount(inside, frame)[inside] - frame) / np.maximum(np.bincount(inside)[inside] - 1, 1)
+        return out
 
     def _is_title(self, text: str) -> bool:
         n = _norm(text)
@@ -317,34 +282,22 @@ class Lines:
         slug = "-".join(re.findall("[a-z0-9]+", text.lower()))
         return len(slug) >= 12 and self.slug.startswith(slug)
 
-    def _leads(self) -> None:
-        """A short line before a byline is a headline."""
-        for i in range(len(self.text) - 1):
-            if self.unary[i + 1] < W_CUE / 2 and not self.hard[i] and 0 <= self.unary[i] < W_TITLE and 1 < self.text[i].count(" ") + 1 < 30 and _BYLINE.search(self.text[i + 1].lower()):
-                self.unary[i] += W_TITLE
-
-    def _sections(self) -> None:
-        """Sections of a page without markup: from a section heading to the next blank line, heading or cue."""
-        seen_body = False
+    def _sections(self, x: np.ndarray) -> None:
+        """Sections of a page without markup: a short repeated line opens one; it ends before a blank line, another
+        repeated line, or a paragraph of several sentences."""
         current = 0
-        left = shared = False
-        for i, text in enumerate(self.text):
-            low = text.lower().strip(" :")
-            long = self.unary[i] >= W_SENTENCE + W_MORE
-            if self.hard[i] and not (low in _WORDS_OF_ADS and seen_body and not shared):
+        for i, row in enumerate(x.tolist()):
+            repeated, sentence, more = row[_OWN], row[1], row[2]
+            if repeated >= OPENS and not sentence and row[_OWN + 1] == 0 and self.text[i].count(" ") < 5:
                 self.parents.append(0)
                 self.hints.append(W_SECTION)
-                current, left = len(self.parents) - 1, False
+                current = len(self.parents) - 1
                 self.inside[i] = current
                 continue
-            if self.blank_before[i] or self.unary[i] <= W_CUE + W_SENTENCE + 4:
-                left = True
-            if self.unary[i] < -5 and seen_body and _SHARE.search(low):
-                shared = True
-            if current and not left:
+            if self.blank_before[i] or repeated >= OPENS or sentence and more > 0:
+                current = 0
+            if current:
                 self.inside[i] = current
-            elif long:
-                seen_body = True
 
 
 def label(page: Lines) -> list[bool]:
@@ -441,31 +394,38 @@ def _max_flow(cost: list[float], edges: list[dict[int, float]], rest: list[int],
             flow[b][a] = flow[b].get(a, 0.0) + push
 
 
-def body_lines(page: str | None, url: str | None = None) -> list[int]:
-    """Numbers of the lines of a page's main body; none of a null or blank page."""
+def body_lines(page: str | None, url: str | None = None, repeated: np.ndarray | None = None) -> list[int]:
+    """Numbers of the lines of a page's main body; none of a null or blank page.  ``repeated`` has the repetition of each of
+    its lines; without it nothing is known to repeat."""
     if not page or page.isspace():
         return []
     lines = Lines(page, url)
+    lines.weigh(repeated)
     return [k for k, keep in zip(lines.number, label(lines), strict=True) if keep]
 
 
-def main_bodies(bodies: DataFrame, key: str = "page_id", text: str = "page", url: str = "url") -> DataFrame:
-    """(key, line_no int) of the lines of each page's main body.
+def main_bodies(wanted: DataFrame, pages: DataFrame | None = None, key: str = "page_id", text: str = "page", url: str = "url", most_sent: int = MOST_SENT) -> DataFrame:
+    """(key, line_no int) of the lines of the main body of each wanted page.
 
-    Each row of ``bodies`` is one page; other columns, whatever their names, are not read.  Null and blank pages give no
-    row; a null url is no hint.  No shuffle.
+    Each row of ``wanted`` is one page.  What repeats is counted over ``pages`` (the wanted ones where none are given), in
+    distinct bodies; that job runs when this is called.  Other columns, whatever their names, are not read.  Null and blank
+    pages give no row; a null url is no hint, and its pages are one host.
     """
-    src = bodies.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(url).cast("string").alias("u"))
+    src = wanted.select(F.col(key).alias("k"), F.col(text).cast("string").alias("page"), F.col(url).cast("string").alias("url"))
+    counts = SentCounts(src.sparkSession, counted(distinct_bodies(wanted if pages is None else pages, text, url)), most_sent)
+    table = counts.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = SentCounts.reader(table)
         for batch in batches:
             at, number = [], []
-            for i, (page, address) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = body_lines(page, address)
+            columns = (batch.column(1).to_pylist(), batch.column(2).to_pylist(), read(batch))
+            for i, (page, address, repeated) in enumerate(zip(*columns, strict=True)):
+                found = body_lines(page, address, repeated)
                 at += [i] * len(found)
                 number += found
             if at:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(number, pa.int32())], names=["k", "line_no"])
 
     fields = [src.schema["k"], T.StructField("line_no", T.IntegerType())]
-    return src.mapInArrow(run, T.StructType(fields)).withColumnRenamed("k", key)
+    return counts.beside(src).mapInArrow(run, T.StructType(fields)).withColumnRenamed("k", key)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm import boilerplate, markup, mix, pieces, stuffing, terms, tokens
+from skeinflow.operators.pruning import pruned_semi
 from skeinflow.sources.tables import crawled_bodies, table
 
 MIN_TF, MAX_PAGES = 4, 5
@@ -56,9 +57,9 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = table(spark, folder, "body_queue").select("page_id")
-    pages = table(spark, folder, "crawl").select("page_id", "page", "url").join(wanted, "page_id", "left_semi")
-    return boilerplate.main_bodies(_addressed_bodies(pages))
+    pages = table(spark, folder, "crawl").select("page_id", "page", "url").where("page is not null")
+    wanted = pruned_semi(pages, table(spark, folder, "body_queue"), "page_id")
+    return boilerplate.main_bodies(_addressed_bodies(wanted), pages)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

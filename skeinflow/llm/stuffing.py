@@ -1,11 +1,12 @@
 """Keyword-stuffed, tag and link-list pages.
 
-A page's own content (without what is plainly the site's frame) is cut into blocks of some hundred characters.  Of each
-block two compression ratios are measured: of its words, which repeated keywords make small whatever they are dressed as,
-and of its shape (function words of the page's language stay, other words become one sign, numbers and addresses another),
-which lists of tags and links make small.  Both are divided by the ratio that plain text of this length and language has.
-A block is stuffed if its words are extremely redundant, or if its shape is and the density of sentence punctuation (ends
-of sentences that hold function words) confirms it.  A page is stuffed if most words of its own content are in such blocks.
+A page's own content (without containers named as frames, and without the lines that repeat over the collection or the
+host, see ``frames``) is cut into blocks of some hundred characters.  Of each block two compression ratios are measured: of
+its words, which repeated keywords make small whatever they are dressed as, and of its shape (words of up to three letters
+stay, other words become one sign, numbers and addresses another), which lists of tags and links make small.  Both are
+divided by the ratio that text of this length and script has.  A block is stuffed if its words are extremely redundant, or
+if its words or its shape are redundant and a low density of sentences confirms it.  A page is stuffed if most words of its
+own content are in such blocks.  There are no word lists, and nothing depends on the language but the curve of its script.
 """
 
 from __future__ import annotations
@@ -13,123 +14,154 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinflow.llm.boilerplate import Lines, label
-
-# ---------------------------------------------------------------- fixed values: function words, by language
-_FUNCTION = {
-    "en": "a an the and or but if of to in on at by for from with without as is are was were be been being it its this that these those there here he she they we you i his her their our your not no nor so than then when while where which who whom what why how had has have do does did would could should will can may must most more less many much some any all every each other such only own too very just about into over under after before between behind across along inside outside near during since until because although though however instead",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn von zu zum zur im in an am auf bei für mit ohne aus nach vor über unter zwischen als ist sind war waren wird wurde wurden werden sein hat haben hatte es er sie wir ihr ich nicht kein keine so dann wie wo was wer warum weil dass jeder jede jedes alle alles nur auch noch schon wieder seit bis durch gegen um sich",
-    "es": "el la los las un una unos unas y o pero si de del a al en por para con sin sobre entre es son era fue fueron ser está están estaba que quien cual como cuando donde dónde por qué porque no ni se su sus lo le les este esta ese esa más muy todo todos nadie ningún otra otro vez tras desde hasta junto tan",
-    "fr": "le la les l un une des du de d et ou mais si à au aux en dans par pour avec sans sur sous entre est sont était a été fut être que qui quoi où comme quand pourquoi parce ne pas ni se son sa ses ce cette ces plus très tout tous personne aucun autre près depuis jusque aussi selon après avant pendant il elle nous vous",
+from skeinflow.llm.boilerplate import Lines
+from skeinflow.llm.frames import MOST_SENT, SentCounts, counted, distinct_bodies
+
+#: Compression ratio of text by script, of its words and of its shape: at 400 bytes, and what it falls by with each doubling
+#: of the length; fitted by ``fit_curve`` to the blocks of crawled pages (Latin) and to documents (see the README).  Scripts
+#: without texts to fit have the last, which is below all others.
+CURVES = {
+    "latin": ((0.544, 0.072), (0.371, 0.086)),
+    "cyrillic": ((0.442, 0.124), (0.193, 0.117)),
+    "han": ((0.518, 0.133), (0.185, 0.066)),
+    "arabic": ((0.384, 0.122), (0.297, 0.147)),
+    "devanagari": ((0.29, 0.083), (0.324, 0.084)),
+    "other": ((0.29, 0.133), (0.185, 0.147)),
 }
-_WORDS_OF = {k: frozenset(v.split()) for k, v in _FUNCTION.items()}
-#: Ratio of plain text: at 400 bytes, and what it falls by with each doubling of the length.
-_PLAIN_WORDS = {"en": (0.62, 0.045), "de": (0.60, 0.045), "es": (0.60, 0.045), "fr": (0.61, 0.045)}
-_PLAIN_SHAPE = {"en": (0.42, 0.035), "de": (0.42, 0.035), "es": (0.42, 0.035), "fr": (0.42, 0.035)}
-#: Extreme redundancy of words, relative to plain text: of any text, of text with less than PROSE[1] and PROSE[0]
-#: function words a word.
-REDUNDANT, PROSE, MANY_ENDS = (0.48, 0.62, 0.75), (0.33, 0.36), 0.1
-#: Redundant shape counts where less than PROSE_NONE of the words are function words and fewer than FEW_ENDS sentences
-#: end a word.
-REDUNDANT_SHAPE, PROSE_NONE, FEW_ENDS = 0.75, 0.2, 0.035
+#: Redundancy of words, relative to plain text, that is enough by itself; that is with few sentences; redundancy of shape
+#: that is with hardly any.  FEW and HARDLY are shares of a block's bytes that stand in sentences.
+WORDS, WORDS_CONFIRMED, SHAPE_CONFIRMED, FEW, HARDLY = 0.65, 0.8, 0.75, 0.2, 0.1
 #: Characters of a block; of one that ends at a container's edge; share of words in stuffed blocks that makes a page
-#: stuffed (below a half, as some lines of the frame are left among its own); least words of own content.
-BLOCK_CHARS, EDGE_CHARS, MOST, LEAST_WORDS = 500, 250, 0.4, 12
+#: stuffed; least bytes of a sentence; repetition from which a line is of the frame, and that of a short line's beginning;
+#: characters of a line that is content in a frame's container too.
+BLOCK_CHARS, EDGE_CHARS, MOST, SENTENCE_BYTES, REPEATED, LONG_LINE = 500, 250, 0.5, 30, 0.5, 600
 
 #: Pages shorter than this are kept with their share, the last 512 of a worker.
 KEPT_CHARS = 16_000
 
-_WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
-_ENDS = re.compile("[.!?…。！？]+")
+_WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
+_ENDS = re.compile("[.!?…]+[\"'”’»)\\]]*(?=\\s|$)|[。！？।؟]+")
+_DIGITS = re.compile(r"\d+")
 #: An address in angle brackets is text, not a tag.
 _AUTOLINK = re.compile(r"<(https?://[^<>\s]+)>", re.I)
+_SCRIPTS = (("cyrillic", re.compile("[Ѐ-ԯ]")), ("han", re.compile("[぀-ヿ㐀-鿿]")), ("arabic", re.compile("[؀-ۿ]")), ("devanagari", re.compile("[ऀ-ॿ]")), ("other", re.compile("[^\\W\\d_\u0000-ɏḀ-ỿ]")))
 
 
-class _Shapes(dict):
-    """Sign of each token in a language, kept for the tokens seen last: function words and punctuation stand for
-    themselves, other words are W, numbers 0, addresses U."""
-
-    def __init__(self, function: frozenset[str]):
-        super().__init__()
-        self.function = function
+class _Signs(dict):
+    """Sign of each token, kept for the tokens seen last: short words and punctuation stand for themselves, other words are
+    W, numbers 0, addresses U."""
 
     def __missing__(self, token: str) -> str:
         if len(self) > 100_000:
             self.clear()
         first = token[0]
-        sign = "U" if token.startswith("http") else "0" if first.isdigit() else token if not first.isalpha() or token in self.function else "W"
+        sign = "U" if token.startswith("http") else "0" if first.isdigit() else token if not first.isalpha() or len(token) < 4 else "W"
         self[token] = sign
         return sign
 
 
-_SHAPES = {k: _Shapes(v) for k, v in _WORDS_OF.items()}
+_SIGN = _Signs().__getitem__
 
 
-def _relative(data: bytes, curve: tuple[float, float]) -> float:
-    """Compression ratio over that of plain text of the length; the stream's own bytes don't count."""
-    expected = curve[0] - curve[1] * log2(max(len(data), 100) / 400)
-    return (len(zlib.compress(data, 6)) - 11) / len(data) / max(0.15, expected)
+def script(text: str) -> str:
+    """The script of most letters of a text, of those that have a curve."""
+    if text.isascii():
+        return "latin"
+    for name, letters in _SCRIPTS:
+        if len(letters.findall(text)) * 3 > len(text):
+            return name
+    return "latin"
 
 
-Figures = tuple[int, float, float, float, float]
+def ratio(data: bytes) -> float:
+    """Compression ratio; the stream's own bytes don't count."""
+    return (len(zlib.compress(data, 6)) - 11) / len(data) if data else 1.0
 
 
-def block_figures(blocks: list[str]) -> list[Figures]:
-    """(words, redundancy of words, redundancy of shape, sentence ends per word, share of function words) of each block
-    of a page.  A block without words counts by its tokens.
+def fit_curve(sizes: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
+    """(ratio at 400 bytes, fall with each doubling): robust line through texts of one script."""
+    x = np.stack([np.ones(len(sizes)), -np.log2(np.maximum(sizes, 100) / 400)], axis=1)
+    weight = np.ones(len(sizes))
+    for _ in range(8):
+        at = np.linalg.lstsq(x * weight[:, None], ratios * weight, rcond=None)[0]
+        weight = 1 / np.sqrt(np.maximum(np.abs(ratios - x @ at), 0.02))
+    return round(float(at[0]), 3), round(float(at[1]), 3)
 
-    Redundancies are ratios relative to plain text of the length and of the page's language, which is the one with most
-    function words: 1 is plain, 0 is all repetition.
-    """
-    each = [_WORD.findall(b.lower()) for b in blocks]
-    hits = {k: sum(sum(map(s.__contains__, t)) for t in each) for k, s in _WORDS_OF.items()}
-    lang = max(hits, key=hits.__getitem__)
-    sign, has = _SHAPES[lang].__getitem__, _WORDS_OF[lang].__contains__
-    out = []
-    for tokens in each:
-        signs = list(map(sign, tokens))
-        words = [t for t, s in zip(tokens, signs, strict=True) if s == "W" or s[0].isalpha() and s != "U"]
-        n = len(words)
-        shape = " ".join(signs)
-        if not n:
-            # bare addresses, numbered or not, have their shape only; figures and rules are no list of links
-            links = signs.count("U")
-            out.append((len(tokens), 1.0, _relative(shape.encode(), _PLAIN_SHAPE[lang]) if links and links >= signs.count("0") else 1.0, 0.0, 0.0))
-            continue
-        # ends of sentences that have function words (the only lower-case signs) and more than three words
-        ends = sum(s.count(" ") > 3 and s != s.upper() for s in _ENDS.split(shape)[:-1])
-        plain = " ".join(words).encode()
-        out.append((n, _relative(plain, _PLAIN_WORDS[lang]), _relative(shape.encode(), _PLAIN_SHAPE[lang]), ends / n, sum(map(has, words)) / n))
-    return out
 
+def _relative(value: float, size: int, curve: tuple[float, float]) -> float:
+    return value / max(0.12, curve[0] - curve[1] * log2(max(size, 100) / 400))
 
-def is_stuffed(figures: Figures) -> bool:
-    """Whether a block is: its words are extremely redundant (the more function words, the more so), or its shape is and
-    few sentences end in it."""
-    _, words, shape, ends, function = figures
-    if words < REDUNDANT[0] or words < REDUNDANT[1] and function < PROSE[1] or words < REDUNDANT[2] and function < PROSE[0] and ends < MANY_ENDS:
-        return True
-    return shape < REDUNDANT_SHAPE and function < PROSE_NONE and ends < FEW_ENDS
+
+Figures = tuple[int, float, float, float]
+
+
+def raw_figures(block: str) -> tuple[int, int, float, int, float, float]:
+    """(words, bytes and ratio of the words, bytes and ratio of the shape, share of the bytes in sentences) of a block."""
+    low = block.lower()
+    ones: list[str] = []
+    inside = last = 0
+    for m in _ENDS.finditer(low):
+        one = low[last : m.start()].rpartition("\n")[2].strip()  # a sentence is of one line
+        last = m.end()
+        ones.append(_DIGITS.sub("0", one))
+        size = len(one.encode()) + 1
+        inside += size if size >= SENTENCE_BYTES else 0
+    distinct = dict.fromkeys(ones)
+    share = inside / max(1, len(low.encode()))
+    if len(distinct) < len(ones) < 3 * len(distinct) and share > 0.5:  # a paragraph given twice is no keyword
+        low = ". ".join(distinct)
+    tokens = _WORD.findall(low)
+    signs = list(map(_SIGN, tokens))
+    words = [t for t, s in zip(tokens, signs, strict=True) if s == "W" or s[0].isalpha() and s != "U"]
+    plain, shape = " ".join(words).encode(), " ".join(signs).encode()
+    return len(words) or len(tokens), len(plain), ratio(plain), len(shape), ratio(shape) if words or _links(signs) else 1.0, share
 
 
-def own_blocks(page: str, size: int = BLOCK_CHARS) -> list[str]:
-    """Blocks of the visible lines that are not plainly of the site's frame; no block goes over a container's edge."""
-    lines = Lines(_AUTOLINK.sub(r" \1 ", page), frame_only=True)
+def _links(signs: list[str]) -> bool:
+    """Whether a block without words is of addresses; figures and rules are no list of links."""
+    links = signs.count("U")
+    return links > 0 and links >= signs.count("0")
+
+
+def block_figures(block: str) -> Figures:
+    """(words, redundancy of words, redundancy of shape, share of the bytes in sentences) of a block; one without words
+    counts by its tokens.  Redundancies are relative to text of the length and script: 1 is plain, 0 all repetition."""
+    count, size, words, shape_size, shape, inside = raw_figures(block)
+    of_words, of_shape = CURVES[script(block)]
+    return count, _relative(words, size, of_words) if size else 1.0, _relative(shape, shape_size, of_shape), inside
+
+
+def is_stuffed(figures: Figures) -> bool:
+    _, words, shape, inside = figures
+    return words < WORDS or words < WORDS_CONFIRMED and inside < FEW or shape < SHAPE_CONFIRMED and inside < HARDLY
+
+
+def own_blocks(page: str, repeated: np.ndarray | None = None, size: int = BLOCK_CHARS) -> list[str]:
+    """Blocks of the visible lines that aren't of the site's frame; no block goes over a container's edge.  ``repeated`` has
+    the repetition of each line of the page (see ``frames.repetition``)."""
+    lines = Lines(_AUTOLINK.sub(r" \1 ", page), bare=True)
+    framed = [False] * len(lines.parents)
+    for k in range(1, len(framed)):  # a container stands before those in it
+        framed[k] = lines.hints[k] < 0 or framed[lines.parents[k]] and lines.hints[k] == 0
+    keep = np.ones(len(lines.text), bool)
+    if repeated is not None and len(keep):
+        rows = repeated[np.array(lines.number) - 1]
+        keep = (rows[:, 0] < REPEATED) & ((rows[:, 1] < REPEATED) | (np.array([len(t) for t in lines.text]) > 150))
     out: list[str] = []
     part: list[str] = []
     chars, container = 0, -1
-    for text, inside, keep in zip(lines.text, lines.inside, label(lines), strict=True):
-        if not keep:
+    for text, inside, hint, linked, wanted in zip(lines.text, lines.inside, lines.hint, lines.linked, keep.tolist(), strict=True):
+        if not wanted or (framed[inside] or hint < 0) and len(text) < LONG_LINE or linked and text[-1] == "…":
             continue
-        if inside != container and chars >= EDGE_CHARS:
+        if part and (inside != container and chars >= EDGE_CHARS or len(text) > size):
             out.append("\n".join(part))
             part, chars = [], 0
         container = inside
@@ -148,35 +180,43 @@ def own_blocks(page: str, size: int = BLOCK_CHARS) -> list[str]:
     return out
 
 
-def stuffed_share(page: str | None) -> float | None:
-    """Share of the words of a page's own content that stand in stuffed blocks; null where it has too few words."""
+def stuffed_share(page: str | None, repeated: np.ndarray | None = None) -> float | None:
+    """Share of the words of a page's own content that stand in stuffed blocks, of all its content where all of it is of the
+    frame; null where there is no text."""
     if not page or page.isspace():
         return None
-    figures = block_figures(own_blocks(page))
+    figures = [block_figures(b) for b in own_blocks(page, repeated)] or [block_figures(b) for b in own_blocks(page)]
     words = sum(f[0] for f in figures)
-    if words < LEAST_WORDS:
-        return None
-    return sum(f[0] for f in figures if is_stuffed(f)) / words
-
-
-@lru_cache(maxsize=512)
-def _kept_share(page: str) -> float | None:
-    return stuffed_share(page)
+    return sum(f[0] for f in figures if is_stuffed(f)) / words if words else None
 
 
-def stuffed_shares(pages: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:
-    """(key, share double): ``stuffed_share`` of each key; null for null, blank and nearly empty pages.
+def stuffed_shares(pages: DataFrame, key: str = "page_id", text: str = "page", url: str = "url", most_sent: int = MOST_SENT) -> DataFrame:
+    """(key, share double): ``stuffed_share`` of each key; null for null and blank pages.
 
-    Repeated rows of a key count once; should its pages differ, the least share is taken.  Pages are measured where they
-    are read, and only keys and shares are shuffled.  Other columns, whatever their names, are not read.
+    What repeats is counted over all the pages, in distinct bodies; that job runs when this is called.  Repeated rows of a
+    key count once; should its pages differ, the least share is taken.  Pages are measured where they are read, and only
+    keys and shares are shuffled.  Other columns, whatever their names, are not read.
     """
-    src = pages.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    src = pages.select(F.col(key).alias("k"), F.col(text).cast("string").alias("page"), F.col(url).cast("string").alias("url"))
+    counts = SentCounts(src.sparkSession, counted(distinct_bodies(pages, text, url)), most_sent)
+    table = counts.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = SentCounts.reader(table)
+        kept: dict[tuple[str, bytes], float | None] = {}
         for batch in batches:
-            # a short page may be one of many copies
-            shares = [_kept_share(p) if p and len(p) < KEPT_CHARS else stuffed_share(p) for p in batch.column(1).to_pylist()]
+            shares = []
+            for page, repeated in zip(batch.column(1).to_pylist(), read(batch), strict=True):
+                if page and len(page) < KEPT_CHARS:  # a short page may be one of many copies
+                    one = (page, repeated.tobytes())
+                    if one not in kept:
+                        if len(kept) >= 512:
+                            kept.pop(next(iter(kept)))
+                        kept[one] = stuffed_share(page, repeated)
+                    shares.append(kept[one])
+                else:
+                    shares.append(stuffed_share(page, repeated))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["k", "share"])
 
-    each = src.mapInArrow(run, T.StructType([src.schema["k"], T.StructField("share", T.DoubleType())]))
+    each = counts.beside(src.distinct() if table is None else src).mapInArrow(run, T.StructType([src.schema["k"], T.StructField("share", T.DoubleType())]))
     return each.groupBy("k").agg(F.min("share").alias("share")).withColumnRenamed("k", key)

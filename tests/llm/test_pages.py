@@ -2,14 +2,31 @@
 
 import itertools
 import random
+import re
 
+import pyarrow as pa
 import pytest
 
 from skeinflow.llm import boilerplate as B
 from skeinflow.llm import markup as M
 from skeinflow.llm import stuffing as S
+from skeinflow.llm.frames import Counts, repetition
 from tests.conftest import rows
 
+
+def as_in_a_collection(page, own, url="http://a.example/en/x", n=30):
+    """The repetition of the page's lines among ``n`` pages of its site that have other words in the lines of ``own``."""
+    rnd = random.Random(5)
+    lines = page.split("\n")
+
+    def word(m):
+        return "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(1 + len(m.group()) // 2))
+
+    others = ["\n".join(re.sub(r"(?<![</\w&])[A-Za-z]+(?![\w;]*>)", word, x) if k in own else x for k, x in enumerate(lines, 1)) for _ in range(n)]
+    urls = [url] * (n + 1)
+    counts = Counts.of([page, *others], urls)
+    return repetition(pa.array([page]), pa.array([url]), counts)[0]
+
 HTML = """<!DOCTYPE html>
 <head><title>No heading - Site</title><style>h1 {x: 1}</style></head>
 <body><nav><ul>
@@ -254,9 +271,11 @@ y = 2</pre>
 
 def test_main_body():
     lines = PAGE.split("\n")
-    got = [lines[k - 1] for k in B.body_lines(PAGE)]
+    own = {k for k, x in enumerate(lines, 1) if x.startswith(("<h1>", "<p>The ", "<pre>", "y = 2", "<li>four", "<p>It stands"))}
+    repeated = as_in_a_collection(PAGE, own)
+    got = [lines[k - 1] for k in B.body_lines(PAGE, None, repeated)]
     assert got == [x for x in lines if x.startswith(("<h1>", "<p>The bridge", "<pre>", "y = 2", "<li>four", "<p>It stands"))]
-    assert B.body_lines(PAGE.replace("\n", "\r\n")) == B.body_lines(PAGE)
+    assert B.body_lines(PAGE.replace("\n", "\r\n"), None, repeated) == B.body_lines(PAGE, None, repeated)
 
 
 TEXT = """Skip to content
@@ -282,7 +301,9 @@ All rights reserved."""
 
 
 def test_main_body_of_text():
-    assert B.body_lines(TEXT, "http://a.example/en/the-bridge-was-closed-1a") == [9, 11, 13, 14]
+    url = "http://a.example/en/the-bridge-was-closed-1a"
+    repeated = as_in_a_collection(TEXT, {6, 7, 9, 11, 13, 14, 18}, url)
+    assert B.body_lines(TEXT, url, repeated) == [9, 11, 13, 14]
 
 
 def test_cut_is_least():
@@ -307,6 +328,7 @@ def test_body_operator(spark):
     df = spark.createDataFrame([(1, PAGE, None, 0), (2, None, "u", 0), (3, "\n", "u", 0), (4, "word " * 100_000, "u", 0)], "page_id long, page string, url string, line_no int")
     got = rows(B.main_bodies(df))
     assert {g[0] for g in got} <= {1, 4} and [g[1] for g in got if g[0] == 1] == B.body_lines(PAGE)
+    assert rows(B.main_bodies(df, most_sent=0)) == got
     assert B.main_bodies(df.limit(0)).count() == 0
 
 
@@ -371,7 +393,7 @@ def test_long_runs_after_a_space_are_cut(run):
 
 def test_headline_before_a_byline():
     page = "Home | Help | About us | Shop\nWe use cookies to make this site work. By staying here you agree to that.\n\nAnother headline here\nPosted 3 days ago in News\nThe first sentence stands here. The second does too, as it should.\n\nLike | Share | Save\n© 2020 Site"
-    assert B.body_lines(page) == [4, 6]
+    assert B.body_lines(page, None, as_in_a_collection(page, {4, 6})) == [4, 6]
 
 
 def test_inner_tables_stay_in_their_cell():
@@ -387,4 +409,4 @@ def test_inner_tables_stay_in_their_cell():
 <h3>Related</h3>
 <p>The tower fell down. It was old, and nobody was hurt.</p>
 </TD></TR></TABLE></BODY>"""
-    assert B.body_lines(page) == [3, 4, 6, 8]
+    assert B.body_lines(page, None, as_in_a_collection(page, {3, 4, 6, 8, 11})) == [3, 4, 6, 8]
