@@ -1,14 +1,15 @@
 """Markup residue: structure and clean text of pages in HTML, Markdown, wiki text and LaTeX.
 
 The format is told from the text, as content types are often missing or wrong.  Elements are headings, list items, code
-blocks and formulas, in the order in which they start.  For the text of HTML pages the content nodes are chosen by
-tag-path ratios (``main_text``); elements are wanted of the whole page, site frames included, so they don't pass it.
+blocks and formulas, in the order in which they start.  Tag-path ratios select the content nodes of HTML pages: each element
+is marked by the node it stands in, as content or as part of a site frame, and the clean text has the content nodes only.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -86,8 +87,8 @@ def html_text(s: str) -> str:
     return " ".join(s.split())
 
 
-def html_elements(page: str) -> list[Element]:
-    s = _HIDDEN.sub("", page)
+def html_elements(s: str) -> list[Element]:
+    """Elements of an HTML page without what it hides."""
     out: list[Element] = []
     levels: list[list | None] = [None]  # the open item of each open list
     heading: list | None = None  # [start, texts]
@@ -172,14 +173,56 @@ _MD_ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _MD_CODE = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _MD_LINK = re.compile(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\](?:\((?:[^()\s]|\([^()]*\))*(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)|\[[^\[\]]*\])")
 _AUTOLINK = re.compile(r"<((?:https?|mailto|ftp):[^<>\s]+)>")
-_STARS = re.compile(r"(\*{1,3})(?=\S)((?:(?!\1).)+?)(?<=\S)\1", re.S)
-_UNDERS = re.compile(r"(?<![A-Za-z0-9_])(_{1,3})(?=\S)((?:(?!\1).)+?)(?<=\S)\1(?![A-Za-z0-9_])", re.S)
+_SIGNS = re.compile(r"\*+|_+")
 _STRIKE = re.compile(r"~~(?=\S)(.+?)(?<=\S)~~", re.S)
 #: Inline dollars: no space inside at either end, no digit after the closing one, so amounts of money are none.
 _MD_FORMULA = re.compile(r"\$\$(.+?)\$\$|(?<![\\$\w])\$(?![\s$])((?:\\.|[^$\\\n]|\n(?!\s*\n))*?)(?<![\s\\])\$(?![\d$])|\\\(((?:(?!\\\().)+?)\\\)|\\\[((?:(?!\\\[).)+?)\\\]", re.S)
 _BLOCK_START = re.compile(r"^ {0,3}(?:#{1,6}(?:[ \t]|$)|>|```|~~~)|^\|")
 
 
+def without_emphasis(s: str) -> str:
+    """Without the stars and underscores that mark emphasis, at any depth: a run that can close takes signs from the nearest
+    run of its kind that can open."""
+
+    def mark(c: str) -> bool:
+        return not c.isalnum() and not "\ue000" <= c <= "\ue001"
+
+    runs: list[list] = []  # start, length, signs left, taken from the left, taken from the right
+    opened: list[tuple[int, bool]] = []  # number of the run, whether it can close too
+    bottom: dict[tuple[str, bool, int], int] = {}
+    for m in _SIGNS.finditer(s):
+        sign, size = m.group()[0], len(m.group())
+        before, after = s[m.start() - 1 : m.start()] or " ", s[m.end() : m.end() + 1] or " "
+        left = not after.isspace() and (not mark(after) or before.isspace() or mark(before))
+        right = not before.isspace() and (not mark(before) or after.isspace() or mark(after))
+        opens, closes = (left, right) if sign == "*" else (left and (not right or mark(before)), right and (not left or mark(after)))
+        number = len(runs)
+        runs.append([m.start(), size, size, 0, 0])
+        if closes:
+            kind = (sign, opens, size % 3)
+            at = len(opened) - 1
+            while at >= 0 and runs[number][2] and opened[at][0] >= bottom.get(kind, 0):
+                k, both = opened[at]
+                if s[runs[k][0]] == sign and not ((both or opens) and (runs[k][1] + size) % 3 == 0 and (runs[k][1] % 3 or size % 3)):
+                    use = min(runs[k][2], runs[number][2])
+                    runs[k][2] -= use
+                    runs[k][4] += use
+                    runs[number][2] -= use
+                    runs[number][3] += use
+                    del opened[at + (runs[k][2] > 0) :]
+                at -= 1
+            if runs[number][2] == size:
+                bottom[kind] = opened[-1][0] + 1 if opened else 0
+        if opens and runs[number][2]:
+            opened.append((number, closes))
+    out, at = [], 0
+    for start, size, _, first, last in runs:
+        if first or last:
+            out += [s[at:start], s[start : start + size - first - last]]
+            at = start + size
+    return "".join([*out, s[at:]])
+
+
 def md_inline(s: str, formulas: bool = False) -> str:
     """Without markup; ``formulas`` keeps formulas as they stand."""
     kept: list[str] = []
@@ -198,14 +241,8 @@ def md_inline(s: str, formulas: bool = False) -> str:
         s = _MD_LINK.sub(r"\1", s)
     if "<" in s:
         s = _ANY_TAG.sub("", _AUTOLINK.sub(r"\1", s))
-    for _ in range(3):
-        before = s
-        if "*" in s:
-            s = _STARS.sub(r"\2", s)
-        if "_" in s:
-            s = _UNDERS.sub(r"\2", s)
-        if s == before:
-            break
+    if "*" in s or "_" in s:
+        s = without_emphasis(s)
     if "~~" in s:
         s = _STRIKE.sub(r"\1", s)
     if "&" in s:
@@ -242,7 +279,9 @@ def _md_formulas(text: str, start: int, out: list[Element]) -> None:
 
 def md_elements(page: str) -> list[Element]:
     out: list[Element] = []
-    _md_blocks(page.split("\n"), out)
+    todo = [(page.split("\n"), 0)]
+    while todo:  # quotes within quotes, of any depth
+        _md_blocks(*todo.pop(), out, todo)
     # starts are numbers of lines and places within; see _md_blocks
     out.sort(key=lambda e: e[0])
     return out
@@ -251,12 +290,11 @@ def md_elements(page: str) -> list[Element]:
 _LINE = 1 << 24  # places: number of the line times _LINE, plus the place within its block
 
 
-#: Quotes within quotes that are read; deeper ones are text.
-_MOST_NESTED = 40
+_QUOTED = re.compile(r"(?:> ?)+")
 
 
-def _md_blocks(text: list[str], out: list[Element], first: int = 0, nested: int = 0) -> None:
-    """Elements of a block of lines; ``first`` is the number of its first line."""
+def _md_blocks(text: list[str], first: int, out: list[Element], quotes: list[tuple[list[str], int]]) -> None:
+    """Elements of a block of lines, of which ``first`` is the number of the first; blocks that it quotes go to ``quotes``."""
     n = len(text)
     i = 0
     para: list[str] = []
@@ -369,7 +407,7 @@ def _md_blocks(text: list[str], out: list[Element], first: int = 0, nested: int
             i = j
             continue
         end_item()
-        if stripped.startswith(">") and depth < 4 and nested < _MOST_NESTED:
+        if stripped.startswith(">") and depth < 4:
             end_para()
             j = i
             inner = []
@@ -377,7 +415,11 @@ def _md_blocks(text: list[str], out: list[Element], first: int = 0, nested: int
                 q = text[j].lstrip()
                 inner.append(q[2:] if q.startswith("> ") else q[1:] if q.startswith(">") else q)
                 j += 1
-            _md_blocks(inner, out, first + i, nested + 1)
+            marks = [m.group() if (m := _QUOTED.match(q)) else "" for q in inner]
+            deep = min(m.count(">") for m in marks) - 1  # all but one of the quotes that all lines are in
+            if deep > 0:
+                inner = [q[re.match("(?:> ?){%d}" % deep, q).end() :] for q in inner]
+            quotes.append((inner, first + i))
             i = j
             after_blank = True
             continue
@@ -596,7 +638,7 @@ def tex_inline(s: str, formula: str = "{}") -> str:
     s = s.replace("\\\\", " ")
     s = _TEX_SYMBOL.sub(lambda m: keep(m.group(1)), s)
     s = _TEX_DROP.sub("", s)
-    for _ in range(6):
+    while True:
         t = _TEX_ARG.sub(r"\1", _TEX_HREF.sub(r"\1", s))
         if t == s:
             break
@@ -714,11 +756,34 @@ _PARSERS = {"html": html_elements, "latex": tex_elements, "wiki": wiki_elements,
 
 def elements(page: str | None) -> list[tuple[str, str]]:
     """(kind, content) of the elements of a page, in the order in which they start; none of a null or blank page."""
+    return [(kind, content) for kind, content, _ in marked_elements(page)]
+
+
+def marked_elements(page: str | None) -> list[tuple[str, str, bool]]:
+    """(kind, content, whether it is content) of the elements of a page: by the tag-path ratios of an HTML page, and always
+    in other markup, which has no frames of tags."""
     if not page or page.isspace():
         return []
     page = page.replace("\r\n", "\n").replace("\r", "\n")
-    parser = _PARSERS.get(page_format(page))
-    return [(kind, content) for _, kind, content in parser(page) if kind != TEXT] if parser else []
+    kind_of_page = page_format(page)
+    parser = _PARSERS.get(kind_of_page)
+    if parser is None:
+        return []
+    if kind_of_page != "html":
+        return [(kind, content, True) for _, kind, content in parser(page) if kind != TEXT]
+    page = _HIDDEN.sub("", page)
+    found = parser(page)
+    if not found:
+        return []
+    nodes = path_nodes(page)
+    keep = content_nodes(nodes)
+    starts = [n[0] for n in nodes]
+    out = []
+    for start, kind, content in found:
+        # a formula stands within its node, the tag of another element before its first
+        at = bisect_right(starts, start) - 1 if kind == FORMULA else bisect_left(starts, start)
+        out.append((kind, content, keep[min(max(at, 0), len(keep) - 1)] if keep else False))
+    return out
 
 
 # ---------------------------------------------------------------- tag-path ratios
@@ -727,37 +792,51 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>")
 #: Elements without an end tag, and inline elements that are no part of a path.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data em font i kbd mark q s samp small span strong sub sup time u var".split())
+_HEADING_TAG = re.compile("h[1-6]")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 
-def path_nodes(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters of it in links) of the text nodes of an HTML page, in their order."""
-    s = _HIDDEN.sub("", page)
+Node = tuple[int, str, str, int]  # start of its text, path, text, characters of it in links
+
+
+def path_nodes(s: str) -> list[Node]:
+    """The text nodes of an HTML page without what it hides, in their order; the text of ``pre`` keeps its lines."""
     stack: list[str] = []
-    nodes: list[tuple[str, str, int]] = []
+    nodes: list[Node] = []
     parts: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, at, began = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
-        text = squeeze(unescape("".join(parts)))
-        if text:
-            nodes.append(("/".join(stack), text, linked))
-        parts.clear()
-        linked = 0
-
-    for m in _TAG.finditer(s):
-        chunk = s[at : m.start()]
-        at = m.end()
-        if chunk:
+        if parts:
+            text = unescape("".join(parts))
+            text = code_lines(text.replace("\xa0", " ")) if "pre" in stack else squeeze(text)
+            if text:
+                nodes.append((began, "/".join(stack), text, linked))
+            parts.clear()
+            linked = 0
+
+    def add(chunk: str, start: int) -> None:
+        nonlocal linked, began
+        if parts or not chunk.isspace():
+            if not parts:
+                began = start + len(chunk) - len(chunk.lstrip())
             parts.append(chunk)
             if in_link:
                 linked += len(chunk)
+
+    for m in _TAG.finditer(s):
+        if m.start() > at:
+            add(s[at : m.start()], at)
+        at = m.end()
         shut, tag = m.group(1), m.group(2).lower()
         if tag in _INLINE:
             if tag == "a":
                 in_link = not shut
             continue
+        if tag == "br" and "pre" in stack:
+            parts.append("\n")
+            continue
         flush()
         if tag in _VOID:
             continue
@@ -768,40 +847,57 @@ def path_nodes(page: str) -> list[tuple[str, str, int]]:
         elif tag in stack:
             while stack.pop() != tag:
                 pass
-    parts.append(s[at:])
+    if at < len(s):
+        add(s[at:], at)
     flush()
     return nodes
 
 
-def content_nodes(nodes: list[tuple[str, str, int]], width: int = 2) -> list[bool]:
+def content_nodes(nodes: list[Node], width: int = 2) -> list[bool]:
     """Which nodes are content: tag-path text ratio fused with the punctuation ratio of the path, smoothed over
-    neighbouring nodes, against a threshold (the mean less half a deviation, of the page)."""
+    neighbouring nodes, against a threshold (the mean less half a deviation, of the page).
+
+    Code and headings have few words and little punctuation: code is content where a node beside it is or the threshold
+    says so, a heading where the next node that is none is content.
+    """
     if not nodes:
         return []
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     count: dict[str, int] = {}
-    for path, text, linked in nodes:
+    for _, path, text, linked in nodes:
         length[path] = length.get(path, 0) + max(0, len(text) - linked)
         marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(text))
         count[path] = count.get(path, 0) + 1
-    fused = [math.sqrt((length[p] / count[p]) * (1 + marks[p] / count[p])) for p, _, _ in nodes]
+    fused = [math.sqrt((length[p] / count[p]) * (1 + marks[p] / count[p])) for _, p, _, _ in nodes]
     smooth = [sum(fused[max(0, i - width) : i + width + 1]) / len(fused[max(0, i - width) : i + width + 1]) for i in range(len(fused))]
     mean = sum(smooth) / len(smooth)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    return [x >= mean - deviation / 2 for x in smooth]
+    # a node of links is none, whatever is beside it
+    keep = [x >= mean - deviation / 2 and linked <= 0.6 * len(text) for x, (_, _, text, linked) in zip(smooth, nodes, strict=True)]
+    last = [path.rsplit("/", 1)[-1] for _, path, _, _ in nodes]
+    for i, (_, path, _, _) in enumerate(nodes):
+        if "pre" in path.split("/") and not keep[i]:
+            keep[i] = any(keep[max(0, i - 1) : i + 2])
+    following = False
+    for i in range(len(nodes) - 1, -1, -1):
+        if _HEADING_TAG.fullmatch(last[i]):
+            keep[i] = keep[i] or following
+        else:
+            following = keep[i]
+    return keep
 
 
 def main_text(page: str | None) -> str | None:
-    """Clean text, in the page's order: of HTML the content nodes, one a line; of other markup headings as '# ', items as
-    '- ', code in fences, paragraphs without their markup and formulas in dollars.  Null for a null page."""
+    """Clean text, in the page's order: headings as '# ' (in HTML one sign for each level), items as '- ', code in fences,
+    formulas in dollars; of HTML the content nodes, one a line, of other markup the whole page.  Null for a null page."""
     if page is None:
         return None
     page = page.replace("\r\n", "\n").replace("\r", "\n")
     kind = page_format(page)
     if kind == "html":
-        nodes = path_nodes(page)
-        return "\n".join(_rendered(path, text) for (path, text, _), keep in zip(nodes, content_nodes(nodes), strict=True) if keep)
+        nodes = path_nodes(_HIDDEN.sub("", page))
+        return "\n".join(_rendered(path, text) for (_, path, text, _), keep in zip(nodes, content_nodes(nodes), strict=True) if keep)
     if kind == "text":
         return "\n".join(squeeze(x) for x in page.split("\n")).strip()
     inline = {"markdown": lambda x: md_inline(x, formulas=True), "wiki": wiki_inline, "latex": lambda x: tex_inline(x, "${}$")}[kind]
@@ -812,10 +908,13 @@ def main_text(page: str | None) -> str | None:
 
 
 def _rendered(path: str, text: str) -> str:
-    last = path.rsplit("/", 1)[-1]
-    if re.fullmatch("h[1-6]", last):
-        return "#" * int(last[1]) + " " + text
-    return "- " + text if last == "li" else text
+    tags = path.split("/")
+    if "pre" in tags:
+        return f"```\n{text}\n```"
+    text = _DISPLAYED.sub(lambda m: f"${squeeze(m.group(1))}$" if m.group(1) else f"$${squeeze(m.group(2) or m.group(3))}$$", text)
+    if _HEADING_TAG.fullmatch(tags[-1]):
+        return "#" * int(tags[-1][1]) + " " + text
+    return "- " + text if tags[-1] == "li" else text
 
 
 # ---------------------------------------------------------------- operators
@@ -826,12 +925,13 @@ KEPT_CHARS = 16_000
 
 
 @lru_cache(maxsize=512)
-def _kept_elements(page: str) -> list[tuple[str, str]]:
-    return elements(page)
+def _kept_elements(page: str) -> list[tuple[str, str, bool]]:
+    return marked_elements(page)
 
 
 def page_elements(pages: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:
-    """(key, elem_no int from 1, kind, content) of the elements of each page; null, blank and plain pages give no row.
+    """(key, elem_no int from 1, kind, content, main) of the elements of each page; null, blank and plain pages give no row.
+    ``main`` says whether the tag-path ratios make its node content, not frame.
 
     Repeated rows of a key count once; should its pages differ, the elements of each come out.  Pages are parsed where
     they are read, and only elements are shuffled.  Other columns, whatever their names, are not read.
@@ -840,21 +940,20 @@ def page_elements(pages: DataFrame, key: str = "page_id", text: str = "page") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, number, kinds, contents = [], [], [], []
+            at, number, found = [], [], []
             for i, page in enumerate(batch.column(1).to_pylist()):
                 # a short page may be one of many copies
-                found = _kept_elements(page) if page and len(page) < KEPT_CHARS else elements(page)
-                if found:
-                    at += [i] * len(found)
-                    number += range(1, len(found) + 1)
-                    kinds += [k for k, _ in found]
-                    contents += [c for _, c in found]
+                own = _kept_elements(page) if page and len(page) < KEPT_CHARS else marked_elements(page)
+                at += [i] * len(own)
+                number += range(1, len(own) + 1)
+                found += own
             if at:
-                columns = [batch.column(0).take(pa.array(at)), pa.array(number, pa.int32()), pa.array(kinds), pa.array(contents, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "elem_no", "kind", "content"])
+                kinds, contents, main = zip(*found, strict=True)
+                columns = [batch.column(0).take(pa.array(at)), pa.array(number, pa.int32()), pa.array(kinds), pa.array(contents, pa.string()), pa.array(main)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "elem_no", "kind", "content", "main"])
 
-    fields = [src.schema["k"], T.StructField("elem_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("content", T.StringType())]
-    return src.mapInArrow(run, T.StructType(fields)).distinct().withColumnRenamed("k", key)
+    names = [("elem_no", T.IntegerType()), ("kind", T.StringType()), ("content", T.StringType()), ("main", T.BooleanType())]
+    return src.mapInArrow(run, T.StructType([src.schema["k"], *(T.StructField(*n) for n in names)])).distinct().withColumnRenamed("k", key)
 
 
 def clean_texts(bodies: DataFrame, key: str = "page_id", text: str = "page") -> DataFrame:

@@ -63,7 +63,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.page_elements(table(spark, folder, "crawl"))
+    """Content and frame alike."""
+    return markup.page_elements(table(spark, folder, "crawl")).select("page_id", "elem_no", "kind", "content")
+
+
+def p7_main_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Without the elements of site frames, as the tag-path ratios tell them."""
+    return markup.page_elements(table(spark, folder, "crawl")).where("main").drop("main")
 
 
 def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,5 +98,5 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams, p4_found, p4_shares, p6_found, p7_found, p7_texts, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
+    for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams, p4_found, p4_shares, p6_found, p7_found, p7_main_elements, p7_texts, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
 }

@@ -222,7 +222,7 @@ def test_no_elements(page):
 
 def test_element_operator(spark):
     df = spark.createDataFrame([(1, MD, "x"), (2, None, "x"), (3, " ", "x"), (4, "<h1>a</h1><p>b</p>" + "<p>w</p>" * 20_000, "x")], "page_id long, page string, kind string")
-    got = rows(M.page_elements(df.unionAll(df)))
+    got = rows(M.page_elements(df.unionAll(df)).drop("main"))
     assert [g[1] for g in got if g[0] == 1] == list(range(1, 14)) and (4, 1, "heading", "a") in got and {g[0] for g in got} == {1, 4}
     assert M.page_elements(df.limit(0)).count() == 0
     texts = {r["page_id"]: (r["format"], r["text"]) for r in M.clean_texts(df).collect()}
@@ -410,3 +410,56 @@ def test_inner_tables_stay_in_their_cell():
 <p>The tower fell down. It was old, and nobody was hurt.</p>
 </TD></TR></TABLE></BODY>"""
     assert B.body_lines(page, None, as_in_a_collection(page, {3, 4, 6, 8, 11})) == [3, 4, 6, 8]
+
+
+ARTICLE = """<html><body><div class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">Help</a></li><li><a href="/c">About</a></li></ul></div>
+<div class="article"><h1>How the bridge was built</h1>
+<p>The bridge was built in spring, by many hands; it has four arches, as the old one had.</p>
+<h2>The program</h2>
+<p>It was planned with a program, which is short, and which anyone can read: \\(a &lt; b\\) holds in it, and $$c = d$$ too.</p>
+<pre><code>def f():
+    return 1
+
+x = 2
+</code></pre>
+<ul><li>The first stone was laid in April, and the last in May, when it had stopped raining.</li></ul>
+<p>It stands there still, as it did then, and people walk over it every day, in all weather.</p></div>
+<div class="foot"><p><a href="/x">Imprint</a></p></div></body></html>"""
+
+
+def test_clean_text_of_html_keeps_structure():
+    assert M.main_text(ARTICLE).split("\n") == [
+        "# How the bridge was built",
+        "The bridge was built in spring, by many hands; it has four arches, as the old one had.",
+        "## The program",
+        "It was planned with a program, which is short, and which anyone can read: $a < b$ holds in it, and $$c = d$$ too.",
+        "```",
+        "def f():",
+        "    return 1",
+        "",
+        "x = 2",
+        "```",
+        "- The first stone was laid in April, and the last in May, when it had stopped raining.",
+        "It stands there still, as it did then, and people walk over it every day, in all weather.",
+    ]
+
+
+def test_elements_are_marked_by_their_node():
+    got = M.marked_elements(ARTICLE)
+    assert [(k, m) for k, _, m in got] == [("list_item", False)] * 3 + [("heading", True), ("heading", True), ("formula", True), ("formula", True), ("code", True), ("list_item", True)]
+    assert [(k, c) for k, c, _ in got] == M.elements(ARTICLE)
+
+
+@pytest.mark.parametrize("depth", [1, 40, 41, 400])
+def test_nested_quotes_and_emphasis(depth):
+    assert M.elements("Text with **bold**.\n\n" + "> " * depth + "# Deep down\n" + "> " * depth + "\n" + "> " * depth + "* item") == [("heading", "Deep down"), ("list_item", "item")]
+    text, words = "deep", "deep"
+    for k in range(depth):
+        sign = ("*", "**")[k % 2]
+        text, words = f"{sign}a {text} b{sign}", f"a {words} b"
+    assert M.md_inline(text) == words and M.md_inline("*" * depth + "deep" + "*" * depth) == "deep"
+    assert M.tex_inline("\\emph{" * depth + "deep" + "}" * depth) == "deep"
+
+
+def test_one_long_line_of_quotes():
+    assert M.elements("**a**\n\n" + ">" * 50_000 + " # deep") == [("heading", "deep")]
