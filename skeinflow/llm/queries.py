@@ -24,22 +24,30 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.distinctive_terms(crawled_bodies(table(spark, folder, "crawl")))
+    scores = terms.distinctive_terms(crawled_bodies(table(spark, folder, "crawl")))
+    return scores.withColumn("score", F.round("score", 6))
+
+
+def p1_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most distinctive terms of each page."""
+    return terms.keywords(terms.distinctive_terms(crawled_bodies(table(spark, folder, "crawl"))))
+
+
+def _term_counts(spark: SparkSession, folder: str, *lengths: int) -> DataFrame:
+    """Counts of n-grams, from suffix arrays two terms deep."""
+    return terms.marked(terms.gram_counts(crawled_bodies(table(spark, folder, "crawl")), max_n=2, lengths=lengths))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    counts = terms.gram_counts(crawled_bodies(table(spark, folder, "crawl")))
-    return terms.marked(counts).where("mark is not null").select("term", "mark")
+    return _term_counts(spark, folder, 1).where("mark is not null").select("term", "mark")
 
 
 def p3_term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = terms.gram_counts(crawled_bodies(table(spark, folder, "crawl")))
-    return terms.marked(counts).select("term", "occurrences", "pages", "mark")
+    return _term_counts(spark, folder, 1).select("term", "occurrences", "pages", "mark")
 
 
 def p3_bigrams(spark: SparkSession, folder: str) -> DataFrame:
-    counts = terms.gram_counts(crawled_bodies(table(spark, folder, "crawl")), max_n=2)
-    return terms.marked(counts).select("n", "term", "occurrences", "pages", "mark")
+    return _term_counts(spark, folder, 1, 2).select("n", "term", "occurrences", "pages", "mark")
 
 
 def _addressed_bodies(pages: DataFrame) -> DataFrame:
@@ -98,5 +106,5 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p3_found, p3_term_counts, p3_bigrams, p4_found, p4_shares, p6_found, p7_found, p7_main_elements, p7_texts, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
+    for f in (p1_found, p1_scores, p1_keywords, p3_found, p3_term_counts, p3_bigrams, p4_found, p4_shares, p6_found, p7_found, p7_main_elements, p7_texts, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)
 }

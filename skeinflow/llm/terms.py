@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text whose codes are sorted at once.
 BLOCK_BYTES = 6_000_000
@@ -167,14 +168,26 @@ def _count_blocks(max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def gram_counts(bodies: DataFrame, text: str = "page", max_n: int = 1) -> DataFrame:
-    """(n, term, occurrences, pages) of every n-gram of up to ``max_n`` terms; n = 0, term '' has all terms and pages.
+def gram_counts(bodies: DataFrame, text: str = "page", max_n: int = 1, lengths: tuple[int, ...] | None = None) -> DataFrame:
+    """(term, n, occurrences, pages) of every n-gram of up to ``max_n`` terms; n = 0, term '' has all terms and pages.
 
-    Each row of ``bodies`` is one page; null and empty texts have no terms but count as pages.  An empty table gives no
-    rows.  Only ``text`` is read.
+    The suffix arrays are sorted to depth ``max_n``; of their intervals those of ``lengths`` come out, all where none are
+    given.  Each row of ``bodies`` is one page; null and empty texts have no terms but count as pages.  An empty table gives
+    no rows.  Only ``text`` is read.
     """
     partial = bodies.select(F.col(text).cast("string")).mapInArrow(_count_blocks(max_n), "n int, term string, occurrences long, pages long")
-    return partial.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("pages").alias("pages"))
+    if lengths is not None:
+        partial = partial.where(F.col("n").isin(0, *lengths))
+    # an n-gram has one length; as an aggregate it keeps conditions on it behind the shuffle, which all readers share
+    return partial.groupBy("term").agg(F.max("n").alias("n"), F.sum("occurrences").alias("occurrences"), F.sum("pages").alias("pages"))
+
+
+def _totals(counts: DataFrame) -> Column:
+    """struct(all pages, pairs of term and page), from the same shuffled counts as their other readers: it asks for the same
+    columns."""
+    n, pages = F.col("n"), F.col("pages")
+    each = counts.where("occurrences >= 0")
+    return each.agg(F.struct(F.max(F.when(n == 0, pages)).alias("pages"), F.sum(F.when(n == 1, pages)).alias("pairs")).alias("t")).scalar()
 
 
 def marked(counts: DataFrame, common_percent: int = 40) -> DataFrame:
@@ -182,9 +195,8 @@ def marked(counts: DataFrame, common_percent: int = 40) -> DataFrame:
 
     Where one page is more than that share, the mark is rare.
     """
-    all_pages = counts.where("n = 0").select(F.sum("pages")).scalar()
-    mark = F.when(F.col("pages") == 1, "rare").when(F.col("pages") * 100 > all_pages * common_percent, "common")
-    return counts.where("n > 0").withColumn("mark", mark)
+    mark = F.when(F.col("pages") == 1, "rare").when(F.col("pages") * 100 > _totals(counts)["pages"] * common_percent, "common")
+    return counts.where("n > 0 and occurrences >= 0").withColumn("mark", mark)
 
 
 def _graph_blocks(window: int, min_tf: int, max_pages: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -225,22 +237,29 @@ def distinctive_terms(bodies: DataFrame, key: str = "page_id", text: str = "page
     broadcast; the others are joined by term, where no key has more than that share of the rows.
     """
     counts = gram_counts(bodies, text)
-    all_pages = counts.where("n = 0").select(F.sum("pages")).scalar()
-    of_terms = counts.where("n = 1").select("term", "pages")
+    totals = _totals(counts)
+    of_terms = counts.where("n = 1 and occurrences >= 0").select("term", "pages")
     ids = bodies.select(F.col(key).alias("page_id"), F.col(text).cast("string").alias("page"))
     schema = f"page_id {ids.schema['page_id'].dataType.simpleString()}, term string, tf int, degree int"
     weights = ids.mapInArrow(_graph_blocks(window, min_tf, max_pages), schema)
 
     def scored(rows: DataFrame) -> DataFrame:
-        score = F.col("degree") * F.log1p(all_pages.cast("double") / F.col("pages"))
+        score = F.col("degree") * F.log1p(totals["pages"].cast("double") / F.col("pages"))
         return rows.select("page_id", "term", "tf", "degree", "pages", score.alias("score"))
 
     if max_pages is not None:
         return scored(weights.join(of_terms.where(F.col("pages") <= max_pages), "term"))
-    pairs = counts.where("n = 1").select(F.sum("pages")).scalar()
-    hot: Column = F.col("pages") * HOT_TERMS >= pairs
+    hot: Column = F.col("pages") * HOT_TERMS >= totals["pairs"]
     hot_terms = of_terms.where(hot).select("term", F.col("pages").alias("hot_pages"))
     both = weights.join(F.broadcast(hot_terms), "term", "left")
     frequent = both.where("hot_pages is not null").withColumnRenamed("hot_pages", "pages")
     others = both.where("hot_pages is null").drop("hot_pages").join(of_terms.where(~hot), "term")
     return scored(frequent).unionByName(scored(others))
+
+
+def keywords(scores: DataFrame, k: int = 10) -> DataFrame:
+    """(page_id, rank from 1, term, score) of the ``k`` terms of greatest score of each page; of equal scores (to six
+    decimals) the first in the alphabet.  A page's own terms are what one task holds."""
+    order = Window.partitionBy("page_id").orderBy(F.desc(F.round("score", 6)), "term")
+    top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("page_id", F.col("rank").cast("int").alias("rank"), "term", F.round("score", 6).alias("score"))

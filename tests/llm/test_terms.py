@@ -155,3 +155,23 @@ def test_p1_found_scores_all_terms(spark, sf, monkeypatch):
     monkeypatch.setattr(terms, "distinctive_terms", spy)
     queries.p1_found(spark, sf)
     assert asked == [{}]
+
+
+def test_score_decides_the_keywords(spark):
+    """A term used less often, but among more different terms, comes before a more frequent one; rare ones before common."""
+    page = "alpha one alpha one alpha one " + " ".join(f"beta w{i} x{i}" for i in range(2)) + " the the"
+    df = spark.createDataFrame([(1, page), (2, "the one"), (3, "the two"), (4, None), (5, "")], "page_id long, page string")
+    got = [(r["page_id"], r["rank"], r["term"]) for r in terms.keywords(terms.distinctive_terms(df), 3).orderBy("page_id", "rank").collect()]
+    by = {r["term"]: r for r in terms.distinctive_terms(df).where("page_id = 1").collect()}
+    assert by["beta"]["tf"] < by["alpha"]["tf"] and by["beta"]["score"] > by["alpha"]["score"] > by["the"]["score"]
+    assert [g[2] for g in got if g[0] == 1][0] == "beta" and [g[1] for g in got if g[0] == 1] == [1, 2, 3]
+    assert [g[2] for g in got if g[0] == 2] == ["one", "the"] and not [g for g in got if g[0] in (4, 5)]
+    assert terms.keywords(terms.distinctive_terms(df.limit(0))).count() == 0
+
+
+def test_lengths(spark):
+    df = spark.createDataFrame([(1, "a b a b c"), (2, "b a b")], "page_id long, page string")
+    both = {(r["n"], r["term"]): (r["occurrences"], r["pages"]) for r in terms.gram_counts(df, max_n=3).collect()}
+    assert both[3, "a b a"] == (1, 1) and both[2, "a b"] == (3, 2) and both[1, "b"] == (4, 2)
+    one = {(r["n"], r["term"]): (r["occurrences"], r["pages"]) for r in terms.gram_counts(df, max_n=3, lengths=(1, 3)).collect()}
+    assert one == {k: v for k, v in both.items() if k[0] != 2}
