@@ -11,17 +11,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm.tokens import VOCABULARY, count_tokens
+from skeinflow.session import discard, written
 
-#: Values of the hashed number; what goes to the driver is at most this many rows for each source with a target.
+#: Values of the hashed number: a source's histogram has at most this many rows.
 BINS = 8192
 #: Turns of the hashed number that are tried for each source.
 TURNS = 64
-#: Sources with a target; more are refused, as thresholds are kept on the driver.
-MOST_SOURCES = 2000
+#: Sources with a target whose thresholds are sent to all workers; those of more are joined.
+MOST_SENT = 100_000
 SEED = 17
 
 
@@ -104,60 +106,77 @@ def goals(tokens: dict[str, int], share: dict[str, float], cap: dict[str, int],
     return want
 
 
+_FITS = "mix_source string, target_share double, max_repeats int, turn int, cuts array<int>, available_documents long, available_tokens long, documents long, tokens long"
+
+
+def _fitted(group: pd.DataFrame) -> pd.DataFrame:
+    """One row of _FITS from the histogram of a source, of at most BINS rows; a source without documents has a null bin."""
+    one = group.iloc[0]
+    cap, bins = int(one["cap"]), np.zeros((2, BINS), np.int64)
+    some = group[group["mix_bin"].notna()]
+    bins[:, some["mix_bin"].astype(int)] = some[["n_tokens", "n_rows"]].to_numpy(np.int64).T
+    turn, cuts = fit_source(bins[0], float(one["goal"]), cap)
+    taken = sum((np.roll(bins, turn, axis=1)[:, c:].sum(axis=1) for c in cuts), np.zeros(2, np.int64))
+    values = [one["mix_source"], one["share"], cap, turn, cuts, bins[1].sum(), bins[0].sum(), taken[1], taken[0]]
+    return pd.DataFrame({c.split()[0]: [v] for c, v in zip(_FITS.split(", "), values, strict=True)})
+
+
 class Plan:
-    """Thresholds and figures of each source with a target."""
+    """Thresholds and figures of each source with a target: ``fits``, one row for each.
+
+    The histogram of tokens by source and hashed number is made in one pass over the texts.  Totals of each source come to
+    the driver (three numbers a source); the fits are made from the histograms by one task a source.
+    """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, size: float | None = None, seed: int = SEED, vocabulary: str = VOCABULARY):
-        rows = targets.select(canonical(F.col("source")).alias("s"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))
-        rows = rows.where("s is not null").groupBy("s").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).limit(MOST_SOURCES + 1).collect()
-        if len(rows) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources have a target")
-        self.share = {r["s"]: max(0.0, r["share"] or 0.0) for r in sorted(rows)}
-        self.cap = {r["s"]: max(0, r["cap"] or 0) for r in sorted(rows)}
-        self.seed = seed
-        counted = count_tokens(self._eligible(documents).select("mix_source", "mix_bin", "text"), "text", vocabulary)
-        histogram = counted.groupBy("mix_source", "mix_bin").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-        bins = {s: np.zeros((2, BINS), np.int64) for s in self.share}
-        for r in histogram.toLocalIterator():
-            bins[r["mix_source"]][:, r["mix_bin"]] = r["tokens"], r["rows"]
-        self.tokens = {s: int(b[0].sum()) for s, b in bins.items()}
-        self.rows = {s: int(b[1].sum()) for s, b in bins.items()}
-        want = goals(self.tokens, self.share, self.cap, size)
-        fits = {s: fit_source(bins[s][0], want[s], self.cap[s]) for s in self.share}
-        self.turn = {s: f[0] for s, f in fits.items()}
-        self.cuts = {s: f[1] for s, f in fits.items()}
-        mixed = {s: sum((np.roll(b, self.turn[s], axis=1)[:, c:].sum(axis=1) for c in self.cuts[s]), np.zeros(2, np.int64)) for s, b in bins.items()}
-        self.out_tokens = {s: int(m[0]) for s, m in mixed.items()}
-        self.out_rows = {s: int(m[1]) for s, m in mixed.items()}
-
-    def _eligible(self, documents: DataFrame) -> DataFrame:
-        source = canonical(F.col("source"))
-        names = [F.lit(s) for s in self.share]
-        known = F.coalesce(F.array_contains(F.array(*names), source), F.lit(False)) if names else F.lit(False)
-        return documents.where(known).select(F.col("doc_id"), source.alias("mix_source"), hashed_bin(F.col("doc_id"), self.seed).alias("mix_bin"), F.col("text").cast("string").alias("text"))
+        spark = documents.sparkSession
+        given = targets.select(canonical(F.col("source")).alias("mix_source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))
+        given = given.where("mix_source is not null").groupBy("mix_source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
+        wanted = written(given.select("mix_source", F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("cap", F.lit(0)), F.lit(0)).alias("cap")), "targets")
+        self.seed, self.sources = seed, wanted.count()
+        counted = count_tokens(self._eligible(documents, wanted.select("mix_source")).select("mix_source", "mix_bin", "text"), "text", vocabulary)
+        histogram = written(counted.groupBy("mix_source", "mix_bin").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows")), "histogram")
+        totals = histogram.groupBy("mix_source").agg(F.sum("n_tokens").alias("n"))
+        rows = wanted.join(totals, "mix_source", "left").orderBy("mix_source").collect()
+        want = goals({r["mix_source"]: r["n"] or 0 for r in rows}, {r["mix_source"]: r["share"] for r in rows}, {r["mix_source"]: r["cap"] for r in rows}, size)
+        goal = spark.createDataFrame(list(want.items()), "mix_source string, goal double")
+        each = wanted.join(goal, "mix_source").join(histogram, "mix_source", "left")
+        self.fits = written(each.groupBy("mix_source").applyInPandas(_fitted, _FITS), "fits")
+        discard(histogram)
+        discard(wanted)
+
+    def _beside(self, rows: DataFrame, of_sources: DataFrame) -> DataFrame:
+        """Rows with what their source has; a table of many sources isn't sent to all workers, and then the join is one that
+        splits a source with many rows."""
+        return rows.join(F.broadcast(of_sources) if self.sources <= MOST_SENT else of_sources, "mix_source")
+
+    def _eligible(self, documents: DataFrame, of_sources: DataFrame) -> DataFrame:
+        rows = documents.select(F.col("doc_id"), canonical(F.col("source")).alias("mix_source"), hashed_bin(F.col("doc_id"), self.seed).alias("mix_bin"), F.col("text").cast("string").alias("text"))
+        return self._beside(rows.where("mix_source is not null"), of_sources)
 
     def mixed(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, source, copy, text): each document as often as its count, in an order shuffled over all."""
-        cuts = F.create_map(*[x for s, c in self.cuts.items() for x in (F.lit(s), F.array(*map(F.lit, c)) if c else F.array().cast('array<int>'))]) if self.cuts else None
-        rows = self._eligible(documents)
-        if cuts is None:
-            return rows.where(F.lit(False)).select("doc_id", F.col("mix_source").alias("source"), F.lit(1).alias("copy"), "text")
-        turns = F.create_map(*[F.lit(x) for s, t in self.turn.items() for x in (s, t)])
-        turned = F.pmod(F.col("mix_bin") + turns[F.col("mix_source")], F.lit(BINS))
-        count = F.size(F.filter(cuts[F.col("mix_source")], lambda t: turned >= t))
-        rows = rows.withColumn("n", count).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        order = F.xxhash64("doc_id", "copy", F.lit(self.seed + 1))
-        return rows.withColumn("o", order).orderBy("o", "doc_id", "copy").select("doc_id", F.col("mix_source").alias("source"), "copy", "text")
-
-    def report(self, spark) -> DataFrame:
+        """(doc_id, source, copy, text): each document as often as its count, in an order shuffled over all.
+
+        The order is that of a hash, which is uniform: its range is cut into equal parts, one for each partition, so nothing
+        is sampled and the texts are read once.
+        """
+        rows = self._eligible(documents, self.fits.select("mix_source", "turn", "cuts"))
+        turned = F.pmod(F.col("mix_bin") + F.col("turn"), F.lit(BINS))
+        rows = rows.withColumn("n", F.size(F.filter("cuts", lambda t: turned >= t))).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        rows = rows.withColumn("o", F.xxhash64("doc_id", "copy", F.lit(self.seed + 1)))
+        parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.least(F.floor((F.col("o") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
+        placed = rows.select("doc_id", F.col("mix_source").alias("source"), "copy", "text", "o", part.alias("part")).repartitionById(parts, F.col("part"))
+        return placed.sortWithinPartitions("o", "doc_id", "copy").select("doc_id", "source", "copy", "text")
+
+    def report(self) -> DataFrame:
         """One row for each source with a target: what there is of it, what the mix has, and the shares."""
-        total = sum(self.out_tokens.values())
-        rows = [
-            (s, self.share[s], self.cap[s], self.rows[s], self.tokens[s], self.out_rows[s], self.out_tokens[s], self.out_tokens[s] / self.tokens[s] if self.tokens[s] else 0.0, self.out_tokens[s] / total if total else 0.0)
-            for s in self.share
-        ]
-        schema = "source string, target_share double, max_repeats int, available_documents long, available_tokens long, documents long, tokens long, repeats double, actual_share double"
-        return spark.createDataFrame(rows, schema)
+        total = self.fits.agg(F.sum("tokens")).scalar()
+        ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+        return self.fits.select(
+            F.col("mix_source").alias("source"), "target_share", "max_repeats", "available_documents", "available_tokens", "documents", "tokens",
+            ratio(F.col("tokens"), F.col("available_tokens")).alias("repeats"), ratio(F.col("tokens"), total).alias("actual_share"),
+        )
 
 
 def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, seed: int = SEED, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +184,7 @@ def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, see
 
     Documents with a null source or one without a target stay out; a null or empty text has no tokens and is repeated
     with its source; repeated rows count each; other columns are not read.  Empty tables give an empty mix.  Sizes are
-    tokens of ``vocabulary``.
+    tokens of ``vocabulary``.  The jobs that count and fit run when this is called.
     """
     plan = Plan(documents, targets, size, seed, vocabulary)
-    return plan.mixed(documents), plan.report(documents.sparkSession)
+    return plan.mixed(documents), plan.report()

@@ -23,16 +23,19 @@ from skeinflow.llm.mix import canonical
 from skeinflow.llm.tokens import VOCABULARY, Codec, broadcast_model, text_blocks, worker_codec
 
 PARAGRAPH, LINE, SENTENCE, WORD, TOKEN = 5, 4, 3, 2, 1
-_BREAK = regex.compile(r"\s*[\n\r]\s*")
-_SPACE_CODES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-_SENTENCE_END = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？｡।؟]+[”’」』）]*")
+_IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+#: A run of signs is looked at once: it begins where no other of them stands before, and nothing of it is given back.
+_SENTENCE_END = regex.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+(?=\s)|[。！？｡।؟]+[”’」』）]*")
 
 
 def boundary_strengths(text: str) -> np.ndarray:
     """Strength of a cut before each character (and at the end) of text; 0 where nothing natural is."""
     n = len(text)
     out = np.zeros(n + 1, np.int8)
-    space = np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), _SPACE_CODES)
+    if n == 0:
+        return out
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = _IS_SPACE[np.minimum(codes, len(_IS_SPACE) - 1)]
     begins = space.copy()
     begins[1:] &= ~space[:-1]
     out[:n][begins] = WORD
@@ -41,11 +44,17 @@ def boundary_strengths(text: str) -> np.ndarray:
         solid = np.append(np.flatnonzero(~space), n)
         out[ends] = SENTENCE
         out[solid[np.searchsorted(solid, ends)]] = SENTENCE
-    for m in _BREAK.finditer(text):
-        run = m.group()
-        strength = PARAGRAPH if (run.count("\n") or run.count("\r")) > 1 else LINE
-        # after the line's end, before or after the indentation of the next line
-        out[m.end()] = out[m.start() + max(run.rfind("\n"), run.rfind("\r")) + 1] = strength
+    feeds, returns = codes == 10, codes == 13
+    if feeds.any() or returns.any():
+        # runs of white space with a line's end: one cut after the last end, one after the whole run
+        first = np.flatnonzero(begins)
+        after = np.append(np.flatnonzero(space[:-1] & ~space[1:]) + 1, n) if space[-1] else np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        number = np.stack([np.add.reduceat(feeds, first), np.add.reduceat(returns, first)]).max(axis=0)
+        last = np.maximum.reduceat(np.where(feeds | returns, np.arange(n), -1), first)
+        strength = np.where(number > 1, PARAGRAPH, LINE).astype(np.int8)
+        some = number > 0
+        out[last[some] + 1] = strength[some]
+        out[after[some]] = strength[some]
     return out
 
 
@@ -113,49 +122,56 @@ def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: i
             return places
         first = [max(0, a - overlap) for a in places]
         sizes = np.diff(codec.encode_many([doc.part(x, a) if doc.char[x] >= 0 else None for x, a in zip(first, places, strict=True)])[1])
-        out = []
-        for a, wanted, n in zip(places, first, sizes, strict=True):
-            if n == overlap or a == 0:
-                out.append(wanted)
-                continue
-            near = [x for d in range(0, 9) for x in (wanted - d, wanted + d)]
-            near = [x for x in near if 0 <= x < a and doc.char[x] >= 0]
-            for x, k in zip(near, np.diff(codec.encode_many([doc.part(x, a) for x in near])[1]), strict=True):
-                if k == overlap:
-                    out.append(x)
-                    break
-            else:
-                out.append(min(near, key=lambda x: (abs(x - wanted), x), default=a))
-        return out
-
-    def result() -> list[tuple[int, int, int, int]]:
-        return [(int(doc.char[s]), int(doc.char[a]), int(doc.char[b]), int(n)) for s, (a, b), n in zip(begins, spans, sizes, strict=True)]
-
-    spans = bisect([(0, doc.n)], max(1, limit - overlap))
-    begins = begin([a for a, _ in spans])
+        out = list(first)
+        tries: list[tuple[int, int]] = []  # number of the place, another beginning
+        for i, (a, wanted, n) in enumerate(zip(places, first, sizes, strict=True)):
+            if n != overlap and a > 0:
+                out[i] = -1
+                near = (x for d in range(0, 9) for x in ((wanted - d, wanted + d) if d else (wanted,)))
+                tries += [(i, x) for x in near if 0 <= x < a and doc.char[x] >= 0]
+        if tries:
+            closest: dict[int, int] = {}
+            for (i, x), k in zip(tries, np.diff(codec.encode_many([doc.part(x, places[i]) for i, x in tries])[1]), strict=True):
+                closest.setdefault(i, x)  # the nearest comes first
+                if k == overlap and out[i] < 0:
+                    out[i] = x
+            out = [closest.get(i, places[i]) if x < 0 else x for i, x in enumerate(out)]
+        return [places[i] if x < 0 else x for i, x in enumerate(out)]
+
+    #: (beginning with the overlap, without it, end, tokens or None where it has to be encoded)
+    spans: list[tuple[int, int, int, int | None]] = []
+    parts = bisect([(0, doc.n)], max(1, limit - overlap))
+    for s, (a, b) in zip(begin([a for a, _ in parts]), parts, strict=True):
+        spans.append((s, a, b, None))
     while True:
-        pieces = [doc.part(s, b) for s, (_, b) in zip(begins, spans, strict=True)]
-        sizes = np.diff(codec.encode_many(pieces)[1])
-        long = {i for i, n in enumerate(sizes) if n > limit}
-        if not long:
-            return result()
-        again, starts = [], []
-        for i, (a, b) in enumerate(spans):
-            halves = bisect([(a, b)], max(1, (b - a) - 1 - max(0, int(sizes[i]) - limit - 1))) if i in long else [(a, b)]
-            if i in long and len(halves) == 1:
-                # one token of text, or one character: shorten the overlap instead
-                s = begins[i] + 1
+        new = [i for i, x in enumerate(spans) if x[3] is None]
+        for i, n in zip(new, np.diff(codec.encode_many([doc.part(spans[i][0], spans[i][2]) for i in new])[1]), strict=True):
+            spans[i] = (*spans[i][:3], int(n))
+        if all(x[3] <= limit for x in spans):
+            break
+        again: list[tuple[int, int, int, int | None]] = []
+        stuck = True
+        for s, a, b, n in spans:
+            if n <= limit:
+                again.append((s, a, b, n))
+                continue
+            halves = bisect([(a, b)], max(1, (b - a) - 1 - max(0, n - limit - 1)))
+            if len(halves) > 1:
+                stuck = False
+                begins = [s, *begin([x for x, _ in halves[1:]])]
+                again += [(s2, x, y, None) for s2, (x, y) in zip(begins, halves, strict=True)]
+            elif s < a:  # one token of text, or one character: shorten the overlap instead
+                stuck = False
+                s += 1
                 while s < a and doc.char[s] < 0:
                     s += 1
-                if begins[i] >= a:
-                    return result()  # a single character of more tokens than the limit
-                again.append((a, b))
-                starts.append(s)
-                continue
-            for k, (x, y) in enumerate(halves):
-                again.append((x, y))
-                starts.append(begins[i] if k == 0 else begin([x])[0])
-        spans, begins = again, starts
+                again.append((s, a, b, None))
+            else:
+                again.append((s, a, b, n))  # a single character of more tokens than the limit
+        spans = again
+        if stuck:
+            break
+    return [(int(doc.char[s]), int(doc.char[a]), int(doc.char[b]), int(n)) for s, a, b, n in spans]
 
 
 def with_limits(documents: DataFrame, limits: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import math
+import time
 
 import numpy as np
 import pytest
@@ -187,3 +188,38 @@ def test_split_operator(spark):
     assert sorted(r["number"] for r in got) == list(range(1, len(got) + 1)) and max(r["n_tokens"] for r in got) <= 20
     assert pieces.split_oversized(docs.limit(0), limits).count() == 0
     assert pieces.split_oversized(docs, limits.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" + "." * 1_000_000 + "b", "a\n" * 300_000, "! " * 300_000])
+def test_boundaries_of_a_million_signs(text):
+    began = time.perf_counter()
+    assert len(pieces.boundary_strengths(text)) == len(text) + 1
+    assert time.perf_counter() - began < 1
+
+
+def test_boundary_strengths():
+    text = "ab. cd\n  ef \r\n\r\n gh\n"
+    got = pieces.boundary_strengths(text).tolist()
+    assert got == [0, 0, 0, 3, 3, 0, 2, 4, 0, 4, 0, 2, 0, 0, 0, 0, 5, 5, 0, 2, 4]
+    assert pieces.boundary_strengths("").tolist() == [0]
+
+
+def test_thresholds_by_a_join(spark, sf, monkeypatch):
+    """More sources than are sent to all workers give the same mix, in one order over all partitions."""
+    docs, targets = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "mix_targets"))
+    one, report = mix.mix(docs, targets)
+    monkeypatch.setattr(mix, "MOST_SENT", 2)
+    other, again = mix.mix(docs, targets)
+    assert [(r["doc_id"], r["copy"]) for r in one.collect()] == [(r["doc_id"], r["copy"]) for r in other.collect()]
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, again.collect()))
+    from pyspark.sql import functions as F
+
+    order = [r["o"] for r in one.select(F.xxhash64("doc_id", "copy", F.lit(mix.SEED + 1)).alias("o")).collect()]
+    assert order == sorted(order) and len(order) > 1
+
+
+def test_many_sources(spark):
+    docs = spark.createDataFrame([(i, f"s-{i % 3000}", "a few words") for i in range(6000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([(f"S_{i}", 1 / 3000, 2) for i in range(3000)], "source string, target_share double, max_repeats int")
+    got, report = mix.mix(docs, targets)
+    assert report.count() == 3000 and got.count() == report.agg({"documents": "sum"}).first()[0] > 6000
