@@ -296,9 +296,9 @@ def j1_join(s, d):
     return _orders(s, d).join(_segments(s, d)).df
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS l FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1),
-    b AS (SELECT c_custkey AS k, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS r FROM customer WHERE c_acctbal > 0 GROUP BY 1)
-    SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS key, '[' || coalesce(l, '') || '],[' || coalesce(r, '') || ']' AS value FROM a FULL JOIN b ON a.k = b.k""")
+@query("""WITH a AS (SELECT url AS k, string_agg(CAST(response_code AS VARCHAR), ',' ORDER BY CAST(response_code AS VARCHAR)) AS l FROM crawl WHERE url IS NOT NULL GROUP BY 1),
+    b AS (SELECT src AS k, string_agg(n, ',' ORDER BY n) AS r FROM pageranks_temp WHERE src IS NOT NULL GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS key, '[' || coalesce(l, '') || '],[' || coalesce(r, '') || ']' AS value FROM a FULL JOIN b ON a.k = b.k""")
 def j2_cogroup(s, d):
     return Pairs(table(s, d, "orders").where("o_custkey % 3 > 0").select("o_custkey", "o_orderpriority")).cogroup(_segments(s, d)).df
 
@@ -364,8 +364,8 @@ def a7_concat_fold(s, d):
     return named.fold_by_key(F.array_join(F.array_sort(F.collect_list("value")), ",")).df
 
 
-_STATE = """SELECT DISTINCT seq, src, TRY_CAST(trim(rank0) AS DOUBLE) AS r0, TRY_CAST(trim(rank1) AS DOUBLE) AS r1 FROM pageranks_temp
-    WHERE regexp_matches(trim(rank0), '^[0-9]+[.][0-9]+$') AND regexp_matches(trim(rank1), '^[0-9]+[.][0-9]+$')"""
+_STATE = """SELECT * FROM (SELECT DISTINCT seq, src, TRY_CAST(trim(rank0) AS DOUBLE) AS r0, TRY_CAST(trim(rank1) AS DOUBLE) AS r1 FROM pageranks_temp)
+    WHERE isfinite(r0) AND isfinite(r1)"""
 
 
 @query(f"SELECT count(*) FILTER (abs(r1 - r0) < 0.01) AS done, count(*) AS n FROM ({_STATE})")
@@ -378,14 +378,23 @@ def a8_converged(s, d):
 # ---------------------------------------------------------------- words and addresses in SQL
 
 _PAGES = """last AS (SELECT url, arg_max(page, (fetched_at, page_id)) AS page FROM crawl
-        WHERE page IS NOT NULL AND url IS NOT NULL AND length(url) <= 100 GROUP BY url),
+        WHERE page IS NOT NULL AND url IS NOT NULL GROUP BY url),
     pages AS (SELECT url, regexp_replace(concat_ws(' ', regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:]*)', 1),
-        coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:]*(?::[^/]*)?(/.*)$', 1), ''), '/'), left(page, 10000)), '<[^<>]*(>|\\z)', ' ', 'g') AS text FROM last),
+        coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:]*(?::[^/]*)?(/.*)$', 1), ''), '/'), page), '<[^<>]*(>|\\z)', ' ', 'g') AS text FROM last),
     lists AS (SELECT url, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM pages),
     words AS (SELECT url, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS p FROM lists),
     skipped AS (SELECT unnest(['http', 'https', 'com', 'net', 'edu', 'org', 'gov', 'www', 'xml', 'ttl', 'xmlj', 'rdf']) AS w),
     idx AS (SELECT term, url, count(*) AS n, list(CAST(p AS INTEGER) ORDER BY p) AS positions FROM words
-        WHERE length(term) <= 20 AND term NOT IN (SELECT w FROM skipped) GROUP BY term, url)"""
+        WHERE term NOT IN (SELECT w FROM skipped) GROUP BY term, url)"""
+
+#: The same with the limits of the described indexer: addresses of at most 100 characters, words of 20, pages of 10,000, and
+#: of host, path and page together again 10,000.
+_LIMITED = (
+    _PAGES.replace("url IS NOT NULL GROUP BY", "url IS NOT NULL AND length(url) <= 100 GROUP BY")
+    .replace("regexp_replace(concat_ws", "regexp_replace(left(concat_ws")
+    .replace("'/'), page), '<", "'/'), left(page, 10000)), 10000), '<")
+    .replace("WHERE term NOT IN", "WHERE length(term) <= 20 AND term NOT IN")
+)
 
 
 def _limited_pages(s: SparkSession, d: str, done: DataFrame | None = None) -> DataFrame:
@@ -544,13 +553,15 @@ def _quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-@query(f"SELECT page_id FROM crawl WHERE NOT list_has_any(regexp_extract_all(url, '[A-Za-z0-9]+'), [{_quoted(sorted({*U.COUNTRY_CODES, *U.LANGUAGE_CODES}))}])")
+_CODED = f"list_has_any(regexp_extract_all(link, '[A-Za-z0-9]+'), [{_quoted(sorted({*U.COUNTRY_CODES, *U.LANGUAGE_CODES}))}])"
+
+
+@query(f"WITH {LINKS_SQL} SELECT seq, pos, link FROM links WHERE NOT {_CODED}")
 def f8_language_filter(s, d):
     return table(s, d, "crawl").where(U.passes_language(F.col("url"))).select("page_id")
 
 
-@query(f"""SELECT page_id, list_filter(u, lambda x: NOT list_has_any(regexp_extract_all(x, '[A-Za-z0-9]+'), [{_quoted(sorted({*U.COUNTRY_CODES, *U.LANGUAGE_CODES}))}])) AS urls
-    FROM (SELECT page_id, list_distinct([url, lower(url)]) AS u FROM crawl WHERE url IS NOT NULL AND url = lower(url))""")
+@query(f"WITH {LINKS_SQL} SELECT seq, coalesce(list(link ORDER BY pos) FILTER (NOT {_CODED}), []) AS urls FROM links GROUP BY seq")
 def f9_language_filter_list(s, d):
     """The filter over a list of addresses."""
     rows = table(s, d, "crawl").where("url is not null and url = lower(url)").select("page_id", F.array_distinct(F.array("url", F.lower("url"))).alias("u"))
@@ -623,7 +634,7 @@ def f18_url_contains(s, d):
     return table(s, d, "crawl").where("url is not null").select("page_id", F.array_contains(W.tokens(F.col("url")), "harbour").alias("has"))
 
 
-@query(f"WITH {_PAGES} SELECT term, url, n FROM idx")
+@query(f"WITH {_LIMITED} SELECT term, url, n FROM idx")
 def f19_limits(s, d):
     return S.word_postings(_limited_pages(s, d)).select("term", "url", "n")
 
@@ -714,7 +725,7 @@ def q1_index(s, d):
     return S.postings(S.indexed_pages(s, d))
 
 
-@query(f"WITH {_PAGES.replace('length(url) <= 100', 'length(url) <= 100 AND url NOT IN (SELECT url FROM pageranks WHERE url IS NOT NULL)')} SELECT term, url, n, positions FROM idx")
+@query(f"WITH {_PAGES.replace('url IS NOT NULL GROUP BY', 'url IS NOT NULL AND url NOT IN (SELECT url FROM pageranks WHERE url IS NOT NULL) GROUP BY')} SELECT term, url, n, positions FROM idx")
 def q1_incremental_index(s, d):
     return S.word_postings(_limited_pages(s, d, done=table(s, d, "pageranks").where("url is not null")))
 
@@ -853,8 +864,10 @@ def q5_url_index(s, d):
 @query(f"""WITH RECURSIVE {LINKS_SQL},
     edges AS (SELECT DISTINCT s.src, l.link AS dst FROM links l JOIN (SELECT DISTINCT seq, src FROM pageranks_temp) s USING (seq) WHERE s.src IS NOT NULL),
     seed AS (SELECT src FROM pageranks_temp WHERE src IS NOT NULL GROUP BY src ORDER BY count(DISTINCT seq) DESC, src LIMIT 1),
-    reached AS (SELECT src AS url, 0 AS depth FROM seed UNION SELECT e.dst, r.depth + 1 FROM reached r JOIN edges e ON e.src = r.url WHERE r.depth < 50)
-    SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM reached GROUP BY url""")
+    reached(url, depth) USING KEY (url) AS (SELECT src, 0 FROM seed UNION
+        SELECT e.dst, min(r.depth) + 1 FROM reached r JOIN edges e ON e.src = r.url
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.reached k WHERE k.url = e.dst) GROUP BY e.dst)
+    SELECT url, CAST(depth AS INTEGER) AS depth FROM reached""")
 def q6_crawl_replay(s, d):
     """Addresses and depths of a crawl over the stored link lists, from the most frequent source."""
     from skeinflow.operators.packed import unpack_links
