@@ -50,11 +50,13 @@ def resolved_path(path: Column) -> Column:
     return F.aggregate(F.split(F.regexp_replace(path, "^/", ""), "/"), F.lit(""), step)
 
 
-def normalized(base: Column, link: Column, https_port: str = "443", http_port: str = "80") -> Column:
+def normalized(base: Column, link: Column, https_port: str = "443", http_port: str = "80", as_described: bool = False) -> Column:
     """The absolute address of a link on the page ``base``, with its port; null for a mere fragment and for other
     protocols than http and https.
 
-    A port that is given stays, a relative link has its base's, and else the protocol's default is filled in.
+    A port that is given stays, a relative link has its base's, and else the protocol's default is filled in; dots in the
+    path are resolved.  ``as_described`` has the described job's way instead: every port is the protocol's default, and of
+    dots only a leading ``..`` of a relative link is dropped.
     """
     target = without_fragment(link)
     own, above = url_parts(target), url_parts(base)
@@ -63,9 +65,11 @@ def normalized(base: Column, link: Column, https_port: str = "443", http_port: s
     host = F.when(absolute, own["host"]).otherwise(above["host"])
     default = F.when(protocol == "https", F.lit(https_port)).otherwise(F.lit(http_port))
     port = F.coalesce(F.when(absolute, own["port"]).otherwise(above["port"]), default)
+    if as_described:
+        port = default
     folder = F.regexp_replace(F.substring_index(above["path"], "?", 1), "[^/]*$", "")
-    path = F.when(absolute | target.startswith("/"), own["path"]).when(target == "", above["path"]).otherwise(F.concat(folder, target))
-    address = F.concat(protocol, F.lit("://"), host, F.lit(":"), port, resolved_path(path))
+    path = F.when(absolute | target.startswith("/"), own["path"]).when(target == "", above["path"]).otherwise(F.concat(folder, F.regexp_replace(target, r"^\.\./?", "") if as_described else target))
+    address = F.concat(protocol, F.lit("://"), host, F.lit(":"), port, path if as_described else resolved_path(path))
     other = target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~absolute
     return F.when(protocol.isin("http", "https") & ~other, address)
 

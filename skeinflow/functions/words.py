@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 STOP_WORDS = """
 a an the and but or nor for so yet at by in of on to up as it is be am are was were been do does did has have had can could may might must shall should will would ought about above across after against along among around before behind below beneath beside between beyond concerning considering despite during except following inside into like near next off onto outside over past regarding round since through throughout toward under underneath unlike until upon with within without according alongside also any anybody anyone anything both each either everybody everyone everything few he her hers herself him himself his i it's its itself many me mine more most my myself neither no nobody none nothing one other others our ours ourselves several she some somebody someone something theirs them themselves these they this those us we what whatever which whichever who whoever whom whomever whose you your yours yourself yourselves
 """.split()
-#: Parts of addresses that are not indexed, and the longest word that is; the longest page and address where
-#: they are limited.
+#: Parts of addresses that are not indexed.
 SKIPPED = "http https com net edu org gov www xml ttl xmlj rdf".split()
-MAX_WORD, MAX_PAGE, MAX_URL = 20, 10000, 100
+#: Characters of the longest page, address and word of the described indexer.  Nothing is limited unless this
+#: is given.
+LIMITS = {"page": 10000, "url": 100, "word": 20}
 
 
 def stripped(page: Column) -> Column:
@@ -42,8 +43,11 @@ def trimmed_word(word: Column) -> Column:
 
 
 def indexed_text(host: Column, path: Column, page: Column, most: int | None = None) -> Column:
-    """What the indexer reads of a page: host, path and the body, or its first ``most`` characters."""
-    return F.concat_ws(" ", host, path, page if most is None else F.substring(page, 1, most))
+    """What the indexer reads of a page: host, path and the body; with a limit the first ``most`` characters of the body, and
+    again of all three together."""
+    if most is None:
+        return F.concat_ws(" ", host, path, page)
+    return F.substring(F.concat_ws(" ", host, path, F.substring(page, 1, most)), 1, most)
 
 
 def word_positions(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -151,6 +155,19 @@ def stems_of(word: Column) -> Column:
     return F.pandas_udf(_stems, T.StringType())(word)
 
 
+def _list_stems(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in lists:
+        yield part.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+
+_list_stems.__annotations__ = {"lists": Iterator[pd.Series], "return": Iterator[pd.Series]}
+
+
+def stem_lists(words: Column) -> Column:
+    """The stems of an array of words, in order."""
+    return F.pandas_udf(_list_stems, T.ArrayType(T.StringType()))(words)
+
+
 def with_stems(df: DataFrame, word: str = "term", name: str = "stem") -> DataFrame:
     """Adds the stem of each word: Python sees each distinct word once, and the stems are joined back."""
     stems = df.select(F.col(word).alias("_w")).where("_w is not null").distinct().select("_w", stems_of(F.col("_w")).alias(name))

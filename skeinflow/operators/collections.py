@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from skeinflow.operators.keyed import Store
 
 
-
 def _expr(f: Column | Callable, *args: Column) -> Column:
     return f if isinstance(f, Column) else f(*args)
 
@@ -34,6 +33,34 @@ def _flat_python(df: DataFrame, f: Callable, schema: str, names: list[str]) -> D
     return df.mapInArrow(run, schema)
 
 
+#: Keys whose accumulators a task holds at once while it folds; with more, those it has are passed on and added up later.
+KEYS_HELD = 200_000
+
+
+def _folded(pairs: DataFrame, zero: str, f: Callable, combine: Callable | None) -> DataFrame:
+    """(key, value): accumulators of the keys of each partition, several of a key where a partition has very many keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.string())], names=["key", "value"])
+
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k in held:
+                    held[k] = f(held[k], v)
+                else:
+                    held[k] = f(zero, v) if combine else v
+            if len(held) > KEYS_HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return pairs.mapInArrow(run, "key string, value string")
+
+
 class Bag:
     """A bag of texts, in the column ``value``."""
 
@@ -79,6 +106,11 @@ class Bag:
 
         return Bag(self.df.mapInPandas(run, "value string"))
 
+    def hash_sample(self, fraction: float, seed: int = 0) -> Bag:
+        """The texts whose hash is below this share of all hashes: the same ones in any layout, and all copies of a text or
+        none."""
+        return Bag(self.df.where(F.pmod(F.crc32(F.concat(F.lit(f"{seed}:"), F.col("value")).cast("binary")), F.lit(1_000_000)) < int(fraction * 1_000_000)))
+
     def sample(self, fraction: float, seed: int = 0) -> Bag:
         """Each text with this chance, by its hash and a number of its copy's own; the same for the same input layout."""
         return Bag(self.df.sample(False, fraction, seed))
@@ -97,37 +129,32 @@ class Bag:
         """Distinct texts that aren't in the other."""
         return Bag(self.df.subtract(other.df))
 
-    def group_by(self, f) -> Pairs:
+    def group_by(self, f, python: bool = False) -> Pairs:
         """(f(value), the values with this result in ascending order, joined by commas)."""
-        groups = self.df.groupBy(_expr(f, F.col("value")).alias("key")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
+        keyed = self.map_to_pair(lambda v: (f(v), v), python=True) if python else Pairs(self.df.select(_expr(f, F.col("value")).alias("key"), "value"))
+        groups = keyed.df.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
         return Pairs(groups)
 
-    def fold(self, zero: str, f: Callable | None = None, aggregate: Column | None = None) -> DataFrame:
+    def fold(self, zero: str, f: Callable | None = None, aggregate: Column | None = None, combine: Callable | None = None) -> DataFrame:
         """One row (value): an aggregate where one says the same, else f over the partial results of the partitions.
 
-        f must be associative, as the order of the texts isn't defined; an empty bag gives zero.
+        Without ``combine``, f must be associative: partitions are folded from their first text on, and zero is used once.
+        With it, each partition is folded from zero by f (accumulator, text), and combine adds up the accumulators.  The
+        order of the texts isn't defined.  An empty bag gives zero; null texts are passed to f as None.
         """
         if aggregate is not None:
             return self.df.agg(F.coalesce(aggregate.cast("string"), F.lit(zero)).alias("value"))
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc, some = zero, False
-            for part in parts:
-                for v in part["value"]:
-                    acc, some = f(acc, v), True
-            if some:
-                yield pd.DataFrame({"value": [acc]})
-
-        partial = self.df.mapInPandas(run, "value string").coalesce(1)
+        # partials are made where the rows are; one row for each partition moves to one task
+        partial = _folded(self.df.select(F.lit("").alias("key"), "value"), zero, f, combine).repartition(1)
+        add = combine or f
 
         def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             acc = zero
             for part in parts:
                 for v in part["value"]:
-                    acc = f(acc, v)
+                    acc = add(acc, v)
             yield pd.DataFrame({"value": [acc]})
 
-        # one row for each partition of the input: bounded by their number
         return partial.mapInPandas(finish, "value string")
 
     def count(self) -> DataFrame:
@@ -166,9 +193,35 @@ class Pairs:
             return Pairs(_flat_python(self.df, f, "key string, value string", ["key", "value"]))
         return Pairs(self.df.select(F.inline(_expr(f, F.col("key"), F.col("value"))).alias("key", "value")))
 
-    def fold_by_key(self, aggregate: Column) -> Pairs:
-        """One pair for each key; the aggregate is algebraic, so partial results are made before the shuffle."""
-        return Pairs(self.df.groupBy("key").agg(aggregate.cast("string").alias("value")))
+    def fold_by_key(self, aggregate: Column | str, f: Callable | None = None, combine: Callable | None = None, python: bool = False) -> Pairs:
+        """One pair for each key: ``fold_by_key(aggregate)`` by an algebraic aggregate, of which partial results are made
+        before the shuffle, or ``fold_by_key(zero, f, python=True)`` by a function (accumulator, value), as ``Bag.fold``.
+
+        A function's partial results are made before the shuffle too, so a key with most values sends one row for each task;
+        behind it accumulators come in the order of their keys and one is held at a time.
+        """
+        if not python:
+            return Pairs(self.df.groupBy("key").agg(aggregate.cast("string").alias("value")))
+        zero, add = aggregate, combine or f
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, acc, some = None, None, False
+            for batch in batches:
+                keys, values = [], []
+                for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if some and k == key:
+                        acc = add(acc, v)
+                        continue
+                    if some:
+                        keys.append(key)
+                        values.append(acc)
+                    key, acc, some = k, add(zero, v), True
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], names=["key", "value"])
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([acc], pa.string())], names=["key", "value"])
+
+        ordered = _folded(self.df, zero, f, combine).repartition("key").sortWithinPartitions("key")
+        return Pairs(ordered.mapInArrow(finish, "key string, value string"))
 
     def join(self, other: Pairs) -> Pairs:
         """(key, left value + ',' + right value) for each pair of values of a key."""
@@ -209,12 +262,24 @@ class Context:
     def parallelize(self, texts: list[str]) -> Bag:
         return Bag(self.spark.createDataFrame([(t,) for t in texts], "value string"))
 
-    def from_table(self, table: DataFrame | str, f: Column | Callable[[DataFrame], Column]) -> Bag:
-        """One text for each row; null ones are dropped."""
+    def from_table(self, table: DataFrame | str, f: Column | Callable, python: bool = False) -> Bag:
+        """One text for each row; null ones are dropped.  With ``python``, f gets each row as a dict."""
         df = self.store.scan(table) if isinstance(table, str) else table
+        if python:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    texts = [t for t in map(f, batch.to_pylist()) if t is not None]
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+            return Bag(df.mapInArrow(run, "value string"))
         text = f if isinstance(f, Column) else f(df)
         return Bag(df.select(text.cast("string").alias("value")).where("value is not null"))
 
+    def with_concurrency(self, bag: Bag) -> Bag:
+        """The bag in as many partitions as the level says, spread evenly whatever its texts are."""
+        return Bag(bag.df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+
     def output(self, text: str) -> None:
         self._said.append(text)
 

@@ -66,10 +66,25 @@ def viewed_page(table: DataFrame, page: int, key: str = "key", rows: int = PAGE_
 
     Missing cells are empty texts, as all values are shown as text.
     """
+    shown = _paged(table, page, key, rows)
+    return shown.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in table.columns])
+
+
+def _paged(table: DataFrame, page: int, key: str, rows: int) -> DataFrame:
     upto = table.orderBy(key).limit((page + 1) * rows)
     numbered = upto.withColumn("_n", F.row_number().over(Window.orderBy(key)))
-    shown = numbered.where(F.col("_n") > page * rows)
-    return shown.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in table.columns])
+    return numbered.where(F.col("_n") > page * rows).drop("_n")
+
+
+def viewed_cells(writes: DataFrame, page: int, rows: int = PAGE_ROWS) -> DataFrame:
+    """Page ``page`` of a table in long form (key, col, value, seq): its columns are the union of those of the page's rows,
+    in order; a missing cell is an empty text."""
+    keys = _paged(writes.select("key").distinct(), page, "key", rows)
+    cells = last_writes(writes.join(keys, "key", "left_semi"))
+    columns = sorted(r[0] for r in cells.select("col").distinct().collect())  # of one page of rows
+    picks = [F.max(F.when(F.col("col") == c, F.coalesce(F.col("value").cast("string"), F.lit("")))) for c in columns]
+    wide_rows = cells.groupBy("key").agg(F.lit(None).alias("_"), *[F.coalesce(p, F.lit("")).alias(c) for p, c in zip(picks, columns, strict=True)]).drop("_")
+    return wide_rows.withColumn("key", F.col("key").cast("string"))
 
 
 def recovered(log: DataFrame, key: str = "key", place: str = "pos") -> DataFrame:
@@ -84,6 +99,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, prefix: str = "kv_"):
         self.spark, self.folder, self.prefix = spark, folder.rstrip("/") if folder else None, prefix
+        self._kept: set[str] = set()  # tables that were persisted
 
     def _name(self, name: str) -> str:
         if not re.fullmatch(r"\w+", name):
@@ -104,10 +120,13 @@ class Store:
         return sorted(t.name[len(self.prefix) :] for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix))
 
     def described(self, key: str = "key") -> DataFrame:
-        """(name, n_keys) of all tables."""
-        each = [count_keys(self.spark.table(self._name(t)), key).select(F.lit(t).alias("name"), F.col("n").alias("n_keys")) for t in self.tables()]
+        """(name, n_keys, persistent) of all tables."""
+        each = [
+            count_keys(self.spark.table(self._name(t)), key).select(F.lit(t).alias("name"), F.col("n").alias("n_keys"), F.lit(t in self._kept).alias("persistent"))
+            for t in self.tables()
+        ]
         if not each:
-            return self.spark.createDataFrame([], "name string, n_keys long")
+            return self.spark.createDataFrame([], "name string, n_keys long, persistent boolean")
         out = each[0]
         for e in each[1:]:
             out = out.unionByName(e)
@@ -118,10 +137,13 @@ class Store:
         if not self.has(old) or self.has(new):
             return False
         self.put_table(new, self.spark.table(self._name(old)))
+        if old in self._kept:
+            self._kept.add(new)
         self.delete(old)
         return True
 
     def delete(self, name: str) -> bool:
+        self._kept.discard(name)
         return self.spark.catalog.dropTempView(self._name(name))
 
     def copy(self, source: str, target: str, key: str = "key") -> None:
@@ -141,18 +163,43 @@ class Store:
                 return False
             raise
         self.put_table(name, self.spark.read.parquet(path))
+        self._kept.add(name)
         return True
 
 
-def matches_any(value: Column, patterns: DataFrame, pattern: str, limit: int = 10_000) -> Column:
-    """Whether the value is LIKE one of the patterns.
+#: Patterns that are compared as they are; more are looked up by a part of theirs.
+MOST_LISTED = 1000
+
+
+def matching(rows: DataFrame, value: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """The rows whose ``value`` is LIKE one of the patterns; null values and patterns match nothing.
 
-    A pattern table is a control table: its size is checked, and more than ``limit`` patterns are refused.
+    Up to MOST_LISTED patterns become one condition.  Of more, each is known by the rarest run of four plain characters that
+    it holds: rows are joined on the runs of their value, and what meets is compared exactly.  Patterns without such a run are
+    few by nature (they hold no four plain characters in a row) and become conditions.  A row comes out once.
     """
-    rows = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} patterns")
+    kept = patterns.select(F.col(pattern).alias("_p")).where("_p is not null").distinct()
+    listed = kept.limit(MOST_LISTED + 1).collect()
+    if len(listed) <= MOST_LISTED:
+        return rows.where(_like_any(F.col(value), [r[0] for r in listed]))
+    from skeinflow.session import written
+
+    # of the runs of a pattern the one that the fewest patterns have, so that what all hold (a protocol, a domain) meets none
+    runs_of = kept.select("_p", F.explode_outer(F.array_distinct(F.regexp_extract_all("_p", F.lit(r"(?=([^%_\\]{4}))"), F.lit(1)))).alias("_r"))
+    least = runs_of.join(runs_of.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")), "_r", "left")
+    known = written(least.groupBy("_p").agg(F.min(F.struct(F.col("_n"), F.col("_r"))).alias("_l")).select("_p", F.coalesce("_l._r", F.lit("")).alias("_r")), "patterns")
+    bare = [r[0] for r in known.where("_r = ''").select("_p").toLocalIterator()]
+    marked = rows.withColumn("_id", F.monotonically_increasing_id()).where(F.col(value).isNotNull())
+    marked = written(marked, "valued")  # the numbers of the rows must not change
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 3, F.lit(1))), lambda i: F.substring(F.col(value), i, F.lit(4))))
+    near = marked.select("_id", F.col(value).alias("_v"), F.explode(runs).alias("_r")).join(known.where("_r <> ''"), "_r")
+    hit = near.where(F.expr("_v like _p")).select("_id").distinct()
+    both = hit.unionByName(marked.where(_like_any(F.col(value), bare)).select("_id")).distinct()
+    return marked.join(both, "_id", "left_semi").drop("_id")
+
+
+def _like_any(value: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
-    for text in sorted(r[0] for r in rows):
+    for text in sorted(patterns):
         out = out | value.like(text)
     return F.coalesce(out, F.lit(False))

@@ -6,6 +6,7 @@ stemmer; tests check those against brute force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,14 @@ from skeinflow.functions import urls as U
 from skeinflow.functions import words as W
 from skeinflow.operators import keyed as K
 from skeinflow.operators import ranking as R
+from skeinflow.operators import crawling as C
 from skeinflow.operators.collections import Bag, Context, Pairs
+from skeinflow.operators.packed import unpack_links
 from skeinflow.plans import graph as G
 from skeinflow.plans import search as S
 from skeinflow.plans.problems import LINKS_SQL
-from skeinflow.session import written
+from skeinflow.plans.stem_sql import stem_ctes
+from skeinflow.session import shared_folder
 from skeinflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +106,10 @@ def k8_count(s, d):
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def k9_persist(s, d):
-    return written(table(s, d, "supplier"), "supplier")
+    store = K.Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}", prefix="k9_")
+    store.put_table("supplier", table(s, d, "supplier"))
+    store.persist("supplier")
+    return store.scan("supplier")
 
 
 @query("""SELECT src AS key, rank1, n FROM pageranks_temp WHERE src IS NOT NULL
@@ -112,7 +119,7 @@ def k10_recovery(s, d):
     return K.recovered(log)
 
 
-@query("SELECT 'renamed' AS name, count(DISTINCT r_regionkey) AS n_keys FROM region")
+@query("SELECT 'renamed' AS name, count(DISTINCT r_regionkey) AS n_keys, false AS persistent FROM region")
 def k11_rename(s, d):
     store = K.Store(s, prefix="k11_")
     store.put_table("first", table(s, d, "region").withColumnRenamed("r_regionkey", "key"))
@@ -121,7 +128,7 @@ def k11_rename(s, d):
     return store.described()
 
 
-@query("SELECT 'kept' AS name, count(DISTINCT r_regionkey) AS n_keys FROM region")
+@query("SELECT 'kept' AS name, count(DISTINCT r_regionkey) AS n_keys, false AS persistent FROM region")
 def k12_delete(s, d):
     store = K.Store(s, prefix="k12_")
     for name in ("gone", "kept"):
@@ -130,12 +137,13 @@ def k12_delete(s, d):
     return store.described()
 
 
-@query("""SELECT 'nations' AS name, count(DISTINCT n_nationkey) AS n_keys FROM nation UNION ALL
-    SELECT 'regions', count(DISTINCT r_regionkey) FROM region""")
+@query("""SELECT 'nations' AS name, count(DISTINCT n_nationkey) AS n_keys, false AS persistent FROM nation UNION ALL
+    SELECT 'regions', count(DISTINCT r_regionkey), true FROM region""")
 def k13_list_tables(s, d):
-    store = K.Store(s, prefix="k13_")
+    store = K.Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}", prefix="k13_")
     store.put_table("nations", table(s, d, "nation").withColumnRenamed("n_nationkey", "key"))
     store.put_table("regions", table(s, d, "region").withColumnRenamed("r_regionkey", "key"))
+    store.persist("regions")
     return store.described()
 
 
@@ -144,6 +152,17 @@ def k14_view_page(s, d):
     return K.viewed_page(table(s, d, "customer").select(F.col("c_custkey").alias("key"), "c_name", "c_mktsegment"), 2)
 
 
+@query("""WITH last AS (SELECT user_id AS key, event_type AS col, max_by(value, event_id) AS value FROM events GROUP BY ALL),
+    p AS (SELECT DISTINCT key FROM last ORDER BY key LIMIT 10 OFFSET 10)
+    SELECT CAST(key AS VARCHAR) AS key, coalesce(round(max(value) FILTER (col = 'click'), 6), -1) AS click, coalesce(round(max(value) FILTER (col = 'purchase'), 6), -1) AS purchase,
+        coalesce(round(max(value) FILTER (col = 'view'), 6), -1) AS view FROM last WHERE key IN (SELECT key FROM p) GROUP BY key""")
+def k14_view_cells(s, d):
+    """A page of rows that have different columns."""
+    shown = K.viewed_cells(_writes(s, d), 1)
+    cell = lambda c: F.coalesce(F.round(F.expr(f"try_cast({c} as double)"), 6), F.lit(-1.0)).alias(c)
+    return shown.select("key", cell("click"), cell("purchase"), cell("view"))
+
+
 @query("SELECT n_nationkey AS key, n_name FROM nation UNION SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
 def k16_copy(s, d):
     store = K.Store(s, prefix="k16_")
@@ -173,6 +192,12 @@ def d2_from_table(s, d):
     return Context(s).from_table(table(s, d, "crawl"), F.col("canonical_url")).df
 
 
+@query("SELECT response_code || ' ' || canonical_url AS value FROM crawl WHERE canonical_url IS NOT NULL")
+def d2_from_table_python(s, d):
+    rows = table(s, d, "crawl").select("response_code", "canonical_url")
+    return Context(s).from_table(rows, lambda r: None if r["canonical_url"] is None else f"{r['response_code']} {r['canonical_url']}", python=True).df
+
+
 @query("SELECT count(*) AS n FROM events")
 def d3_count(s, d):
     return _types(s, d).count()
@@ -188,13 +213,23 @@ def d4_count_pairs(s, d):
     return _orders(s, d).count_pairs()
 
 
-@query("SELECT event_type AS value FROM events")
+@query("SELECT DISTINCT event_type AS value FROM events")
 def d5_collect(s, d):
-    return _types(s, d).df
+    """The few distinct texts at the driver, and back."""
+    return s.createDataFrame([(v,) for v in _types(s, d).distinct().collect()], "value string")
 
 
-@query("SELECT p_name AS value FROM part ORDER BY p_name LIMIT 25")
+@query("SELECT 25 AS n, true AS known")
 def d6_take(s, d):
+    """Any 25 texts: how many they are, and whether all are in the bag."""
+    bag = Bag(table(s, d, "part").select("p_name"))
+    taken = bag.take(25)
+    rest = Bag(taken).difference(bag).df
+    return taken.agg(F.count(F.lit(1)).cast("int").alias("n")).select("n", (F.lit(0) == rest.agg(F.count(F.lit(1))).scalar()).alias("known"))
+
+
+@query("SELECT p_name AS value FROM part ORDER BY p_name LIMIT 25")
+def d6_top(s, d):
     return Bag(table(s, d, "part").select("p_name")).top(25)
 
 
@@ -225,7 +260,21 @@ def d9_output(s, d):
 
 @query("SELECT l_returnflag AS key, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def d11_concurrency(s, d):
-    return table(s, d, "lineitem").repartition(12, "l_returnflag").groupBy(F.col("l_returnflag").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    """Spread over as many partitions as the level says, three texts or not; counted where they are, then by text."""
+    before = s.conf.get("spark.sql.shuffle.partitions")
+    job = Context(s)
+    job.set_concurrency_level(12)
+    spread = job.with_concurrency(Bag(table(s, d, "lineitem").select("l_returnflag")))
+    s.conf.set("spark.sql.shuffle.partitions", before)
+    return spread.df.groupBy(F.col("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_suppkey AS key, upper(s_name) AS name FROM supplier")
+def d10_job_store(s, d):
+    """A job puts a table into its store and reads it there."""
+    job = Context(s, K.Store(s, prefix="d10_"))
+    job.store.put_table("names", table(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.upper("s_name").alias("name")))
+    return job.store.scan("names")
 
 
 # ---------------------------------------------------------------- maps and filters
@@ -282,9 +331,9 @@ def t8_sample(s, d):
     return _types(s, d).sample(0.1, seed=3).df
 
 
-@query("SELECT event_id FROM events WHERE (event_id * 7919) % 1000 < 100")
+@query()
 def t8_hash_sample(s, d):
-    return table(s, d, "events").where(F.pmod(F.col("event_id") * 7919, F.lit(1000)) < 100).select("event_id")
+    return Bag(table(s, d, "part").select("p_name")).hash_sample(0.1, seed=3).df
 
 
 # ---------------------------------------------------------------- joins
@@ -300,7 +349,9 @@ def j1_join(s, d):
     b AS (SELECT src AS k, string_agg(n, ',' ORDER BY n) AS r FROM pageranks_temp WHERE src IS NOT NULL GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS key, '[' || coalesce(l, '') || '],[' || coalesce(r, '') || ']' AS value FROM a FULL JOIN b ON a.k = b.k""")
 def j2_cogroup(s, d):
-    return Pairs(table(s, d, "orders").where("o_custkey % 3 > 0").select("o_custkey", "o_orderpriority")).cogroup(_segments(s, d)).df
+    """Fetches and rank states of the addresses; some have only one of them."""
+    fetched = table(s, d, "crawl").where("url is not null").select("url", "response_code")
+    return Pairs(fetched).cogroup(Pairs(table(s, d, "pageranks_temp").where("src is not null").select("src", "n"))).df
 
 
 @query("SELECT url, pr FROM pageranks WHERE url IN (SELECT src FROM pageranks_temp)")
@@ -333,11 +384,22 @@ def a1_fold_by_key(s, d):
     return _orders(s, d).fold_by_key(F.max("value")).df
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value FROM orders GROUP BY o_custkey")
+def a1_fold_by_key_python(s, d):
+    """Counted by a function: accumulators start from zero, and those of the tasks are added."""
+    return _orders(s, d).fold_by_key("0", lambda n, _: str(int(n) + 1), combine=lambda a, b: str(int(a) + int(b)), python=True).df
+
+
 @query("SELECT upper(left(n_name, 1)) AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1")
 def a2_group_by(s, d):
     return Bag(table(s, d, "nation").select("n_name")).group_by(lambda v: F.upper(F.substring(v, 1, 1))).df
 
 
+@query("SELECT upper(left(n_name, 1)) AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1")
+def a2_group_by_python(s, d):
+    return Bag(table(s, d, "nation").select("n_name")).group_by(lambda v: v[:1].upper(), python=True).df
+
+
 @query("SELECT DISTINCT event_type AS value FROM events")
 def a3_distinct(s, d):
     return _types(s, d).distinct().df
@@ -370,9 +432,10 @@ _STATE = """SELECT * FROM (SELECT DISTINCT seq, src, TRY_CAST(trim(rank0) AS DOU
 
 @query(f"SELECT count(*) FILTER (abs(r1 - r0) < 0.01) AS done, count(*) AS n FROM ({_STATE})")
 def a8_converged(s, d):
-    plain = lambda c: F.when(F.trim(c).rlike(r"^[0-9]+\.[0-9]+$"), F.trim(c)).cast("double")
-    state = table(s, d, "pageranks_temp").select("seq", "src", plain("rank0").alias("r0"), plain("rank1").alias("r1")).where("r0 is not null and r1 is not null").distinct()
-    return state.agg(F.count_if(F.abs(F.col("r1") - F.col("r0")) < 0.01).alias("done"), F.count(F.lit(1)).alias("n"))
+    number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
+    state = table(s, d, "pageranks_temp").select("seq", "src", number("rank0").alias("rank0"), number("rank1").alias("rank1")).distinct()
+    finite = F.abs(F.col("rank0") + F.col("rank1")) < float("inf")  # neither null, NaN nor infinite
+    return G.settled(state.where(finite), 0.01)
 
 
 # ---------------------------------------------------------------- words and addresses in SQL
@@ -397,14 +460,10 @@ _LIMITED = (
 )
 
 
-def _limited_pages(s: SparkSession, d: str, done: DataFrame | None = None) -> DataFrame:
-    """The pages of ``_PAGES``, with its limits; queries without that SQL index whole pages."""
-    return S.indexed_pages(s, d, done, max_page=W.MAX_PAGE, max_url=W.MAX_URL)
-
-
 @query(f"WITH {_PAGES} SELECT term, count(DISTINCT url) AS df FROM idx GROUP BY term")
 def a9_document_frequency(s, d):
-    return S.word_postings(_limited_pages(s, d)).groupBy("term").agg(F.count_distinct("url").alias("df"))
+    # one posting for each page of a term
+    return S.word_postings(S.indexed_pages(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 QUERY = "the harbour market and the river were counted"
@@ -414,7 +473,7 @@ _ASKED = "term IN ('harbour', 'market', 'river', 'counted')"
 @query(f"WITH {_PAGES} SELECT count(DISTINCT url) AS n FROM idx WHERE {_ASKED}")
 def a10_union_size(s, d):
     words = S.query_words(QUERY, stemmed=False)
-    return S.word_postings(_limited_pages(s, d)).where(F.col("term").isin(*words)).agg(F.count_distinct("url").alias("n"))
+    return S.word_postings(S.indexed_pages(s, d)).where(F.col("term").isin(*words)).agg(F.count_distinct("url").alias("n"))
 
 
 @query(f"""WITH {_PAGES}, freq AS (SELECT url, sum(n) AS n FROM idx WHERE {_ASKED} GROUP BY url),
@@ -422,7 +481,7 @@ def a10_union_size(s, d):
     SELECT url, CAST(n AS BIGINT) AS n FROM freq WHERE n >= coalesce((SELECT max(n) FROM c WHERE kept >= 200), 0)""")
 def a11_threshold_set(s, d):
     words = S.query_words(QUERY, stemmed=False)
-    freq = S.word_postings(_limited_pages(s, d)).where(F.col("term").isin(*words)).groupBy("url").agg(F.sum("n").alias("n"))
+    freq = S.word_postings(S.indexed_pages(s, d)).where(F.col("term").isin(*words)).groupBy("url").agg(F.sum("n").alias("n"))
     return R.threshold_set(freq, 200)
 
 
@@ -549,6 +608,21 @@ def f5_normalize_links(s, d):
     return each.select("page_id", U.normalized(F.col("url"), F.col("link")).alias("n")).where("n is not null").select("page_id", F.col("n").alias("url"))
 
 
+@query(f"""WITH l AS (SELECT page_id, split_part(link, '#', 1) AS t, url AS b FROM ({_LINKS}) WHERE NOT starts_with(link, '#')),
+    q AS (SELECT page_id, t, b, regexp_matches(t, {_URL}) AS abs FROM l),
+    r AS (SELECT page_id, abs, lower(CASE WHEN abs THEN regexp_extract(t, {_URL}, 1) ELSE regexp_extract(b, {_URL}, 1) END) AS proto,
+        CASE WHEN abs THEN regexp_extract(t, {_URL}, 2) ELSE regexp_extract(b, {_URL}, 2) END AS host,
+        CASE WHEN abs THEN coalesce(nullif(regexp_extract(t, {_URL}, 4), ''), '/') WHEN starts_with(t, '/') THEN t WHEN t = '' THEN coalesce(nullif(regexp_extract(b, {_URL}, 4), ''), '/')
+            ELSE regexp_replace(split_part(coalesce(nullif(regexp_extract(b, {_URL}, 4), ''), '/'), '?', 1), '[^/]*$', '') || regexp_replace(t, '^[.][.]/?', '') END AS path
+        FROM q WHERE abs OR NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:'))
+    SELECT page_id, proto || '://' || host || ':' || CASE WHEN proto = 'https' THEN '443' ELSE '80' END || path AS url FROM r WHERE proto IN ('http', 'https')""")
+def f6_normalize_as_described(s, d):
+    """The rank job's own way: ports are overwritten, and a leading .. is cut."""
+    pages = table(s, d, "crawl").where("page is not null").select("page_id", "url", "page").distinct()
+    each = pages.select("page_id", "url", F.explode(U.page_links(F.col("page"))).alias("link"))
+    return each.select("page_id", U.normalized(F.col("url"), F.col("link"), as_described=True).alias("url")).where("url is not null")
+
+
 def _quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -558,14 +632,15 @@ _CODED = f"list_has_any(regexp_extract_all(link, '[A-Za-z0-9]+'), [{_quoted(sort
 
 @query(f"WITH {LINKS_SQL} SELECT seq, pos, link FROM links WHERE NOT {_CODED}")
 def f8_language_filter(s, d):
-    return table(s, d, "crawl").where(U.passes_language(F.col("url"))).select("page_id")
+    """Of the links of the rank states."""
+    return unpack_links(table(s, d, "pageranks_temp")).where(U.passes_language(F.col("link")))
 
 
 @query(f"WITH {LINKS_SQL} SELECT seq, coalesce(list(link ORDER BY pos) FILTER (NOT {_CODED}), []) AS urls FROM links GROUP BY seq")
 def f9_language_filter_list(s, d):
-    """The filter over a list of addresses."""
-    rows = table(s, d, "crawl").where("url is not null and url = lower(url)").select("page_id", F.array_distinct(F.array("url", F.lower("url"))).alias("u"))
-    return rows.select("page_id", F.filter("u", lambda x: U.passes_language(x)).alias("urls"))
+    """The filter over the list of links of each state."""
+    lists = unpack_links(table(s, d, "pageranks_temp")).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "link"))).alias("l"))
+    return lists.select("seq", F.filter(F.transform("l", lambda x: x["link"]), lambda x: U.passes_language(x)).alias("urls"))
 
 
 @query("SELECT page_id, regexp_replace(page, '<[^<>]*(>|\\z)', ' ', 'g') AS text FROM crawl WHERE page IS NOT NULL")
@@ -588,7 +663,7 @@ def f12_word_set(s, d):
 
 @query(f"WITH {_PAGES} SELECT url, term, count(*) AS n, list(CAST(p AS INTEGER) ORDER BY p) AS positions FROM words GROUP BY url, term")
 def f13_positions(s, d):
-    return W.word_positions(_limited_pages(s, d), "url", F.col("text"))
+    return W.word_positions(S.indexed_pages(s, d), "url", F.col("text"))
 
 
 @query("""SELECT doc_id, w AS term, count(*) AS n, list(CAST(p AS INTEGER) ORDER BY p) AS positions FROM
@@ -601,12 +676,20 @@ def f13_positions_by_space(s, d):
     return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list((F.col("p") + 1).cast("int"))).alias("positions"))
 
 
-@query()
+_STEMS = f"{_PAGES},\n{stem_ctes('(SELECT DISTINCT term AS word FROM idx)')}"
+#: The index under words and stems.
+_STEMMED = f"""{_STEMS},
+    stemmed AS (SELECT term, url, n, positions FROM idx UNION ALL SELECT stem, url, n, positions FROM idx JOIN stems ON word = term WHERE stem <> term)"""
+
+
+@query(f"WITH {_STEMS} SELECT word AS term, stem FROM stems")
 def f14_stems(s, d):
     return W.with_stems(S.word_postings(S.indexed_pages(s, d)).select("term").distinct())
 
 
-@query()
+@query(f"""WITH q AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND lower(trim(source)) = 'queries'),
+    each AS (SELECT doc_id, unnest(w) AS word, CAST(unnest(range(0, len(w))) AS INTEGER) AS place FROM q),
+    {stem_ctes("each")} SELECT doc_id, place, word, stem FROM each JOIN stems USING (word)""")
 def f15_query_words(s, d):
     queries = table(s, d, "documents").where("text is not null and lower(trim(source)) = 'queries'")
     words = queries.select("doc_id", F.posexplode(W.tokens(F.col("text"))).alias("place", "word"))
@@ -631,37 +714,58 @@ def f17_query_weight(s, d):
 
 @query("SELECT page_id, list_contains(regexp_extract_all(lower(url), '[a-z0-9]+'), 'harbour') AS has FROM crawl WHERE url IS NOT NULL")
 def f18_url_contains(s, d):
-    return table(s, d, "crawl").where("url is not null").select("page_id", F.array_contains(W.tokens(F.col("url")), "harbour").alias("has"))
+    return table(s, d, "crawl").where("url is not null").select("page_id", S.url_contains(F.col("url"), "harbour").alias("has"))
+
+
+@query(f"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(lower(url), '[a-z0-9]+')) AS word FROM crawl WHERE url IS NOT NULL), {stem_ctes("u")},
+    hit AS (SELECT DISTINCT page_id FROM u JOIN stems USING (word) WHERE stem = 'describ')
+    SELECT page_id, page_id IN (SELECT page_id FROM hit) AS has FROM crawl WHERE url IS NOT NULL""")
+def f18_url_contains_stem(s, d):
+    return table(s, d, "crawl").where("url is not null").select("page_id", S.url_contains(F.col("url"), F.lit("describ"), stemmed=True).alias("has"))
 
 
 @query(f"WITH {_LIMITED} SELECT term, url, n FROM idx")
 def f19_limits(s, d):
-    return S.word_postings(_limited_pages(s, d)).select("term", "url", "n")
+    return S.word_postings(S.indexed_pages(s, d, limits=W.LIMITS), W.LIMITS).select("term", "url", "n")
 
 
 @query("""SELECT page_id FROM crawl WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT trim(pattern) AS p FROM blacklist WHERE pattern IS NOT NULL)
     WHERE crawl.url LIKE replace(replace(replace(p, '%', '\\%'), '_', '\\_'), '*', '%') ESCAPE '\\')""")
 def f20_blacklist(s, d):
     patterns = table(s, d, "blacklist").select(U.like_pattern(F.trim("pattern")).alias("pattern"))
-    return table(s, d, "crawl").where(K.matches_any(F.col("url"), patterns, "pattern")).select("page_id")
+    return K.matching(table(s, d, "crawl").select("page_id", "url"), "url", patterns, "pattern").select("page_id")
 
 
 _ROBOT_LINES = """SELECT doc_id, i, lower(trim(split_part(line, ':', 1))) AS header, trim(substr(line, strpos(line, ':') + 1)) AS body
-    FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
+    FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents
         WHERE text IS NOT NULL AND replace(lower(trim(source)), '-', '_') = 'robots')) WHERE contains(line, ':')"""
 
 
-@query(f"""SELECT doc_id, header AS rule, body AS route FROM (SELECT *, last_value(CASE WHEN header = 'user-agent' THEN body END IGNORE NULLS)
-        OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS agent FROM ({_ROBOT_LINES}))
-    WHERE agent = '*' AND header IN ('allow', 'disallow')""")
+_RULES = f"""g AS (SELECT *, CASE WHEN header = 'user-agent' AND coalesce(lag(header) OVER w, '') <> 'user-agent' THEN 1 ELSE 0 END AS b
+        FROM ({_ROBOT_LINES}) WHERE header IN ('user-agent', 'allow', 'disallow', 'crawl-delay') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    n AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM g),
+    a AS (SELECT DISTINCT doc_id, g, lower(body) AS agent FROM n WHERE header = 'user-agent')
+    SELECT doc_id, agent, header AS rule, CASE WHEN header <> 'crawl-delay' THEN body END AS route, CASE WHEN header = 'crawl-delay' THEN TRY_CAST(body AS DOUBLE) END AS delay
+    FROM n JOIN a USING (doc_id, g) WHERE header <> 'user-agent'"""
+
+
+def _robots_files(s, d):
+    return table(s, d, "documents").where("text is not null and replace(lower(trim(source)), '-', '_') = 'robots'")
+
+
+@query(f"WITH {_RULES} AND agent = '*'")
 def f21_robots(s, d):
-    """Rules of each robots file that hold for every agent; a new agent line ends the rules of the last."""
-    files = table(s, d, "documents").where("text is not null and replace(lower(trim(source)), '-', '_') = 'robots'")
-    lines = files.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.col("line").contains(":"))
-    parts = lines.select("doc_id", "i", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("header"), F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("body"))
-    agent = F.last(F.when(F.col("header") == "user-agent", F.col("body")), True).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    rules = parts.withColumn("agent", agent).where("agent = '*' and header in ('allow', 'disallow')")
-    return rules.select("doc_id", F.col("header").alias("rule"), F.col("body").alias("route"))
+    """Rules that hold for every agent."""
+    return C.robots_rules(_robots_files(s, d), "doc_id", "text")
+
+
+_AGENT = "examplecrawler"
+
+
+@query(f"WITH {_RULES} AND agent IN ('*', '{_AGENT}')")
+def f21_robots_of_agent(s, d):
+    """Rules for every agent and for one of that name."""
+    return C.robots_rules(_robots_files(s, d), "doc_id", "text", ["*", _AGENT])
 
 
 _ROUTES = """rules AS (SELECT DISTINCT host, unnest(string_split(forbidden_routes, ' ')) AS r FROM hosts WHERE forbidden_routes IS NOT NULL),
@@ -672,21 +776,18 @@ _ROUTES = """rules AS (SELECT DISTINCT host, unnest(string_split(forbidden_route
     AND path LIKE replace(replace(replace(r, '%', '\\%'), '_', '\\_'), '*', '%') || '%' ESCAPE '\\'""")
 def f22_forbidden_routes(s, d):
     """Pages whose route a rule of their host forbids: a prefix, with * for any run of characters."""
-    rules = table(s, d, "hosts").where("forbidden_routes is not null").select("host", F.explode(F.split("forbidden_routes", " ")).alias("r")).where("r <> ''").distinct()
-    rules = rules.withColumn("p", F.concat(U.like_pattern(F.col("r")), F.lit("%")))
+    rules = table(s, d, "hosts").where("forbidden_routes is not null").select("host", F.explode(F.split("forbidden_routes", " ")).alias("route"))
     url = F.col("url")
     path = F.coalesce(F.nullif(F.regexp_extract(url, "^[a-z]+://[^/]*(/.*)$", 1), F.lit("")), F.lit("/"))
     pages = table(s, d, "crawl").where("url is not null").select("page_id", F.regexp_extract(url, "^[a-z]+://([^/]*)", 1).alias("host"), path.alias("path"))
-    return pages.join(rules, "host").where(F.expr("path like p")).select("page_id").distinct()
+    return C.forbidden(pages, rules).select("page_id").distinct()
 
 
 @query("""SELECT page_id, first_url AS canonical FROM (SELECT DISTINCT page_id, md5(page) AS h FROM crawl WHERE page IS NOT NULL)
     JOIN (SELECT md5(page) AS h, min_by(url, (fetched_at, page_id)) AS first_url, min((fetched_at, page_id)) AS f FROM crawl WHERE page IS NOT NULL GROUP BY 1) USING (h) WHERE page_id <> f[2]""")
 def f23_content_seen(s, d):
     """Pages with a body that was fetched before, and the address that it was fetched from first."""
-    pages = table(s, d, "crawl").where("page is not null").select("page_id", "url", "fetched_at", F.md5(F.col("page").cast("binary")).alias("h"))
-    first = pages.groupBy("h").agg(F.min(F.struct("fetched_at", "page_id", "url")).alias("f")).select("h", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("canonical"))
-    return pages.select("page_id", "h").distinct().join(first, "h").where("page_id <> first_id").select("page_id", "canonical")
+    return C.seen_before(table(s, d, "crawl").where("page is not null"), F.col("page"), ["fetched_at", "page_id"])
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(page, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title
@@ -701,7 +802,7 @@ def f24_titles(s, d):
     b AS (SELECT word, arg_min(term, (d, -n, term)) AS best FROM c WHERE d <= 2 GROUP BY word)
     SELECT word, CASE WHEN word IN (SELECT term FROM v) THEN word ELSE best END AS suggestion FROM w LEFT JOIN b USING (word)""")
 def f25_spelling(s, d):
-    vocabulary = S.word_postings(_limited_pages(s, d)).groupBy("term").agg(F.sum("n").alias("n"))
+    vocabulary = S.word_postings(S.indexed_pages(s, d)).groupBy("term").agg(F.sum("n").alias("n"))
     queries = table(s, d, "documents").where("text is not null and lower(trim(source)) = 'queries'")
     return S.spelling(queries.select(F.explode(W.tokens(F.col("text"))).alias("word")), vocabulary)
 
@@ -709,7 +810,7 @@ def f25_spelling(s, d):
 @query(f"""WITH {_PAGES} SELECT term AS key, string_agg(p, '~' ORDER BY p) AS url FROM
     (SELECT term, url || '^' || n || ' ' || array_to_string(positions, ' ') AS p FROM idx) GROUP BY term""")
 def f26_rendered_index(s, d):
-    return S.rendered(S.word_postings(_limited_pages(s, d)))
+    return S.rendered(S.word_postings(S.indexed_pages(s, d)))
 
 
 # ---------------------------------------------------------------- jobs
@@ -717,17 +818,28 @@ def f26_rendered_index(s, d):
 
 @query(f"WITH {_PAGES} SELECT term, url, n, positions FROM idx")
 def q1_word_index(s, d):
-    return S.word_postings(_limited_pages(s, d))
+    return S.word_postings(S.indexed_pages(s, d))
 
 
-@query()
+@query(f"WITH {_STEMMED} SELECT term, url, n, positions FROM stemmed")
 def q1_index(s, d):
     return S.postings(S.indexed_pages(s, d))
 
 
+@query(f"WITH {_PAGES} SELECT term, url, n, positions FROM idx")
+def q1_merged_index(s, d):
+    """An index of what was fetched early, with all that was fetched later merged into it: the index of all pages."""
+    crawl = table(s, d, "crawl").where("page is not null and url is not null")
+    at = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    middle = crawl.agg(F.avg(at)).scalar()
+    late = crawl.where(at > middle)
+    old = S.word_postings(S.pages_of(crawl.where(at <= middle)))
+    return S.merged_postings(old, S.word_postings(S.pages_of(late)), late)
+
+
 @query(f"WITH {_PAGES.replace('url IS NOT NULL GROUP BY', 'url IS NOT NULL AND url NOT IN (SELECT url FROM pageranks WHERE url IS NOT NULL) GROUP BY')} SELECT term, url, n, positions FROM idx")
 def q1_incremental_index(s, d):
-    return S.word_postings(_limited_pages(s, d, done=table(s, d, "pageranks").where("url is not null")))
+    return S.word_postings(S.indexed_pages(s, d, done=table(s, d, "pageranks").where("url is not null")))
 
 
 #: Ranks after few rounds are short decimals; what is added keeps them off the ties of rounding.
@@ -793,9 +905,9 @@ def q2_pagerank_linked(s, d):
     return ranks.select(F.col("id").alias("url"), F.round(F.col("rank1") + 3e-11, 9).alias("rank"))
 
 
-def _score_sql(score: str, weight: str = "tf * ln(np / df) / 4") -> str:
+def _score_sql(score: str, weight: str = "tf * ln(np / df) / 4", extra: str = "") -> str:
     return f"""WITH {_PAGES}, np AS (SELECT CAST(count(*) AS DOUBLE) AS np FROM pages),
-        hits AS (SELECT term, url, n AS tf FROM idx WHERE {_ASKED}), dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+        hits AS (SELECT term, url, n AS tf FROM idx WHERE {_ASKED}), {extra} dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
         t AS (SELECT url, sum({weight}) AS t FROM hits JOIN dfs USING (term), np GROUP BY url),
         r AS ({_RANKED}), b AS (SELECT url, t, pr FROM t LEFT JOIN r USING (url)),
         c AS (SELECT url, t, coalesce(pr, 0) AS pr, {score} AS score FROM b)
@@ -804,10 +916,12 @@ def _score_sql(score: str, weight: str = "tf * ln(np / df) / 4") -> str:
 
 
 def _ranking(s, d, way: str, floor: bool = False) -> DataFrame:
-    pages = _limited_pages(s, d)
     words = S.query_words(QUERY, stemmed=False)
-    n = pages.agg(F.count(F.lit(1)).cast("double")).scalar()
-    scores = S.scored(S.word_postings(pages), words, n, float(len(words)), floor)
+    scores = S.scored(S.word_postings(S.indexed_pages(s, d)), words, S.page_number(s, d), float(len(words)), floor)
+    return _ranked_scores(s, d, scores, way)
+
+
+def _ranked_scores(s, d, scores: DataFrame, way: str) -> DataFrame:
     both = S.combined(scores, S.final_ranks(table(s, d, "pageranks")), way).withColumn("order", F.round("score", 9))
     out = R.ranked(both, 200, "order")
     return out.select("rank", "url", F.round("tf_idf", 6).alias("tf_idf"), "pagerank", F.round("score", 6).alias("score"))
@@ -838,25 +952,66 @@ def q3_rank_search(s, d):
     return _ranking(s, d, "search", floor=True)
 
 
-@query()
+@query(
+    _score_sql(
+        "0.9 * coalesce(pr, 0) + 0.1 * t",
+        "tf * ln((SELECT count(*) FROM sub)::DOUBLE / df) / 4",
+        extra="""freq AS (SELECT url, sum(tf) AS n FROM hits GROUP BY url), h AS (SELECT n, count(*) AS k FROM freq GROUP BY n),
+            cum AS (SELECT n, sum(k) OVER (ORDER BY n DESC) AS kept FROM h),
+            sub AS (SELECT url FROM freq WHERE n >= coalesce((SELECT max(n) FROM cum WHERE kept >= 200), 0)),""",
+    ).replace("dfs AS (SELECT term, count(*) AS df FROM hits", "dfs AS (SELECT term, count(*) AS df FROM hits SEMI JOIN sub USING (url)").replace("FROM hits JOIN dfs", "FROM hits SEMI JOIN sub USING (url) JOIN dfs")
+)
+def q3_rank_subset(s, d):
+    """Over the pages of a threshold set only, which is also what counts as all pages."""
+    words = S.query_words(QUERY, stemmed=False)
+    hits, n = S.in_subset(S.word_postings(S.indexed_pages(s, d)), words)
+    return _ranked_scores(s, d, S.scored(hits, words, n, float(len(words))), "weighted")
+
+
+#: Stems of the query's words, asked of the index under words and stems.
+_SEARCH = (
+    _score_sql("0.95 * CASE WHEN t > 0 THEN ln(t) END + 0.05 * ln(greatest(coalesce(pr, 0.1), 1e-9))")
+    .replace(_PAGES, _STEMMED)
+    .replace(f"n AS tf FROM idx WHERE {_ASKED}", f"sum(n) AS tf FROM stemmed WHERE term IN ({_quoted(S.query_words(QUERY))}) GROUP BY term, url")
+)
+
+
+@query(_SEARCH)
 def q4_search(s, d):
-    return S.search(s, d, QUERY)
+    best = S.search(s, d, QUERY)
+    return best.select("rank", "url", F.round("tf_idf", 6).alias("tf_idf"), "pagerank", F.round("score", 6).alias("score"))
 
 
-@query()
+_TITLES = r"""titles AS (SELECT url, arg_max(trim(regexp_replace(regexp_extract(page, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), (fetched_at, page_id)) AS title
+    FROM crawl WHERE page IS NOT NULL AND url IS NOT NULL GROUP BY url)"""
+
+
+@query(f"""WITH best AS ({_SEARCH}), {_TITLES}
+    SELECT rank, regexp_extract(url, {_URL}, 2) AS domain, url, coalesce(title, '') AS title FROM best LEFT JOIN titles USING (url)""")
 def q4_response(s, d):
-    crawl = table(s, d, "crawl").where("page is not null")
-    titles = crawl.groupBy("url").agg(F.max(F.struct("fetched_at", "page_id", S.page_title(F.col("page")).alias("title"))).alias("f")).select("url", F.col("f.title").alias("title"))
-    return S.response(S.search(s, d, QUERY), titles)
+    """The results of a whole response, taken out of its JSON."""
+    found = F.from_json("json", "spellcheck array<string>, results array<struct<domain string, url string, title string>>")
+    one = S.answer(s, d, QUERY).select(found.alias("j")).where("j.spellcheck is null")
+    each = one.select(F.posexplode("j.results").alias("rank", "r"))
+    return each.select((F.col("rank") + 1).cast("int").alias("rank"), "r.domain", "r.url", "r.title")
+
+
+@query(f"SELECT ['{"', '".join(S.tokenised(QUERY))}'] AS spellcheck")
+def q4_spellcheck(s, d):
+    """What a response to misspelt words says: the query as it was meant."""
+    found = F.from_json("json", "spellcheck array<string>")
+    return S.answer(s, d, QUERY.replace("harbour", "harbuor").replace("counted", "countde")).select(found["spellcheck"].alias("spellcheck"))
 
 
 @query(r"""SELECT term, url FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_extract(url, '^[a-z]+://([^/:]*)', 1) || ' ' || regexp_replace(url, '^[a-z]+://[^/]*', '')), '[a-z0-9]+')) AS term, url
-    FROM crawl WHERE url LIKE 'http%') WHERE length(term) <= 20 AND term NOT IN ('http', 'https', 'com', 'net', 'edu', 'org', 'gov', 'www', 'xml', 'ttl', 'xmlj', 'rdf')""")
+    FROM crawl WHERE url LIKE 'http%') WHERE term NOT IN ('http', 'https', 'com', 'net', 'edu', 'org', 'gov', 'www', 'xml', 'ttl', 'xmlj', 'rdf')""")
 def q5_url_words(s, d):
     return S.url_index(s, d, stemmed=False)
 
 
-@query()
+@query(rf"""WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_extract(url, '^[a-z]+://([^/:]*)', 1) || ' ' || regexp_replace(url, '^[a-z]+://[^/]*', '')), '[a-z0-9]+')) AS word, url
+        FROM crawl WHERE url LIKE 'http%'), {stem_ctes("u")}
+    SELECT DISTINCT stem AS term, url FROM u JOIN stems USING (word) WHERE word NOT IN ({_quoted(W.SKIPPED)})""")
 def q5_url_index(s, d):
     return S.url_index(s, d)
 
@@ -870,17 +1025,17 @@ def q5_url_index(s, d):
     SELECT url, CAST(depth AS INTEGER) AS depth FROM reached""")
 def q6_crawl_replay(s, d):
     """Addresses and depths of a crawl over the stored link lists, from the most frequent source."""
-    from skeinflow.operators.packed import unpack_links
-
     state = table(s, d, "pageranks_temp")
     edges = unpack_links(state).join(state.select("seq", F.col("src")).distinct(), "seq").select("src", F.col("link").alias("dst")).where("src is not null")
     seeds = state.where("src is not null").groupBy("src").agg(F.count_distinct("seq").alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("url"))
     return G.crawl_order(edges, seeds)
 
 
-@query(_score_sql("0.9 * coalesce(pr, 0) + 0.1 * t").replace("round(t, 6) AS tf_idf, pr AS pagerank, round(score, 6) AS score", "format('{:.2f}', round(score, 6)) AS score"))
+@query(_score_sql("0.9 * coalesce(pr, 0) + 0.1 * t").replace("round(t, 6) AS tf_idf, pr AS pagerank, round(score, 6) AS score", "format('{:.2f}', round(pr, 6)) AS pagerank, format('{:.2f}', round(t, 6)) AS tf_idf, format('{:.2f}', round(score, 6)) AS score"))
 def q7_result_table(s, d):
-    return _ranking(s, d, "weighted").select("rank", "url", F.format_string("%.2f", "score").alias("score"))
+    """Ranks with all their figures as text."""
+    figures = [F.format_string("%.2f", F.round(c, 6)).alias(c) for c in ("pagerank", "tf_idf", "score")]
+    return _ranking(s, d, "weighted").select("rank", "url", *figures)
 
 
 # ---------------------------------------------------------------- streams
@@ -898,4 +1053,4 @@ def st_incremental_index(s, d):
     """The index built by a stream of the pages, one increment after the other."""
     from skeinflow.streaming.jobs import index_stream
 
-    return index_stream(s, f"{d}/crawl.parquet", max_page=W.MAX_PAGE, max_url=W.MAX_URL).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index_stream(s, f"{d}/crawl.parquet").groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -13,29 +13,30 @@ DAMPING, FLOOR = 0.85, 0.15
 
 
 def fetched_pages(spark: SparkSession, folder: str, english_only: bool = False) -> DataFrame:
-    """(url, page): normal form of the address and its body; of several fetches of a page the last.
+    """(url, links): normal form of the address and the links of its body; of several fetches of a page the last.
 
-    Both are lower-cased, as the rank job does.
+    Both are lower-cased, as the rank job does.  Links are taken out where pages are read, so no body moves.
     """
     crawl = table(spark, folder, "crawl").where("page is not null and url is not null")
     if english_only:
         crawl = crawl.where(passes_language(F.col("url")))
     low = F.lower(F.col("url"))
     address = normalized(low, without_fragment(low))
-    pages = crawl.select(address.alias("url"), F.struct("fetched_at", "page_id", F.lower(F.col("page")).alias("page")).alias("f")).where("url is not null")
-    return pages.groupBy("url").agg(F.max("f").alias("f")).select("url", F.col("f.page").alias("page"))
+    pages = crawl.select(address.alias("url"), F.struct("fetched_at", "page_id", page_links(F.lower(F.col("page"))).alias("links")).alias("f")).where("url is not null")
+    return pages.groupBy("url").agg(F.max("f").alias("f")).select("url", F.col("f.links").alias("links"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst) for each link of each page, with repeats."""
-    each = pages.select(F.col("url").alias("src"), F.explode(page_links(F.col("page"))).alias("link"))
+    each = pages.select(F.col("url").alias("src"), F.explode("links").alias("link"))
     return each.select("src", normalized(F.col("src"), F.col("link")).alias("dst")).where("dst is not null")
 
 
 def inner_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(src, dst, share): edges between vertices, parallel ones as one, with the share of the source's links they are."""
-    known = edges.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
-    counted = known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    # parallel edges are counted first, so a target that most links have moves once for each source
+    each = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
     out = counted.groupBy("src").agg(F.sum("n").alias("out"))
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
 
@@ -86,10 +87,15 @@ def start_ranks(vertices: DataFrame) -> DataFrame:
 
 def converged(ranks: DataFrame, eps: float) -> tuple[int, int]:
     """(vertices whose rank moved by less than eps, all vertices)."""
-    row = ranks.agg(F.count_if(F.abs(F.col("rank1") - F.col("rank0")) < eps).alias("done"), F.count(F.lit(1)).alias("n")).first()
+    row = settled(ranks, eps).first()
     return row["done"], row["n"]
 
 
+def settled(ranks: DataFrame, eps: float) -> DataFrame:
+    """(done, n), one row: the vertices whose rank moved by less than eps, and all."""
+    return ranks.agg(F.count_if(F.abs(F.col("rank1") - F.col("rank0")) < eps).alias("done"), F.count(F.lit(1)).alias("n"))
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, eps: float = 0.01, share: float = 0.8, most: int = 1000, hot_source: int = 10_000, settle: bool = False) -> DataFrame:
     """(id, rank0, rank1) after ``rounds`` rounds; without a number, when ``share`` of the vertices moved by less than
     eps in a round, or after ``most``; with ``settle``, reaching ``most`` before that is an error.
@@ -115,21 +121,40 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, e
     return ranks
 
 
-def crawl_order(edges: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+def crawl_order(edges: DataFrame, seeds: DataFrame, every: int = 20) -> DataFrame:
     """(url, depth) of a crawl's replay from the seeds over (src, dst): each address at its first depth.
 
-    The frontier of a step is what the last one links to, without what was visited before.  It ends when the frontier is
-    empty; if there is one after ``most`` steps, that is an error.
+    The frontier of a step is what the last one links to, without what was visited before; it ends when there is none, which
+    it does, as each step visits an address anew.  Edges are in buckets of their source, written once, so a step moves its
+    frontier and what it reaches only.  What was visited is one table for every ``every`` steps, besides the frontiers since.
     """
-    edges = written(edges.distinct(), "links")
-    visited = written(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "visited")
-    frontier = visited
-    for depth in range(1, most + 1):
-        reached = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+    spark = edges.sparkSession
+    links, name = bucketed(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "src", name="links")
+    frontier = written(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
+    parts, depth = [frontier], 0
+    while True:
+        depth += 1
+        visited = _union(parts)
+        reached = links.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         frontier = written(reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier)
-        if depth % 50 == 0:  # a long union is read anew by every step
-            visited = written(visited, "visited")
-    raise RuntimeError(f"the crawl hasn't ended after {most} steps")
+            discard(frontier)
+            break
+        parts.append(frontier)
+        if len(parts) > every:
+            whole = written(_union(parts), "visited")
+            for p in parts[:-1]:  # the last is the frontier of the next step
+                discard(p)
+            last, parts = frontier, [whole]
+            frontier = whole.where(F.col("depth") == depth)
+            discard(last)
+    discard(links)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

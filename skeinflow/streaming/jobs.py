@@ -29,25 +29,28 @@ def _finish(writer, every: str | None) -> None:
     writer.start().awaitTermination()
 
 
-def hourly_counts(spark: SparkSession, path: str, late: str = "30 days", into: str | None = None, every: str | None = None) -> DataFrame:
-    """(start, event_type, n, value) by hour and type of the events stream; events later than ``late`` are left out.
+def hourly_counts(spark: SparkSession, path: str, late: str = "30 days", into: str | None = None, every: str | None = None, files: int = 100) -> DataFrame:
+    """(start, event_type, n, value) by hour and type of the events stream.
 
-    Each increment overwrites the result with the counts so far.
+    Events that come when the stream's time is more than ``late`` past the end of their hour are left out, and hours that
+    are so old leave the state, which so holds the hours of that time only.  Each increment writes the hours that it changed
+    under its own number, so one that is run again writes the same, and readers see whole increments: of each hour the last.
     """
     into = into or _folder(spark, "hourly")
-    stream = _stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _stream(spark, path, files).withColumn("ts", F.col("ts").cast("timestamp"))
     hours = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
     counts = hours.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     flat = counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "value")
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(into)
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{into}/increment={number}")
 
-    _finish(flat.writeStream.outputMode("complete").option("checkpointLocation", _folder(spark, "state")).foreachBatch(save), every)
-    return spark.read.parquet(into)
+    _finish(flat.writeStream.outputMode("update").option("checkpointLocation", _folder(spark, "state")).foreachBatch(save), every)
+    last = spark.read.parquet(into).groupBy("start", "event_type").agg(F.max_by(F.struct("n", "value"), "increment").alias("l"))
+    return last.select("start", "event_type", "l.n", "l.value")
 
 
-def index_stream(spark: SparkSession, path: str, into: str | None = None, files: int = 4, every: str | None = None, max_page: int | None = None, max_url: int | None = None) -> DataFrame:
+def index_stream(spark: SparkSession, path: str, into: str | None = None, files: int = 4, every: str | None = None, limits: dict[str, int] | None = None) -> DataFrame:
     """(term, url, n, positions): postings of the pages of a crawl stream, ``files`` files an increment; the limits are
     those of ``pages_of``.
 
@@ -61,7 +64,7 @@ def index_stream(spark: SparkSession, path: str, into: str | None = None, files:
 
     def save(batch: DataFrame, number: int) -> None:
         seen = batch.where("page is not null and url is not null").groupBy("url").agg(F.max(F.struct("fetched_at", "page_id")).alias("at"))
-        postings = word_postings(pages_of(batch, max_page=max_page, max_url=max_url)).join(seen, "url")
+        postings = word_postings(pages_of(batch, limits=limits), limits).join(seen, "url")
         postings.write.mode("overwrite").parquet(f"{into}/increment={number}")
 
     _finish(stream.writeStream.option("checkpointLocation", _folder(spark, "progress")).foreachBatch(save), every)

@@ -73,9 +73,9 @@ def test_store(spark, tmp_path):
     store.put_table("one", df)
     assert store.has("one") and store.scan("two") is None
     assert rows(store.scan("one", 2, 3)) == [(2, "b"), (2, "b")]
-    assert rows(store.described()) == [("one", 2)]
+    assert rows(store.described()) == [("one", 2, False)]
     assert store.rename("one", "two") and not store.rename("one", "three") and store.tables() == ["two"]
-    assert store.persist("two") and not store.persist("two")
+    assert store.persist("two") and not store.persist("two") and rows(store.described()) == [("two", 2, True)]
     store.put_table("three", spark.createDataFrame([(2, "x"), (3, "y")], "key int, v string"))
     store.copy("two", "three")
     assert rows(store.scan("three")) == [(1, "a"), (2, "b"), (2, "b"), (3, "y")]
@@ -105,3 +105,77 @@ def test_ranking(spark):
     freq = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 3)], "url string, n long")
     assert sorted(r["url"] for r in R.threshold_set(freq, 2).collect()) == ["b", "c", "d"]
     assert R.threshold_set(freq, 9).count() == 4 and R.threshold_set(freq.limit(0), 2).count() == 0
+
+
+def test_python_folds_run_where_the_rows_are(spark):
+    """Partials are made in as many tasks as there are partitions, and zero is used once whatever their number."""
+    many = Bag(spark.range(0, 1000, 1, 8).select(F.format_string("%04d", "id")))
+    assert many.fold("0", lambda n, _: str(int(n) + 1), combine=lambda a, b: str(int(a) + int(b))).first()[0] == "1000"
+    for parts in (1, 3, 8):
+        assert many.__class__(many.df.repartition(parts)).fold("zz|", lambda a, b: max(a, b)).first()[0] == "zz|"
+        assert len(Bag(many.df.repartition(parts)).fold(">", lambda a, b: a + b).first()[0]) == 4001
+    from skeinflow.operators.collections import _folded
+
+    tasks = _folded(many.df.select(F.lit("").alias("key"), "value"), "", lambda a, b: max(a, b), None)
+    assert tasks.select(F.spark_partition_id()).distinct().count() == 8
+
+
+def test_fold_by_key_by_a_function(spark, monkeypatch):
+    from skeinflow.operators import collections as C
+
+    df = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"), F.col("id").cast("string").alias("value"))
+    want = {r["key"]: str(r["n"]) for r in df.groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("n")).collect()}
+    add = lambda a, b: str(int(a) + int(b))
+    assert dict(Pairs(df).fold_by_key("0", add, python=True).collect()) == want
+    monkeypatch.setattr(C, "KEYS_HELD", 5)
+    assert dict(Pairs(df).fold_by_key("0", add, combine=add, python=True).collect()) == want
+    odd = Pairs(spark.createDataFrame([(None, "1"), (None, None), ("a", None), ("", "2")], "key string, value string"))
+    assert rows(odd.fold_by_key("<", lambda a, v: a + str(v), python=True).df)[1:] == [("", "<2"), ("a", "<None")]
+    assert odd.fold_by_key("<", lambda a, v: a + str(v), python=True).count_pairs().first()[0] == 3
+    assert Pairs(df.limit(0)).fold_by_key("0", add, python=True).collect() == []
+
+
+def test_python_forms(spark, bag):
+    assert rows(bag.group_by(lambda v: "B" if v == "b" else "other", python=True).df) == [("B", "b,b"), ("other", "a,c")]
+    df = spark.createDataFrame([(1, "x"), (2, None)], "n int, s string")
+    assert Context(spark).from_table(df, lambda r: None if r["s"] is None else f"{r['n']}{r['s']}", python=True).collect() == ["1x"]
+    assert sorted(bag.hash_sample(1.0).collect()) == ["a", "b", "b", "c"] and bag.hash_sample(0.0).collect() == []
+    many = Bag(spark.range(10_000).select(F.col("id").cast("string")))
+    some = many.hash_sample(0.2, 5)
+    assert 1800 < some.count().first()[0] < 2200 and sorted(some.collect()) == sorted(Bag(many.df.repartition(7)).hash_sample(0.2, 5).collect())
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_patterns(spark, monkeypatch, most):
+    """Few patterns as conditions, many by their rarest run: the same rows, each once."""
+    monkeypatch.setattr(K, "MOST_LISTED", most)
+    urls = ["http://a.example/x", "http://b.example/private/1", "http://a.example/x", None, "ab", "http://c.example/a_b%c", "http://c.example/aXbYc", ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id int, url string")
+    p = spark.createDataFrame([("http://a.example/%",), ("%/private/%",), ("%.example/private/%",), ("a%b",), (None,), (r"%a\_b\%c",), ("%zzzz%",), ("%zzzz%",)], "p string")
+    assert rows(K.matching(df, "url", p, "p").select("id")) == [(0,), (1,), (2,), (4,), (5,)]
+    assert K.matching(df, "url", p.limit(0), "p").count() == 0 and K.matching(df.limit(0), "url", p, "p").count() == 0
+
+
+def test_page_of_cells(spark):
+    w = spark.createDataFrame([(f"k{i:02}", c, str(i), i) for i in range(25) for c in (["a", "b"] if i % 2 else ["a", f"c{i}"])], "key string, col string, value string, seq long")
+    page = K.viewed_cells(w, 2)
+    assert page.columns == ["key", "a", "b", "c20", "c22", "c24"] and page.count() == 5
+    assert [tuple(r) for r in page.orderBy("key").collect()][:2] == [("k20", "20", "", "20", "", ""), ("k21", "21", "21", "", "", "")]
+    assert K.viewed_cells(w, 3).count() == 0
+
+
+def test_crawl_operators(spark):
+    from skeinflow.operators import crawling as C
+
+    text = "User-agent: A\r\nUser-agent: *\nDisallow: /x\nCrawl-delay: 2\n\nUser-agent: Bot\nAllow: /y\nDisallow: \ncrawl-delay: soon\nUser-agent: c\nDisallow: /z"
+    files = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "Disallow: /lost")], "id int, text string")
+    assert rows(C.robots_rules(files, "id", "text")) == [(1, "*", "crawl-delay", None, 2.0), (1, "*", "disallow", "/x", None)]
+    assert rows(C.robots_rules(files, "id", "text", ["BOT"])) == [(1, "bot", "allow", "/y", None), (1, "bot", "crawl-delay", None, None), (1, "bot", "disallow", "", None)]
+    pages = spark.createDataFrame([(1, "h", "/x/1"), (2, "h", "/y"), (3, "g", "/x"), (4, "h", "/q/a.pdf"), (5, None, "/x")], "id int, host string, path string")
+    rules = spark.createDataFrame([("h", "/x"), ("h", "/x/"), ("h", "/*.pdf"), ("h", ""), ("z", "/"), ("h", None)], "host string, route string")
+    assert rows(C.forbidden(pages, rules).select("id")) == [(1,), (4,)]
+    seen = spark.createDataFrame([(1, "u", "same", 5), (2, "v", "same", 3), (3, "w", "other", 1), (2, "v", "same", 3), (4, "x", None, 1)], "page_id int, url string, page string, at int")
+    assert rows(C.seen_before(seen, F.col("page"), ["at", "page_id"])) == [(1, "v")]
+    for df in (files, pages, seen):
+        empty = df.limit(0)
+        assert (C.robots_rules(empty, "id", "text") if df is files else C.forbidden(empty, rules) if df is pages else C.seen_before(empty, F.col("page"), ["at", "page_id"])).count() == 0
