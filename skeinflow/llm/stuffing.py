@@ -48,6 +48,7 @@ BLOCK_CHARS, EDGE_CHARS, MOST, SENTENCE_BYTES, REPEATED, LONG_LINE = 500, 250, 0
 KEPT_CHARS = 16_000
 
 _WORD = re.compile(r"https?://\S+|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
+_LETTERS, _ADDRESS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*"), re.compile(r"https?://\S+")
 _ENDS = re.compile("[.!?…]+[\"'”’»)\\]]*(?=\\s|$)|[。！？।؟]+")
 _DIGITS = re.compile(r"\d+")
 #: An address in angle brackets is text, not a tag.
@@ -82,8 +83,8 @@ def script(text: str) -> str:
 
 
 def ratio(data: bytes) -> float:
-    """Compression ratio; the stream's own bytes don't count."""
-    return (len(zlib.compress(data, 6)) - 11) / len(data) if data else 1.0
+    """Compression ratio; the stream's own bytes don't count.  A window of 2 KB holds a block and is quick to set up."""
+    return (len(zlib.compress(data, 6, -11)) - 5) / len(data) if data else 1.0
 
 
 def fit_curve(sizes: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
@@ -100,48 +101,65 @@ def _relative(value: float, size: int, curve: tuple[float, float]) -> float:
     return value / max(0.12, curve[0] - curve[1] * log2(max(size, 100) / 400))
 
 
-Figures = tuple[int, float, float, float]
-
-
-def raw_figures(block: str) -> tuple[int, int, float, int, float, float]:
-    """(words, bytes and ratio of the words, bytes and ratio of the shape, share of the bytes in sentences) of a block."""
-    low = block.lower()
+def _sentences(low: str) -> tuple[str, float]:
+    """(what is measured of a lower-cased block, share of its bytes that stand in sentences): a paragraph given twice is no
+    keyword, so of one that is mostly sentences each counts once, unless there are very many of each."""
     ones: list[str] = []
     inside = last = 0
     for m in _ENDS.finditer(low):
         one = low[last : m.start()].rpartition("\n")[2].strip()  # a sentence is of one line
         last = m.end()
-        ones.append(_DIGITS.sub("0", one))
-        size = len(one.encode()) + 1
+        ones.append(one)
+        size = len(one) + 1 if one.isascii() else len(one.encode()) + 1
         inside += size if size >= SENTENCE_BYTES else 0
-    distinct = dict.fromkeys(ones)
     share = inside / max(1, len(low.encode()))
-    if len(distinct) < len(ones) < 3 * len(distinct) and share > 0.5:  # a paragraph given twice is no keyword
-        low = ". ".join(distinct)
-    tokens = _WORD.findall(low)
-    signs = list(map(_SIGN, tokens))
-    words = [t for t, s in zip(tokens, signs, strict=True) if s == "W" or s[0].isalpha() and s != "U"]
-    plain, shape = " ".join(words).encode(), " ".join(signs).encode()
-    return len(words) or len(tokens), len(plain), ratio(plain), len(shape), ratio(shape) if words or _links(signs) else 1.0, share
+    if share > 0.5 and len(ones) > 1:
+        distinct = dict.fromkeys(_DIGITS.sub("0", x) for x in ones)
+        if len(distinct) < len(ones) < 3 * len(distinct):
+            low = ". ".join(distinct)
+    return low, share
 
 
-def _links(signs: list[str]) -> bool:
-    """Whether a block without words is of addresses; figures and rules are no list of links."""
-    links = signs.count("U")
-    return links > 0 and links >= signs.count("0")
+def _words(low: str) -> list[str]:
+    return _LETTERS.findall(_ADDRESS.sub(" ", low) if "http" in low else low)
 
 
-def block_figures(block: str) -> Figures:
-    """(words, redundancy of words, redundancy of shape, share of the bytes in sentences) of a block; one without words
-    counts by its tokens.  Redundancies are relative to text of the length and script: 1 is plain, 0 all repetition."""
-    count, size, words, shape_size, shape, inside = raw_figures(block)
-    of_words, of_shape = CURVES[script(block)]
-    return count, _relative(words, size, of_words) if size else 1.0, _relative(shape, shape_size, of_shape), inside
+def _shape(low: str) -> bytes:
+    signs = list(map(_SIGN, _WORD.findall(low)))
+    return " ".join(signs).encode()
+
+
+def raw_figures(block: str) -> tuple[int, int, float, int, float, float]:
+    """(words, bytes and ratio of the words, bytes and ratio of the shape, share of the bytes in sentences) of a block."""
+    low, share = _sentences(block.lower())
+    words, shape = _words(low), _shape(low)
+    plain = " ".join(words).encode()
+    return len(words), len(plain), ratio(plain), len(shape), ratio(shape), share
 
 
-def is_stuffed(figures: Figures) -> bool:
-    _, words, shape, inside = figures
-    return words < WORDS or words < WORDS_CONFIRMED and inside < FEW or shape < SHAPE_CONFIRMED and inside < HARDLY
+def measured(block: str) -> tuple[int, bool]:
+    """(words, whether it is stuffed) of a block; one without words counts by its tokens.
+
+    Redundancies are relative to text of the length and script: 1 is plain, 0 all repetition.  The shape is looked at where
+    it can decide.
+    """
+    low, inside = _sentences(block.lower())
+    words = _words(low)
+    of_words, of_shape = CURVES[script(block)]
+    if words:
+        plain = " ".join(words).encode()
+        redundancy = _relative(ratio(plain), len(plain), of_words)
+        if redundancy < WORDS or redundancy < WORDS_CONFIRMED and inside < FEW:
+            return len(words), True
+        if inside >= HARDLY:
+            return len(words), False
+    shape = _shape(low)
+    if not words:
+        # bare addresses have their shape only; figures and rules are no list of links
+        links = shape.count(b"U")
+        if not links or links < shape.count(b"0"):
+            return shape.count(b" ") + 1 if shape else 0, False
+    return len(words) or shape.count(b" ") + 1, _relative(ratio(shape), len(shape), of_shape) < SHAPE_CONFIRMED
 
 
 def own_blocks(page: str, repeated: np.ndarray | None = None, size: int = BLOCK_CHARS) -> list[str]:
@@ -185,9 +203,9 @@ def stuffed_share(page: str | None, repeated: np.ndarray | None = None) -> float
     frame; null where there is no text."""
     if not page or page.isspace():
         return None
-    figures = [block_figures(b) for b in own_blocks(page, repeated)] or [block_figures(b) for b in own_blocks(page)]
-    words = sum(f[0] for f in figures)
-    return sum(f[0] for f in figures if is_stuffed(f)) / words if words else None
+    figures = [measured(b) for b in own_blocks(page, repeated)] or [measured(b) for b in own_blocks(page)]
+    words = sum(n for n, _ in figures)
+    return sum(n for n, stuffed in figures if stuffed) / words if words else None
 
 
 def stuffed_shares(pages: DataFrame, key: str = "page_id", text: str = "page", url: str = "url", most_sent: int = MOST_SENT) -> DataFrame:
