@@ -13,7 +13,7 @@ def pruned_semi(rows: DataFrame, keys: DataFrame, key: str, words: int = WORDS)
     """The rows whose ``key`` is among those of ``keys``; nulls match nothing.
 
     A bit for each hashed key, in at most ``words`` words, is broadcast and drops most other rows where they are read; the
-    exact semi-join follows.  With more keys than bits the filter lets more rows pass, and the result stays the same.
+    exact join follows.  With more keys than bits the filter lets more rows pass, and the result stays the same.
     """
     wanted = keys.select(key).where(F.col(key).isNotNull())
 
@@ -24,4 +24,5 @@ def pruned_semi(rows: DataFrame, keys: DataFrame, key: str, words: int = WORDS)
     bits = one.groupBy("_w").agg(F.bit_or("b").alias("_b"))
     near = rows.where(F.col(key).isNotNull()).withColumn("_p", place(key)).withColumn("_w", F.floor(F.col("_p") / 64))
     near = near.join(F.broadcast(bits), "_w").where(F.getbit("_b", (F.col("_p") % 64).cast("int")) == 1).drop("_w", "_p", "_b")
-    return near.join(wanted, key, "left_semi").select(*rows.columns)
+    # an inner join with distinct keys, as a semi-join would be moved below the filter
+    return near.join(wanted.distinct(), key).select(*rows.columns)

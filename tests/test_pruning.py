@@ -1,6 +1,7 @@
 """The filter before a semi-join changes no row."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinflow.operators.pruning import pruned_semi
 from tests.conftest import rows
@@ -16,7 +17,13 @@ def test_pruned_semi(spark, words):
 
 
 def test_most_rows_are_dropped_before_the_shuffle(spark):
-    df = spark.range(100_000).withColumnRenamed("id", "k")
-    plan = pruned_semi(df, spark.range(50).withColumnRenamed("id", "k"), "k")._jdf.queryExecution().executedPlan().toString()
-    assert "getbit" in plan or "bit_get" in plan
-    assert "BroadcastHashJoin" in plan
+    """The filter's join stands below the exchange of the rows."""
+    df = spark.range(100_000).select(F.col("id").alias("k"), F.concat(F.lit("text "), "id").alias("v"))
+    keys = spark.range(0, 100_000, 2000).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pruned_semi(df, keys, "k")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x.strip() for x in plan.split("\n") if "Join" in x]
+    assert "_w" in lines[-1] and "strategy=broadcast" in lines[-1] and len(lines) == 2
