@@ -176,6 +176,7 @@ def gram_counts(bodies: DataFrame, text: str = "page", max_n: int = 1, lengths:
     no rows.  Only ``text`` is read.
     """
     partial = bodies.select(F.col(text).cast("string")).mapInArrow(_count_blocks(max_n), "n int, term string, occurrences long, pages long")
+    partial = partial.where("term is not null")  # none is; joins by term would put this condition into their own plan only
     if lengths is not None:
         partial = partial.where(F.col("n").isin(0, *lengths))
     # an n-gram has one length; as an aggregate it keeps conditions on it behind the shuffle, which all readers share
