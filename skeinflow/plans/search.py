@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions.urls import passes_language, url_parts
-from skeinflow.functions.words import SKIPPED, STOP_WORDS, indexed_text, stem, stem_lists, stripped, tokens, with_stems, word_positions
+from skeinflow.functions.words import SKIPPED, STOP_WORDS, indexed_text, stem, stem_lists, stems_of, stripped, tokens, with_stems, word_positions
 from skeinflow.operators.ranking import ranked, threshold_set
 from skeinflow.sources.tables import table
 
@@ -78,10 +78,10 @@ def stem_postings(pages: DataFrame, stems: list[str]) -> DataFrame:
     numbered = F.transform(tokens(F.col("text")), lambda w, i: F.struct(w.alias("term"), (i + 1).cast("int").alias("p")))
     each = pages.select("url", F.inline(F.filter(numbered, lambda x: near(x["term"])))).where(~F.col("term").isin(*SKIPPED))
     words = each.groupBy("term", "url").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("p")).alias("positions"))
-    both = with_stems(words)
-    own = both.where(F.col("term").isin(*stems)).select("term", "url", "n", "positions")
-    of_stem = both.where(F.col("stem").isin(*stems) & (F.col("stem") != F.col("term"))).select(F.col("stem").alias("term"), "url", "n", "positions")
-    return own.unionByName(of_stem)
+    # few words are left, so each is stemmed in place: a join with the stems of the distinct ones would read the pages again
+    under = F.array(F.col("term"), stems_of(F.col("term")))
+    asked = F.filter(F.array_distinct(under), lambda t: t.isin(*stems))
+    return words.select(F.explode(asked).alias("term"), "url", "n", "positions")
 
 
 def merged_postings(old: DataFrame, new: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def scored(index: DataFrame, words: list[str], n_pages: Column, n_words: float,
     """
     asked = sorted(set(words))
     hits = index.where(F.col("term").isin(*asked)).groupBy("term", "url").agg(F.sum("n").alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # every tf is positive; that it is asked for lets both sides of the join share one exchange
+    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     both = hits.join(F.broadcast(df), "term")  # as many rows as the query has words
     if floor:
         in_url = url_contains(F.col("url"), F.col("term"), stemmed).cast("int")
