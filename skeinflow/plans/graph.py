@@ -32,15 +32,26 @@ def links(pages: DataFrame) -> DataFrame:
     return each.select("src", normalized(F.col("src"), F.col("link")).alias("dst")).where("dst is not null")
 
 
-def inner_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(src, dst, share): edges between vertices, parallel ones as one, with the share of the source's links they are."""
-    # parallel edges are counted first, so a target that most links have moves once for each source
+def known_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(src, dst, n): edges between vertices, parallel ones as one with their number.
+
+    Parallel edges are counted first, so a target that most links have moves once for each source.
+    """
     each = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    counted = each.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return each.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "n")
+
+
+def shared_out(counted: DataFrame) -> DataFrame:
+    """(src, dst, share): the share of the source's links that an edge is."""
     out = counted.groupBy("src").agg(F.sum("n").alias("out"))
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
 
 
+def inner_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(src, dst, share): edges between vertices, parallel ones as one, with the share of the source's links they are."""
+    return shared_out(known_edges(edges, vertices))
+
+
 class SpreadEdges:
     """(src, part, dst, share) in buckets of src and part: written once, and read by every round without a shuffle.
 
@@ -105,7 +116,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, e
     is written to the shared folder, so a lost executor costs one round and lineage stays short.
     """
     vertices = written(vertices.select("id").distinct(), "vertices")
-    spread = SpreadEdges(inner_edges(edges, vertices), hot_source)
+    counted = written(known_edges(edges, vertices), "counted")  # read twice: pages are parsed once
+    spread = SpreadEdges(shared_out(counted), hot_source)
+    discard(counted)
     ranks = written(start_ranks(vertices), "ranks")
     for k in range(rounds if rounds is not None else most):
         before, ranks = ranks, written(rank_round(ranks, spread), "ranks")
