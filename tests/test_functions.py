@@ -99,3 +99,39 @@ def test_like_pattern(spark):
     df = spark.createDataFrame([("*.zip", "a.zip", True), ("*.zip", "a.zip2", False), ("http*://x_y/*", "https://x_y/z", True), ("http*://x_y/*", "https://xay/z", False), ("a", "a", True)], "p string, u string, want boolean")
     checked = df.withColumn("p2", U.like_pattern(F.col("p"))).where(F.expr("(u like p2) <> want"))
     assert checked.count() == 0
+
+
+def test_stemmer_equals_its_sql():
+    """On words put together from endings, with y in all places, and on the samples of the tests above."""
+    import random
+
+    import duckdb
+
+    from skeinflow.functions.words import stem
+    from skeinflow.plans.stem_sql import stem_ctes
+
+    rnd = random.Random(7)
+    parts = "a e i o u y yy b l s t z x tr ed ing ational tional ness eed ies sses ss ion ement ment ent ful ize izer ll enci logi bli ical iviti ous 1 0x".split()
+    words = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6))) for _ in range(4000)} | {"harbours", "described", "cats", "skies", "dying", "of", "y"})
+    con = duckdb.connect()
+    con.execute("create table v as select unnest(?) as word", [words])
+    got = dict(con.sql(f"WITH {stem_ctes('v')} SELECT word, stem FROM stems").fetchall())
+    assert got == {w: stem(w) for w in words}
+
+
+def test_normal_form_as_described(spark):
+    """Ports are the protocol's, and of dots only a leading .. is dropped."""
+    from pyspark.sql import functions as F
+
+    from skeinflow.functions import urls as U
+
+    cases = [
+        ("http://a.example:8000/x/y.html", "../z?q=1", "http://a.example:80/x/z?q=1"),
+        ("https://a.example:8000/x/", "b/../c", "https://a.example:443/x/b/../c"),
+        ("http://a.example/x", "https://b.example:99/q#top", "https://b.example:443/q"),
+        ("http://a.example/x", "#top", None),
+        ("http://a.example/x", "mailto:me", None),
+        ("http://a.example/x", None, None),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases], "b string, l string")
+    assert [r[0] for r in df.select(U.normalized(F.col("b"), F.col("l"), as_described=True)).collect()] == [c[2] for c in cases]
