@@ -121,22 +121,22 @@ def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: i
         if overlap == 0:
             return places
         first = [max(0, a - overlap) for a in places]
-        sizes = np.diff(codec.encode_many([doc.part(x, a) if doc.char[x] >= 0 else None for x, a in zip(first, places, strict=True)])[1])
+        sizes = codec.count_many([doc.part(x, a) if doc.char[x] >= 0 else None for x, a in zip(first, places, strict=True)])
         out = list(first)
-        tries: list[tuple[int, int]] = []  # number of the place, another beginning
-        for i, (a, wanted, n) in enumerate(zip(places, first, sizes, strict=True)):
-            if n != overlap and a > 0:
-                out[i] = -1
-                near = (x for d in range(0, 9) for x in ((wanted - d, wanted + d) if d else (wanted,)))
-                tries += [(i, x) for x in near if 0 <= x < a and doc.char[x] >= 0]
-        if tries:
-            closest: dict[int, int] = {}
-            for (i, x), k in zip(tries, np.diff(codec.encode_many([doc.part(x, places[i]) for i, x in tries])[1]), strict=True):
-                closest.setdefault(i, x)  # the nearest comes first
-                if k == overlap and out[i] < 0:
+        open_ = {i for i, (a, n) in enumerate(zip(places, sizes, strict=True)) if n != overlap and a > 0}
+        closest = {i: first[i] for i in open_ if doc.char[first[i]] >= 0}
+        for d in range(1, 9):  # the nearest first, of all places at once
+            tries = [(i, x) for i in sorted(open_) for x in (first[i] - d, first[i] + d) if 0 <= x < places[i] and doc.char[x] >= 0]
+            if not tries:
+                continue
+            for (i, x), k in zip(tries, codec.count_many([doc.part(x, places[i]) for i, x in tries]), strict=True):
+                closest.setdefault(i, x)
+                if k == overlap and i in open_:
                     out[i] = x
-            out = [closest.get(i, places[i]) if x < 0 else x for i, x in enumerate(out)]
-        return [places[i] if x < 0 else x for i, x in enumerate(out)]
+                    open_.discard(i)
+        for i in open_:
+            out[i] = closest.get(i, places[i])
+        return out
 
     #: (beginning with the overlap, without it, end, tokens or None where it has to be encoded)
     spans: list[tuple[int, int, int, int | None]] = []
@@ -145,7 +145,7 @@ def split_spans(codec: Codec, text: str, ids: np.ndarray, limit: int, overlap: i
         spans.append((s, a, b, None))
     while True:
         new = [i for i, x in enumerate(spans) if x[3] is None]
-        for i, n in zip(new, np.diff(codec.encode_many([doc.part(spans[i][0], spans[i][2]) for i in new])[1]), strict=True):
+        for i, n in zip(new, codec.count_many([doc.part(spans[i][0], spans[i][2]) for i in new]), strict=True):
             spans[i] = (*spans[i][:3], int(n))
         if all(x[3] <= limit for x in spans):
             break

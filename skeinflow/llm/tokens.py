@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -95,6 +96,7 @@ class Codec:
         n = self.pieces.get_piece_size() - 1
         self.tokens = tokens or [bytes(back[c] for c in self.pieces.id_to_piece(i)) for i in range(n)]
         self.known: dict[str, list[int]] = {}
+        self.lengths: dict[str, int] = {}
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +123,21 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(counts)])
         return out, text_end[ends]
 
+    def count_many(self, texts: list[str | None]) -> np.ndarray:
+        """Number of ids of each text, without the ids."""
+        lists = [self.cut(t) if t else [] for t in texts]
+        of = self.lengths
+        new = list({w for words in lists for w in words if w not in of})
+        if new:
+            sizes = dict(zip(new, map(len, self._encode_words(new)), strict=True))
+            short = {w: n for w, n in sizes.items() if len(w) <= LONGEST_KEPT}
+            if len(of) + len(short) > MOST_KEPT:  # those of these texts stay
+                of = self.lengths = {w: of[w] for words in lists for w in words if w in of}
+            of.update(short)
+            if len(short) < len(sizes):
+                of = ChainMap(sizes, of)
+        return np.array([sum(map(of.__getitem__, words)) for words in lists], np.int64)
+
     def _encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct pre-tokens; those of short ones are kept for later blocks."""
         known = self.known
@@ -206,8 +223,8 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
         codec = worker_codec(model.value)
         for batch in batches:
             for block in text_blocks(batch, len(rest)):
-                _, offsets = codec.encode_many(block.column(len(rest)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*block.columns[: len(rest)], pa.array(np.diff(offsets))], names=[*rest, name])
+                counts = codec.count_many(block.column(len(rest)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*block.columns[: len(rest)], pa.array(counts)], names=[*rest, name])
 
     schema = T.StructType([*(src.schema[c] for c in rest), T.StructField(name, T.LongType())])
     return src.mapInArrow(run, schema)

@@ -223,3 +223,13 @@ def test_many_sources(spark):
     targets = spark.createDataFrame([(f"S_{i}", 1 / 3000, 2) for i in range(3000)], "source string, target_share double, max_repeats int")
     got, report = mix.mix(docs, targets)
     assert report.count() == 3000 and got.count() == report.agg({"documents": "sum"}).first()[0] > 6000
+
+
+def test_counts_equal_encodings(codec, monkeypatch):
+    """With words forgotten between, long ones, repeats, and empty texts."""
+    texts = ["a few words, a few more", None, "", "x" * 5000 + " end", "日本語 text 123 \n\n tail ", "a few words"] * 3
+    want = np.diff(codec.encode_many(texts)[1]).tolist()
+    assert codec.count_many(texts).tolist() == want
+    monkeypatch.setattr(tokens, "MOST_KEPT", 3)
+    assert codec.count_many(texts).tolist() == want and codec.count_many(["other words", *texts]).tolist()[1:] == want
+    assert codec.count_many([]).tolist() == []
