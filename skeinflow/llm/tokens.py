@@ -124,7 +124,7 @@ class Codec:
         return out, text_end[ends]
 
     def count_many(self, texts: list[str | None]) -> np.ndarray:
-        """Number of ids of each text, without the ids."""
+        """Number of ids of each text, without the ids: quicker for few texts; for many, ``encode_many`` is."""
         lists = [self.cut(t) if t else [] for t in texts]
         of = self.lengths
         new = list({w for words in lists for w in words if w not in of})
@@ -223,8 +223,8 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
         codec = worker_codec(model.value)
         for batch in batches:
             for block in text_blocks(batch, len(rest)):
-                counts = codec.count_many(block.column(len(rest)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*block.columns[: len(rest)], pa.array(counts)], names=[*rest, name])
+                _, offsets = codec.encode_many(block.column(len(rest)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*block.columns[: len(rest)], pa.array(np.diff(offsets))], names=[*rest, name])
 
     schema = T.StructType([*(src.schema[c] for c in rest), T.StructField(name, T.LongType())])
     return src.mapInArrow(run, schema)
