@@ -5,6 +5,10 @@ lower-cased, its digits are one sign and its punctuation is dropped.  Menus, not
 in any language, and text hardly does, so no word lists are needed.  Copies of a body count once: bodies are shuffled by
 their digest behind a map-side combine, cut and hashed by Arrow kernels, and what moves then is (hash of a piece, count),
 added up by batch before the shuffle.
+
+The workers get the counts as one table.  Pieces that a few bodies share grow with the collection, those that a good share
+of it or of a host has only with the number of hosts, so a reader that only asks whether a line is repeated enough gets the
+latter (``deciding``).
 """
 
 from __future__ import annotations
@@ -85,6 +89,10 @@ class Pieces:
 
     def keys(self) -> np.ndarray:
         """Hashes of the distinct pieces of each page, in the collection and in its host, and of the page itself in both."""
+        return self.placed_keys()[0]
+
+    def placed_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``keys``, and of each the page and its host, 0 in the collection.  A host's own key is its hash."""
         pages = np.arange(len(self.host))
         page = np.concatenate([self.page, pages])
         h = np.concatenate([self.hash, np.zeros(len(pages), np.int64)])
@@ -93,7 +101,8 @@ class Pieces:
         page, h = page[order], h[order]
         new = np.append(True, (page[1:] != page[:-1]) | (h[1:] != h[:-1])) if len(page) else np.zeros(0, bool)
         page, h = page[new], h[new]
-        return np.concatenate([h, _in_host(h, self.host[page])])
+        host = self.host[page]
+        return np.concatenate([h, _in_host(h, host)]), np.tile(page, 2), np.concatenate([np.zeros_like(host), host])
 
 
 class Counts:
@@ -146,16 +155,35 @@ def distinct_bodies(pages: DataFrame, text: str = "page", url: str = "url") -> D
 def counted(bodies: DataFrame, least: int = LEAST_BODIES) -> DataFrame:
     """(h, bodies): hashes of pieces that at least ``least`` of the bodies (page, url) have.  Each body counts once for a
     piece, and batches are added up before the shuffle, so no hash has more rows than there are batches."""
+    return counted_by_host(bodies, least).select("h", "bodies")
+
+
+def counted_by_host(bodies: DataFrame, least: int = LEAST_BODIES) -> DataFrame:
+    """(h, host, bodies): ``counted`` with the hash of the host that it was counted in, 0 in the collection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                keys, number = np.unique(Pieces(part.column(0), part.column(1)).keys(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(number.astype(np.int64))], names=["h", "bodies"])
+                every, _, host = Pieces(part.column(0), part.column(1)).placed_keys()
+                keys, first, number = np.unique(every, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(host[first]), pa.array(number.astype(np.int64))], names=["h", "host", "bodies"])
+
+    each = bodies.mapInArrow(run, "h long, host long, bodies long")
+    return each.groupBy("h").agg(F.max("host").alias("host"), F.sum("bodies").alias("bodies")).where(F.col("bodies") >= least)
 
-    each = bodies.mapInArrow(run, "h long, bodies long")
-    return each.groupBy("h").agg(F.sum("bodies").alias("bodies")).where(F.col("bodies") >= least)
+
+def deciding(counts: DataFrame, enough: float) -> DataFrame:
+    """(h, bodies) of the ``counted_by_host`` pieces whose repetition is at least ``enough``, and of all hosts and the
+    collection itself.  With these alone ``repetition`` is at least ``enough`` in the same places, in each of its columns.
+    Each body has few pieces, so however many bodies a host has, few pieces can be in such a share of them."""
+    low, high = SHARES
+    nearly = 1 - 1e-9  # rounding keeps a piece rather than drops it
+    whole = counts.where("host = 0 and h = 0").first()
+    in_all = counts.where((F.col("host") == 0) & (F.col("bodies") >= (whole["bodies"] if whole else 0) * low * (high / low) ** enough * nearly))
+    of_host = counts.where("host <> 0 and h = host").select("host", F.col("bodies").alias("all"))
+    in_host = counts.where("host <> 0").join(of_host, "host").where(F.col("bodies") >= F.col("all") * (enough * HOST_SHARE * nearly))
+    return in_all.select("h", "bodies").unionAll(in_host.select("h", "bodies"))
 
 
 def joined_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
@@ -164,9 +192,10 @@ def joined_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                keys = Pieces(batch.column(1).slice(i, 1), batch.column(2).slice(i, 1)).keys()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(keys), i))), pa.array(keys)], names=["k", "h"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys, page, _ = Pieces(part.column(1), part.column(2)).placed_keys()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page)), pa.array(keys)], names=["k", "h"])
 
     each = pages.select("k", "page", "url").mapInArrow(run, f"k {pages.schema['k'].dataType.simpleString()}, h long").distinct()
     found = each.join(counts, "h").groupBy("k").agg(F.collect_list(F.struct("h", "bodies")).alias("r"))
@@ -174,10 +203,14 @@ def joined_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class SentCounts:
-    """Counts for the workers: as one table where there are at most ``most``, else through ``joined_counts``."""
+    """Counts for the workers: as one table where there are at most ``most``, else through ``joined_counts``.  A reader that
+    only asks where repetition is at least ``enough`` gives that and ``counted_by_host``, and gets the ``deciding`` ones."""
 
-    def __init__(self, spark: SparkSession, counts: DataFrame, most: int = MOST_SENT):
+    def __init__(self, spark: SparkSession, counts: DataFrame, most: int = MOST_SENT, enough: float = 0.0):
         kept = written(counts, "frames")
+        if enough > 0:
+            every, kept = kept, written(deciding(kept, enough), "frames")
+            discard(every)
         if kept.count() > most:
             self.table, self.rows = None, kept
             return
@@ -199,9 +232,12 @@ class SentCounts:
             if sent is not None:
                 return repetition(batch.column(1), batch.column(2), sent)
             out = []
-            for i in range(batch.num_rows):
-                hs, ns = (np.asarray(batch.column(c)[i].as_py() or [], np.int64) for c in (3, 4))
-                out += repetition(batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), Counts(hs, ns))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                # a hash has the same number in all pages, so those of many pages are one table
+                hs, ns = (np.asarray(part.column(c).flatten(), np.int64) for c in (3, 4))
+                hs, first = np.unique(hs, return_index=True)
+                out += repetition(part.column(1), part.column(2), Counts(hs, ns[first]))
             return out
 
         return read

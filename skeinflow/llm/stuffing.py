@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinflow.llm.boilerplate import Lines
-from skeinflow.llm.frames import MOST_SENT, SentCounts, counted, distinct_bodies
+from skeinflow.llm.frames import MOST_SENT, SentCounts, counted_by_host, distinct_bodies
 
 #: Compression ratio of text by script, of its words and of its shape: at 400 bytes, and what it falls by with each doubling
 #: of the length; fitted by ``fit_curve`` to the blocks of crawled pages (Latin) and to documents (see the README).  Scripts
@@ -211,12 +211,13 @@ def stuffed_share(page: str | None, repeated: np.ndarray | None = None) -> float
 def stuffed_shares(pages: DataFrame, key: str = "page_id", text: str = "page", url: str = "url", most_sent: int = MOST_SENT) -> DataFrame:
     """(key, share double): ``stuffed_share`` of each key; null for null and blank pages.
 
-    What repeats is counted over all the pages, in distinct bodies; that job runs when this is called.  Repeated rows of a
+    What repeats is counted over all the pages, in distinct bodies; that job runs when this is called.  Only whether a
+    line's repetition is at least REPEATED matters here, so the workers get the pieces that decide it.  Repeated rows of a
     key count once; should its pages differ, the least share is taken.  Pages are measured where they are read, and only
     keys and shares are shuffled.  Other columns, whatever their names, are not read.
     """
     src = pages.select(F.col(key).alias("k"), F.col(text).cast("string").alias("page"), F.col(url).cast("string").alias("url"))
-    counts = SentCounts(src.sparkSession, counted(distinct_bodies(pages, text, url)), most_sent)
+    counts = SentCounts(src.sparkSession, counted_by_host(distinct_bodies(pages, text, url)), most_sent, REPEATED)
     table = counts.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,39 @@ def test_both_ways_to_the_counts(spark):
     assert rows(B.main_bodies(df)) == rows(B.main_bodies(df, most_sent=0))
 
 
+def test_pieces_that_few_bodies_share_are_not_sent(spark):
+    """Pieces of three bodies each, more with every body, don't count against the number that is sent; rows are the same."""
+    word = lambda i: "".join("bdfglmnprst"[i // 11**k % 11] + "aeiou"[(i + k) % 5] for k in range(4))
+    pages = [(i, f"Home | Help | About us\n{PROSE.replace('bridge', word(i))}\n" + "\n".join(f"{word(100 + i // 3 * 9 + j)} of old" for j in range(9)) + f"\n{(KEYS.replace('boots', word(i)) + ' ') * (i % 2 * 4)}", f"http://h{i % 2}.example/{i}") for i in range(1200)]
+    df = spark.createDataFrame(pages, "page_id long, page string, url string")
+    sent = S.stuffed_shares(df, most_sent=100)
+    assert "Join" not in sent._jdf.queryExecution().optimizedPlan().toString()
+    counts = FR.counted_by_host(FR.distinct_bodies(df))
+    few = {r["h"]: r["bodies"] for r in FR.deciding(counts, S.REPEATED).collect()}
+    every = {r["h"]: r["bodies"] for r in FR.counted(FR.distinct_bodies(df)).collect()}
+    assert len(few) < 100 < 3600 <= len(every) and few.items() <= every.items()
+    columns = [pa.array([p[k] for p in pages]) for k in (1, 2)]
+    for a, b in zip(*(FR.repetition(*columns, FR.Counts(*(np.array(list(x)) for x in (c.keys(), c.values())))) for c in (every, few)), strict=True):
+        assert ((a >= S.REPEATED) == (b >= S.REPEATED)).all()
+    assert rows(sent) == rows(S.stuffed_shares(df)) == rows(S.stuffed_shares(df, most_sent=0))
+    assert FR.deciding(FR.counted_by_host(FR.distinct_bodies(df.limit(0))), S.REPEATED).count() == 0
+
+
+def test_joined_counts_are_read_for_many_pages_at_once(monkeypatch):
+    keys = [FR.Pieces(pa.array([p]), pa.array([u], pa.string())).keys() for p, u in zip(PAGES, URLS, strict=True)]
+    counts = FR.Counts.of(PAGES, URLS)
+    own = [[int(h) for h in k if h in counts.keys] for k in keys]
+    bodies = [[int(counts(np.array([h]))[0]) for h in k] or None for k in own]
+    arrays = [pa.array(range(len(PAGES))), pa.array(PAGES), pa.array(URLS, pa.string()), *(pa.array([x or None for x in y], pa.list_(pa.int64())) for y in (own, bodies))]
+    batch = pa.RecordBatch.from_arrays(arrays, names=["k", "page", "url", "hs", "ns"])
+    want = FR.repetition(batch.column(1), batch.column(2), counts)
+    calls = []
+    monkeypatch.setattr(FR, "repetition", lambda *a, f=FR.repetition: calls.append(1) or f(*a))
+    for part, expected in ((batch, want), (batch.slice(3, 5), want[3:8])):
+        assert all((a == b).all() for a, b in zip(FR.SentCounts.reader(None)(part), expected, strict=True))
+    assert len(calls) == 2
+
+
 def test_fit_learns_what_repeats():
     """On pages of one site whose container has a name, the fit tells repeated lines from others in any container."""
     rnd = np.random.default_rng(3)
